@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from . import patterns as P
 
 
+def let(value: Column, body) -> Column:
+    """Bind a value once for use in `body`, so that nested uses do not copy it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # --- matching ---------------------------------------------------------------
 def found(text: Column, pattern: str) -> Column:
     return text.rlike(pattern)
@@ -52,17 +57,10 @@ def name_key(text: Column) -> Column:
 
 def collapse_repeats(text: Column) -> Column:
     """Drop a word that repeats the one before it, whatever its case."""
-    words = F.filter(F.split(strip_space(text), r"(?U)\s+"), lambda w: w != "")
-    kept = F.filter(
-        F.transform(
-            words,
-            lambda w, i: F.when(
-                (i == 0) | (F.lower(w) != F.lower(F.get(words, i - 1))), w
-            ),
-        ),
-        lambda w: w.isNotNull(),
-    )
-    return F.array_join(kept, " ")
+    words = F.split(strip_space(text), r"(?U)\s+")
+    return let(words, lambda ws: F.array_join(
+        F.transform(ws, lambda w, i: F.when(
+            (i == 0) | (F.lower(w) != F.lower(F.get(ws, i - 1))), w)), " "))
 
 
 def round_half_even(value: Column, digits: int) -> Column:
@@ -90,16 +88,11 @@ def repaired_unit(raw: Column) -> Column:
     """
     guess = F.translate(F.lower(F.btrim(raw, F.lit("."))), "90158", "golsb")
     words = F.array(*[F.lit(w) for w in sorted(P.VALID_UNITS + list(P.UNIT_ALIASES))])
-    near = F.array_min(
-        F.filter(
-            F.transform(words, lambda w: F.struct(F.levenshtein(guess, w).alias("d"), w.alias("w"))),
-            lambda x: x["d"] <= 1,
-        )
-    )
-    word = near["w"]
-    return F.when(
-        raw != "", F.coalesce(F.element_at(_literal_map(P.UNIT_ALIASES), word), word)
-    )
+    near = let(guess, lambda g: F.array_min(F.filter(
+        F.transform(words, lambda w: F.struct(F.levenshtein(g, w).alias("d"), w.alias("w"))),
+        lambda x: x["d"] <= 1)))
+    return F.when(raw != "", let(near["w"], lambda w: F.coalesce(
+        F.element_at(_literal_map(P.UNIT_ALIASES), w), w)))
 
 
 def swallowed_unit(value: Column) -> Column:
@@ -107,41 +100,36 @@ def swallowed_unit(value: Column) -> Column:
 
     def cut(n: int) -> Column:
         size = F.length(value)
-        head = F.substring(value, F.lit(1), size - n)
-        tail = F.substring(value, size - n + 1, F.lit(n))
-        unit = norm_unit(F.translate(tail, "9150", "glso"))
-        ok = (
-            value.rlike(r"^\d+$") & (size > n) & head.rlike("[1-9]")
-            & tail.rlike(r"^[9150]+$") & valid_unit(unit)
-        )
-        return F.when(ok, F.struct(head.alias("number"), unit.alias("unit")))
+        unit = norm_unit(F.translate(F.right(value, F.lit(n)), "9150", "glso"))
+        ok = value.rlike(rf"^\d*[1-9]\d*[9150]{{{n}}}$") & valid_unit(unit)
+        return F.when(ok, F.struct(
+            F.substring(value, F.lit(1), size - n).alias("number"), unit.alias("unit")))
 
     return F.coalesce(cut(2), cut(1))
 
 
-def resolve_unit(value: Column, raw: Column, labelled: Column) -> Column:
-    """struct(value, unit, corrected, how): exact, alias, repaired, swallowed."""
-    exact = norm_unit(raw)
-    fixed = repaired_unit(raw)
-    is_exact = valid_unit(exact)
-    unit = (
-        F.when(is_exact, exact)
-        .when(fixed.isNotNull() & ~fixed.eqNullSafe(exact), fixed)
-        .otherwise(exact)
-    )
-    tail = F.when(labelled & raw.isNull(), swallowed_unit(value))
-    how = (
-        F.when(is_exact & (exact == F.lower(raw)), "exact")
-        .when(is_exact, "alias")
-        .when(valid_unit(unit), "repaired")
-        .when(tail.isNotNull(), "swallowed")
-    )
-    return F.struct(
-        F.coalesce(tail["number"], value).alias("value"),
-        F.coalesce(tail["unit"], unit).alias("unit"),
-        F.coalesce(how.isin("repaired", "swallowed"), F.lit(False)).alias("corrected"),
-        how.alias("how"),
-    )
+def resolve_unit(value: Column, raw: Column, labelled: bool) -> Column:
+    """struct(value, unit, how): exact, alias, repaired or swallowed; unit NULL if unknown.
+
+    `unit` is always a valid unit. A swallowed unit needs a labelled quantity.
+    """
+
+    def settle(exact: Column) -> Column:
+        known = F.when(
+            valid_unit(exact),
+            F.struct(value.alias("value"), exact.alias("unit"),
+                     F.when(exact == F.lower(raw), "exact").otherwise("alias").alias("how")))
+        mended = F.when(raw.isNotNull(), let(
+            repaired_unit(raw), lambda u: F.when(valid_unit(u), F.struct(
+                value.alias("value"), u.alias("unit"), F.lit("repaired").alias("how")))))
+        tail = F.when(raw.isNull(), let(
+            swallowed_unit(value), lambda t: F.when(t.isNotNull(), F.struct(
+                t["number"].alias("value"), t["unit"].alias("unit"), F.lit("swallowed").alias("how")))))
+        none = F.struct(value.alias("value"), F.lit(None).cast("string").alias("unit"),
+                        F.lit(None).cast("string").alias("how"))
+        return F.coalesce(known, mended, *([tail] if labelled else []), none)
+
+    return let(norm_unit(raw), settle)
 
 
 # --- amounts ----------------------------------------------------------------
@@ -150,20 +138,17 @@ def plain_amount(amount: Column) -> Column:
 
 
 def plausible_price(amount: Column) -> Column:
-    cleaned = strip_space(plain_amount(amount))
-    value = cleaned.try_cast("double")
-    return F.coalesce(
-        cleaned.rlike(r"^\d{1,9}(?:\.\d{1,2})?$") & (value > 0) & (value <= 1_000_000),
-        F.lit(False),
-    )
+    return F.coalesce(let(strip_space(plain_amount(amount)), lambda c: c.rlike(
+        r"^\d{1,9}(?:\.\d{1,2})?$") & c.try_cast("double").between(1e-9, 1_000_000.0)), F.lit(False))
 
 
 def amount_after(text: Column, label: str) -> Column:
     """First plausible amount near the label, preferring one with decimals."""
     tail = after_match(text, label, P.TAIL_LENGTH)
     amounts = F.filter(matches(tail, P.AMOUNT), plausible_price)
-    decimals = F.filter(amounts, lambda a: F.contains(a, F.lit(".")))
-    return F.coalesce(F.get(decimals, F.lit(0)), F.get(amounts, F.lit(0)))
+    return let(amounts, lambda found_: F.coalesce(
+        F.get(F.filter(found_, lambda a: F.contains(a, F.lit("."))), F.lit(0)),
+        F.get(found_, F.lit(0))))
 
 
 # --- dates ------------------------------------------------------------------
@@ -171,95 +156,99 @@ def clean_date(text: Column) -> Column:
     return strip_space(F.regexp_replace(text, P.SEPARATOR_RUN, "$1"))
 
 
+# shapes of a cleaned date and the parts of each, in the order they are tried
+_GAP = r"[/\-., \s]*"
+DAY_MONTH = P.rx(rf"^(\d{{1,2}}){_GAP}({P.MONTH_NAMES})\.?{_GAP}(\d{{2,4}})$")
+MONTH_DAY = P.rx(rf"^({P.MONTH_NAMES})\.?{_GAP}(\d{{1,2}})[/\-., \s]+(\d{{2,4}})$")
+MONTH_ONLY = P.rx(rf"^({P.MONTH_NAMES})\.?{_GAP}(\d{{3,6}})$")
+NUMERIC = P.rx(r"^(\d{1,2})\s*[/\-.]\s*(\d{1,2})\s*[/\-.]\s*(\d{2,4})$")
+YEAR_FIRST = P.rx(r"^(\d{4})\s*[/\-.]\s*(\d{1,2})\s*[/\-.]\s*(\d{1,2})$")
+# a lone decimal point beside another separator reads as a decimal number
+DECIMAL_MIX = P.rx(r"^\d+\.\d+[/\-]|[/\-]\d+\.\d+$")
+
+
 def _month_number(name: Column) -> Column:
     return F.element_at(
-        _literal_map({m: i + 1 for i, m in enumerate(P.MONTHS)}), F.lower(F.substring(name, 1, 3))
-    )
+        _literal_map({m: str(i + 1) for i, m in enumerate(P.MONTHS)}),
+        F.lower(F.substring(name, 1, 3)))
 
 
-def _full_year(digits: Column) -> Column:
-    year = digits.try_cast("int")
-    return F.when(
-        F.length(digits) <= 2, F.when(year < 70, year + 2000).otherwise(year + 1900)
-    ).otherwise(year)
+def _parts(text: Column) -> Column:
+    """struct(kind, d, m, y): day, month and year digits as read by shape."""
 
+    def of(kind: str, pattern: str, d: int, m: int, y: int) -> Column:
+        month = F.regexp_extract(text, pattern, m)
+        named = kind in ("day_month", "month_day")
+        return F.struct(
+            F.lit(kind).alias("kind"), F.regexp_extract(text, pattern, d).alias("d"),
+            (_month_number(month) if named else month).alias("m"),
+            F.regexp_extract(text, pattern, y).alias("y"))
 
-def _day(year: Column, month: Column, day: Column) -> Column:
-    text = F.format_string("%04d-%02d-%02d", year, month, day)
-    return F.when(
-        year.between(1, 9999) & month.between(1, 12) & day.between(1, 31),
-        F.try_to_date(text, "yyyy-MM-dd"),
+    run = F.regexp_extract(text, MONTH_ONLY, 2)
+    month_only = F.struct(F.lit("month_only").alias("kind"), run.alias("d"),
+                          F.lit("").alias("m"), F.lit("").alias("y"))
+    return (
+        F.when(text.rlike(DECIMAL_MIX), None)
+        .when(text.rlike(DAY_MONTH), of("day_month", DAY_MONTH, 1, 2, 3))
+        .when(text.rlike(MONTH_DAY), of("month_day", MONTH_DAY, 2, 1, 3))
+        .when(text.rlike(NUMERIC), of("numeric", NUMERIC, 1, 2, 3))
+        .when(text.rlike(YEAR_FIRST), of("year_first", YEAR_FIRST, 3, 2, 1))
+        .when(text.rlike(MONTH_ONLY), month_only)
     )
 
 
+def _ordered(p: Column) -> Column:
+    """Swap the parts where the printed order cannot be day, month, year.
+
+    Day comes first, also after a leading year. A first number past 31 is a
+    year when the last has two digits; a middle number past 12 is a day.
+    """
+    d, m = p["d"].try_cast("int"), p["m"].try_cast("int")
+    y = p["y"].try_cast("int")
+    as_is = F.struct(p["d"].alias("d"), p["m"].alias("m"), p["y"].alias("y"))
+
+    def order(day: str, month: str, year: str) -> Column:
+        return F.struct(p[day].alias("d"), p[month].alias("m"), p[year].alias("y"))
+
+    year_leads = (d > 31) & (F.length(p["y"]) == 2)
+    numeric = (
+        F.when(year_leads & (y <= 12), order("m", "y", "d"))
+        .when(year_leads, order("y", "m", "d"))
+        .when((d > 12) | (m <= 12), as_is)
+        .otherwise(order("m", "d", "y")))
+    return (
+        F.when(p["kind"] == "numeric", numeric)
+        .when(p["kind"] == "year_first", F.when(d <= 12, order("m", "d", "y")).otherwise(as_is))
+        .when(year_leads, order("y", "m", "d"))
+        .otherwise(as_is)
+    )
+
+
+def _day(p: Column) -> Column:
+    year = p["y"].try_cast("int")
+    full = F.when(F.length(p["y"]) <= 2, F.when(year < 70, year + 2000).otherwise(year + 1900)) \
+        .otherwise(year)
+    text = F.concat_ws("-", F.lpad(full.cast("string"), 4, "0"), F.lpad(p["m"], 2, "0"),
+                       F.lpad(p["d"], 2, "0"))
+    return F.try_to_date(text, "yyyy-MM-dd")
+
+
 def read_date(raw: Column) -> Column:
     """struct(ok, day): whether a date-shaped text is a date, and which one.
 
-    Day comes before month, also after a leading year, unless only the other
-    order gives a month. A month without a day is a date with an unknown day.
+    A month without a day is a date whose day is unknown.
     """
-    text = clean_date(raw)
-    mon = P.MONTH_NAMES
-    gap = r"[/\-., \s]*"
-    day_month = P.rx(rf"^(\d{{1,2}}){gap}({mon})\.?{gap}(\d{{2,4}})$")
-    month_day = P.rx(rf"^({mon})\.?{gap}(\d{{1,2}})[/\-., \s]+(\d{{2,4}})$")
-    month_only = P.rx(rf"^({mon})\.?{gap}(\d{{3,6}})$")
-    numeric = P.rx(r"^(\d{1,2})\s*[/\-.]\s*(\d{1,2})\s*[/\-.]\s*(\d{2,4})$")
-    iso = P.rx(r"^(\d{4})\s*[/\-.]\s*(\d{1,2})\s*[/\-.]\s*(\d{1,2})$")
-    # a lone decimal point beside another separator reads as a decimal number
-    decimal_mix = P.rx(r"^\d+\.\d+[/\-]|[/\-]\d+\.\d+$")
-
-    def part(pattern: str, i: int) -> Column:
-        return F.regexp_extract(text, pattern, i)
-
-    def num(pattern: str, i: int) -> Column:
-        return part(pattern, i).try_cast("int")
-
-    def short(pattern: str, i: int) -> Column:
-        return F.length(part(pattern, i)) == 2
-
-    d1, y1 = num(day_month, 1), part(day_month, 3)
-    m1 = _month_number(part(day_month, 2))
-    from_day_month = F.when((d1 > 31) & short(day_month, 3),
-                            _day(_full_year(part(day_month, 1)), m1, y1.try_cast("int"))
-                            ).otherwise(_day(_full_year(y1), m1, d1))
-    d2 = num(month_day, 2)
-    m2 = _month_number(part(month_day, 1))
-    y2 = part(month_day, 3)
-    from_month_day = F.when((d2 > 31) & short(month_day, 3),
-                            _day(_full_year(part(month_day, 2)), m2, y2.try_cast("int"))
-                            ).otherwise(_day(_full_year(y2), m2, d2))
-    a, b, y3 = num(numeric, 1), num(numeric, 2), part(numeric, 3)
-    from_numeric = (
-        F.when((a > 31) & short(numeric, 3) & (y3.try_cast("int") <= 12),
-               _day(_full_year(part(numeric, 1)), y3.try_cast("int"), b))
-        .when((a > 31) & short(numeric, 3),
-              _day(_full_year(part(numeric, 1)), b, y3.try_cast("int")))
-        .when((a > 12) | (b <= 12), _day(_full_year(y3), b, a))
-        .otherwise(_day(_full_year(y3), a, b))
-    )
-    c, d = num(iso, 2), num(iso, 3)
-    from_iso = F.when(d <= 12, _day(num(iso, 1), d, c)).otherwise(_day(num(iso, 1), c, d))
-
-    run = part(month_only, 2)
-    clock = (
-        (F.substring(run, 1, 2).try_cast("int") < 24)
-        & (F.substring(run, 3, 2).try_cast("int") < 60)
-        & (F.substring(run, 5, 2).try_cast("int") < 60)
-    )
-    month_ok = F.length(run).isin(3, 4) | ((F.length(run) == 6) & clock)
-
-    day = (
-        F.when(text.rlike(decimal_mix), F.lit(None).cast("date"))
-        .when(text.rlike(day_month), from_day_month)
-        .when(text.rlike(month_day), from_month_day)
-        .when(text.rlike(numeric), from_numeric)
-        .when(text.rlike(iso), from_iso)
-    )
-    undated = ~text.rlike(day_month) & ~text.rlike(month_day) & text.rlike(month_only) & month_ok
-    return F.struct(
-        (day.isNotNull() | F.coalesce(undated, F.lit(False))).alias("ok"), day.alias("day")
-    )
+
+    def settle(p: Column) -> Column:
+        n = F.length(p["d"])
+        clock = ((F.substring(p["d"], 1, 2) < "24") & (F.substring(p["d"], 3, 2) < "60")
+                 & (F.substring(p["d"], 5, 2) < "60"))
+        undated = (p["kind"] == "month_only") & (n.isin(3, 4) | ((n == 6) & clock))
+        day = F.when(p["kind"] != "month_only", let(_ordered(p), _day))
+        return let(day, lambda v: F.struct(
+            F.coalesce(v.isNotNull() | undated, F.lit(False)).alias("ok"), v.alias("day")))
+
+    return let(let(clean_date(raw), _parts), settle)
 
 
 def date_role_of(text: Column) -> Column:
@@ -287,28 +276,34 @@ def phone_fragment(line: Column, date_text: Column) -> Column:
 
 def date_matches(text: Column) -> Column:
     """array<struct(i, raw, prefix)>: every date shape with the text before it."""
-    hits = matches(text, P.DATE_SHAPE, 1)
-    gaps = F.split(text, P.DATE_SHAPE, -1)
-
-    def prefix(i: Column) -> Column:
-        before = F.zip_with(
-            F.slice(gaps, F.lit(1), i), F.slice(hits, F.lit(1), i), lambda g, h: F.concat(g, h)
-        )
-        whole = F.concat(F.array_join(before, ""), F.get(gaps, i))
-        return F.right(whole, F.lit(P.ROLE_LOOKBEHIND))
-
-    return F.transform(
-        hits, lambda h, i: F.struct(i.alias("i"), h.alias("raw"), prefix(i).alias("prefix"))
-    )
+    both = F.struct(matches(text, P.DATE_SHAPE, 1).alias("hits"),
+                    F.split(text, P.DATE_SHAPE, -1).alias("gaps"))
+
+    def rows(b: Column) -> Column:
+        def prefix(i: Column) -> Column:
+            before = F.zip_with(
+                F.slice(b["gaps"], F.lit(1), i), F.slice(b["hits"], F.lit(1), i),
+                lambda g, h: F.concat(g, h))
+            whole = F.concat(F.array_join(before, ""), F.get(b["gaps"], i))
+            return F.right(whole, F.lit(P.ROLE_LOOKBEHIND))
+
+        return F.transform(b["hits"], lambda h, i: F.struct(
+            i.alias("i"), h.alias("raw"), prefix(i).alias("prefix")))
+
+    return let(both, rows)
 
 
 def duration_in(text: Column) -> Column:
     """'6 months' for the first shelf life named in the text, else NULL."""
-    clean = collapse_repeats(text)
-    number = F.regexp_extract(clean, P.DURATION_VALUE, 1)
-    word = F.regexp_extract(clean, P.DURATION_VALUE, 2)
-    digits = F.coalesce(F.element_at(_literal_map(P.NUMBER_WORDS), F.lower(number)), number)
-    return F.when(number != "", F.concat_ws(" ", digits, word))
+
+    def read(clean: Column) -> Column:
+        number = F.regexp_extract(clean, P.DURATION_VALUE, 1)
+        digits = F.coalesce(F.element_at(_literal_map(P.NUMBER_WORDS), F.lower(number)), number)
+        return F.when(clean.rlike(P.DURATION_VALUE),
+                      F.concat_ws(" ", digits, F.regexp_extract(clean, P.DURATION_VALUE, 2)))
+
+    # dropping repeats never makes or breaks a match, it only tidies the words
+    return F.when(text.rlike(P.DURATION_VALUE), let(collapse_repeats(text), read))
 
 
 # --- contact ----------------------------------------------------------------
@@ -324,11 +319,14 @@ def phone_by_shape(text: Column) -> Column:
 # --- origin -----------------------------------------------------------------
 def clean_origin(value: Column) -> Column:
     """Cut a country name off the declaration that follows it on the line."""
-    whole = strip_space(value)
-    head = F.get(F.split(whole, P.ORIGIN_NEXT_DECLARATION, 2), F.lit(0))
-    head = F.get(F.split(head, P.ORIGIN_BREAK, 2), F.lit(0))
-    short = F.btrim(head, F.lit(" .,;:-|"))
-    return F.when((short == "") | (F.length(short) > P.COUNTRY_LENGTH), whole).otherwise(short)
+
+    def cut(whole: Column) -> Column:
+        head = F.get(F.split(whole, P.ORIGIN_NEXT_DECLARATION, 2), F.lit(0))
+        head = F.get(F.split(head, P.ORIGIN_BREAK, 2), F.lit(0))
+        return let(F.btrim(head, F.lit(" .,;:-|")), lambda s: F.when(
+            (s == "") | (F.length(s) > P.COUNTRY_LENGTH), whole).otherwise(s))
+
+    return let(strip_space(value), cut)
 
 
 def is_india(value: Column) -> Column:

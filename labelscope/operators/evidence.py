@@ -1,16 +1,19 @@
-"""Shape of candidates and evidence: one typed struct for all eleven fields."""
+"""Shape of candidates and evidence: the same columns for all eleven fields."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+SOURCE = {
+    "confidence": "double", "x0": "double", "y0": "double", "x1": "double", "y1": "double",
+    "image_index": "int",
+}
 EVIDENCE = {
-    "value": "string", "raw_text": "string", "confidence": "double",
-    "x0": "double", "y0": "double", "x1": "double", "y1": "double",
-    "image_index": "int", "context": "string", "unit": "string", "unit_status": "string",
-    "currency": "string", "context_confirmed": "boolean", "date_role": "string",
-    "parsed_date": "date", "role_source": "string", "inferred": "boolean", "partial": "boolean",
+    "value": "string", "raw_text": "string", **SOURCE, "context": "string",
+    "unit": "string", "unit_status": "string", "currency": "string",
+    "context_confirmed": "boolean", "date_role": "string", "parsed_date": "date",
+    "role_source": "string", "inferred": "boolean", "partial": "boolean",
     "label_match": "string", "label_type": "string", "label_evidence": "string",
     "match_method": "string", "corrected_from_ocr": "boolean", "importer_mentioned": "boolean",
     "origin_conflict": "boolean", "prominence_ratio": "double", "name_score": "double",
@@ -20,39 +23,41 @@ CONTRACT = [
     "value", "raw_text", "confidence", "x0", "y0", "x1", "y1", "context", "image_index", "unit",
     "unit_status", "currency", "context_confirmed", "date_role", "origin_conflict", "inferred",
 ]
-EVIDENCE_TYPE = "struct<" + ",".join(f"{k}:{v}" for k, v in EVIDENCE.items()) + ">"
-ORDER = {"tier": "int", "a": "double", "b": "double", "c": "double", "d": "double",
-         "pos": "bigint", "sub": "bigint"}
-CANDIDATE_TYPE = (
-    "struct<field:string,rank:struct<" + ",".join(f"{k}:{v}" for k, v in ORDER.items())
-    + f">,ev:{EVIDENCE_TYPE}>"
-)
-
-
-def evidence(line: Column | None = None, **values) -> Column:
-    """Evidence read from one line (its box, confidence and image) plus values."""
-    if line is not None:
-        base = {k: line[k] for k in ("confidence", "x0", "y0", "x1", "y1", "image_index")}
-        values = {**base, **values}
+# a line yields these; the rest of its evidence is the line itself
+FINDING = {
+    "field": "string", "tier": "int", "a": "int", "b": "double", "value": "string",
+    "unit": "string", "unit_status": "string", "currency": "string",
+    "context_confirmed": "boolean", "label_match": "string", "label_type": "string",
+    "match_method": "string", "corrected_from_ocr": "boolean", "partial": "boolean",
+}
+
+
+def typed(values: dict, shape: dict) -> Column:
     cols = []
-    for name, kind in EVIDENCE.items():
+    for name, kind in shape.items():
         v = values.get(name)
         v = v if isinstance(v, Column) else F.lit(v)
         cols.append(v.cast(kind).alias(name))
     return F.struct(*cols)
 
 
-def rank(tier: int, pos: Column, sub: Column | int = 0, *keys: Column) -> Column:
-    """Sort key of a candidate; the smallest wins. Keys come before positions."""
-    values = {"tier": F.lit(tier), "pos": pos, "sub": sub if isinstance(sub, Column) else F.lit(sub)}
-    values.update(dict(zip(("a", "b", "c", "d"), keys)))
-    return F.struct(*[
-        (values[k] if k in values else F.lit(0)).cast(kind).alias(k) for k, kind in ORDER.items()])
+def finding(field: str, tier: int, value: Column, **values) -> Column:
+    return typed({"field": field, "tier": tier, "value": value, "a": 0, "b": 0.0, **values}, FINDING)
+
+
+def evidence(**values) -> Column:
+    return typed(values, EVIDENCE)
 
 
-def candidate(field: str, order: Column, ev: Column) -> Column:
-    return F.struct(F.lit(field).alias("field"), order.alias("rank"), ev.alias("ev"))
+def rank(tier, pos, sub=0, a=0, b=0.0) -> Column:
+    """Sort key of a candidate, smallest first: tier, two scores, then place."""
+    shape = {"tier": "int", "a": "int", "b": "double", "pos": "bigint", "sub": "int"}
+    return typed({"tier": tier, "a": a, "b": b, "pos": pos, "sub": sub}, shape)
 
 
-def no_candidates() -> Column:
-    return F.expr(f"cast(array() as array<{CANDIDATE_TYPE}>)")
+def candidates(df: DataFrame, field, order: Column, **values) -> DataFrame:
+    """Rows of (scan_id, field, rank, ev); `values` override same-named columns."""
+    have = {n: F.col(n) for n in EVIDENCE if n in df.columns}
+    return df.select(
+        "scan_id", (field if isinstance(field, Column) else F.lit(field)).alias("field"),
+        order.alias("rank"), evidence(**{**have, **values}).alias("ev"))

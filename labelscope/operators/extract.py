@@ -14,12 +14,8 @@ from pyspark.sql.window import Window
 from labelscope.functions import fuzzy
 from labelscope.functions import patterns as P
 from labelscope.functions import text as T
-from labelscope.operators.evidence import (
-    CANDIDATE_TYPE, EVIDENCE, candidate, evidence, no_candidates, rank,
-)
-from labelscope.operators.sequence import (
-    BOX, in_sequence, oversized_scans, until_stop, value_candidates,
-)
+from labelscope.operators.evidence import EVIDENCE, candidates, evidence, finding, rank
+from labelscope.operators.sequence import BOX, in_sequence, oversized_scans, value_candidates
 from labelscope.operators.tables import merge_columns, readable
 from labelscope.options import DEFAULT, Options
 from labelscope.session import materialize
@@ -33,14 +29,6 @@ def _c(name: str) -> Column:
     return F.col(name)
 
 
-def _line() -> Column:
-    return F.struct("confidence", *BOX, "image_index", "text", "ctx2", "pos")
-
-
-def _as_candidates(items: Column) -> Column:
-    return F.explode(items.cast(f"array<{CANDIDATE_TYPE}>"))
-
-
 def ready_lines(lines: DataFrame, options: Options = DEFAULT) -> DataFrame:
     """Sequenced lines with similarity bits and label kinds, as a stage table.
 
@@ -80,43 +68,38 @@ def label_lines_with_values(ready: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 # --- quantity ---------------------------------------------------------------
-def _quantity(line: Column, number: Column, unit: Column, labelled: bool, options: Options,
-              **extra) -> Column:
-    """Net-quantity evidence from one number and unit, NULL when it is not one."""
-    text = line["text"]
-    false_hit = T.found(text, P.GROSS) | T.found(text, P.QTY_FALSE_CONTEXT) | (
-        F.coalesce(unit == "G", F.lit(False)) & number.rlike(r"^\d+$")
-        & F.coalesce(number.try_cast("double") <= 5, F.lit(False)))
-    r = T.resolve_unit(number, unit, F.lit(labelled))
-    known = T.valid_unit(r["unit"])
-    blurred = line["confidence"].isNotNull() & (line["confidence"] < P.LOW_QUANTITY_CONFIDENCE) \
+def _not_quantity(text: Column, number: Column, unit: Column) -> Column:
+    """Gross weights, recipe and network contexts, and marks such as 5G."""
+    return T.found(text, P.GROSS) | T.found(text, P.QTY_FALSE_CONTEXT) | F.coalesce(
+        (unit == "G") & number.rlike(r"^0*[0-5]$"), F.lit(False))
+
+
+def _quantity_finding(tier: int, reading: Column, unit: Column, confidence: Column,
+                      options: Options) -> Column:
+    blurred = confidence.isNotNull() & (confidence < P.LOW_QUANTITY_CONFIDENCE) \
         if options.confidence_gating else F.lit(False)
     status = (
-        F.when(r["how"] == "swallowed", "ocr_corrected")
-        .when(known, "confirmed_present")
+        F.when(reading["how"] == "swallowed", "ocr_corrected")
+        .when(reading["how"].isNotNull(), "confirmed_present")
         .when(unit.isNotNull() | blurred, "ambiguous")
         .otherwise("confirmed_absent")
     )
-    values = {"raw_text": text, "context": line["ctx2"], **extra}
-    ev = evidence(line, value=r["value"], unit=F.when(known, r["unit"]), unit_status=status,
-                  corrected_from_ocr=r["corrected"], **values)
-    usable = F.lit(True) if labelled else known
-    return F.when(number.isNotNull() & (number != "") & ~false_hit & usable, ev)
+    return finding(
+        "net_quantity", tier, reading["value"], unit=reading["unit"], unit_status=status,
+        corrected_from_ocr=F.coalesce(reading["how"].isin("repaired", "swallowed"), F.lit(False)))
 
 
 # --- one pass over the lines ------------------------------------------------
 def line_candidates(ready: DataFrame, options: Options = DEFAULT) -> DataFrame:
-    """All candidates that a single line can give, exploded to (field, rank, ev)."""
-    text, pos, ctx = _c("text"), _c("pos"), _c("ctx2")
-    conf = F.coalesce("confidence", F.lit(0.0))
-    g = ready.select(
+    """All candidates that a single line can give."""
+    text, c = _c("text"), _c
+    read = ready.select(
         "scan_id", "pos", "image_index", "text", "confidence", *BOX, "ctx2", "bits",
         T.strip_value(T.group(text, P.MAKER_VALUE, 1)).alias("maker"),
         T.strip_value(T.group(text, P.AGENT_VALUE, 1)).alias("agent"),
         T.strip_value(T.group(text, P.NAME_VALUE, 1)).alias("name"),
         T.group(text, P.QTY_VALUE, 1).alias("q_num"), T.group(text, P.QTY_VALUE, 2).alias("q_unit"),
         T.group(text, P.QTY_PLAIN, 1).alias("p_num"), T.group(text, P.QTY_PLAIN, 2).alias("p_unit"),
-        (T.found(text, P.USP_VALUE) | T.found(text, P.USP_LINE)).alias("is_usp"),
         T.found(text, P.USP_LINE).alias("names_usp"),
         T.group(text, P.USP_VALUE, 2).alias("usp"), T.group(text, P.USP_VALUE, 3).alias("usp_unit"),
         T.group(text, P.PER_UNIT_PRICE, 2).alias("per_amount"),
@@ -130,164 +113,176 @@ def line_candidates(ready: DataFrame, options: Options = DEFAULT) -> DataFrame:
         T.group(text, P.PHONE_LOOSE, 1).alias("loose"),
         T.phone_by_shape(text).alias("phone"),
         F.coalesce(*[
-            F.when(v != "", v) for v in
-            (T.strip_value(T.group(text, P.ORIGIN_VALUE, i)) for i in range(1, 5))]).alias("origin"),
+            F.nullif(T.strip_value(T.group(text, P.ORIGIN_VALUE, i)), F.lit("")) for i in range(1, 5)
+        ]).alias("origin"),
         T.found(text, P.IMPORTED_BY).alias("importer"),
         T.group(text, P.DIMENSIONS, 1).alias("dims"), T.group(text, P.DIMENSIONS, 2).alias("dims_unit"),
     )
-    line = _line()
-
-    def at(**values) -> Column:
-        return evidence(line, **{"raw_text": text, "context": ctx, **values})
+    bare_ok = T.plausible_price(c("bare"))
+    per_unit_form = F.coalesce(c("per_amount") == c("bare"), F.lit(False))
+    settled = read.withColumns({
+        "q": F.when(c("q_num").isNotNull() & ~_not_quantity(text, c("q_num"), c("q_unit")),
+                    T.resolve_unit(c("q_num"), c("q_unit"), True)),
+        "p": F.when(c("p_num").isNotNull() & ~_not_quantity(text, c("p_num"), c("p_unit"))
+                    & ~T.found(text, P.DIMENSIONS_LIKE) & ~c("names_usp"),
+                    T.resolve_unit(c("p_num"), c("p_unit"), False)),
+        "priced": ~c("names_usp") & c("usp").isNull() & ~c("not_mrp"),
+        "plain_price": F.when(bare_ok, F.when(~per_unit_form, c("bare"))).when(
+            T.plausible_price(c("price")), c("price")),
+        "per_ok": ~c("false_context") & T.plausible_price(c("per_amount")),
+        "is_care": T.found(text, P.CARE_WORDS) | (c("bits").bitwiseAND(fuzzy.CARE) > 0),
+        "clean_origin": F.when(c("origin").rlike("[A-Za-z]"), T.clean_origin(c("origin"))),
+    })
+    conf = F.coalesce("confidence", F.lit(0.0))
 
     def maker(value: Column, tier: int) -> Column:
         hint = F.when(T.found(value, P.COMPANY_HINT), 1).otherwise(0)
-        return F.when(
-            value != "",
-            candidate("manufacturer", rank(1, pos, 0, F.lit(-tier), F.lit(-1), -hint, -conf),
-                      at(value=value, label_match="exact",
-                         label_type="manufacturer" if tier else "packer_importer_marketer")))
+        return F.when(value != "", finding(
+            "manufacturer", 1, value, a=-(hint + 4 * tier + 2), b=-conf, label_match="exact",
+            label_type="manufacturer" if tier else "packer_importer_marketer"))
 
     contact = F.coalesce("loose", "email")
-    is_care = T.found(text, P.CARE_WORDS) | (_c("bits").bitwiseAND(fuzzy.CARE) > 0)
-    bare_ok = _c("bare").isNotNull() & T.plausible_price(_c("bare"))
-    per_unit_form = F.coalesce(_c("per_amount") == _c("bare"), F.lit(False))
-    price_amount = F.when(bare_ok, F.when(~per_unit_form, _c("bare"))).when(
-        _c("price").isNotNull() & T.plausible_price(_c("price")), _c("price"))
-    eligible = ~_c("is_usp") & ~_c("not_mrp")
-    labelled = _quantity(line, _c("q_num"), _c("q_unit"), True, options)
-    plain = _quantity(line, _c("p_num"), _c("p_unit"), False, options)
-
-    def money(tier: int, amount: Column, confirmed: bool | None) -> Column:
-        return candidate("mrp", rank(tier, pos), at(
-            value=T.plain_amount(amount), currency="INR", context_confirmed=confirmed))
-
-    def unit_price(tier: int, amount: Column, unit: Column, method: str) -> Column:
-        return candidate("unit_sale_price", rank(tier, pos), at(
-            value=T.plain_amount(amount), currency="INR", unit=T.norm_unit(unit), match_method=method))
-
     items = F.array(
-        maker(_c("maker"), 1), maker(_c("agent"), 0),
-        F.when(_c("name") != "", candidate("common_name", rank(1, pos), at(
-            value=_c("name"), match_method="explicit_label"))),
-        F.when(labelled.isNotNull(), candidate("net_quantity", rank(1, pos), labelled)),
-        F.when(plain.isNotNull() & ~T.found(text, P.DIMENSIONS_LIKE) & ~_c("names_usp"),
-               candidate("net_quantity", rank(3, pos), plain)),
-        F.when(eligible & _c("mrp").isNotNull(), money(1, _c("mrp"), True)),
-        F.when(eligible & _c("mrp").isNull() & price_amount.isNotNull(), money(2, price_amount, None)),
-        F.when(is_care & contact.isNotNull(), candidate("consumer_care", rank(1, pos), at(value=contact))),
-        F.when(_c("email").isNotNull(), candidate("consumer_care", rank(2, pos), at(
-            value=_c("email"), partial=True))),
-        F.when(_c("phone").isNotNull(), candidate("consumer_care", rank(3, pos), at(
-            value=_c("phone"), partial=True))),
-        F.when(_c("origin").rlike("[A-Za-z]"), candidate("country_of_origin", rank(1, pos), at(
-            value=T.clean_origin(_c("origin"))))),
-        F.when(_c("usp").isNotNull(), unit_price(1, _c("usp"), _c("usp_unit"), "explicit_label")),
-        F.when(_c("per_amount").isNotNull() & ~_c("false_context")
-               & T.plausible_price(_c("per_amount")),
-               unit_price(2, _c("per_amount"), _c("per_unit"), "per_unit_form")),
-        F.when(_c("dims").isNotNull(), candidate("dimensions", rank(1, pos), at(
-            value=T.strip_space(_c("dims")), unit=T.norm_unit(_c("dims_unit"))))),
-        F.when(_c("importer"), candidate(IMPORTER_FLAG, rank(1, pos), at(value="true"))),
+        maker(c("maker"), 1), maker(c("agent"), 0),
+        F.when(c("name") != "", finding("common_name", 1, c("name"), match_method="explicit_label")),
+        F.when(c("q").isNotNull(),
+               _quantity_finding(1, c("q"), c("q_unit"), c("confidence"), options)),
+        F.when(c("p.unit").isNotNull(),
+               _quantity_finding(3, c("p"), c("p_unit"), c("confidence"), options)),
+        F.when(c("priced") & c("mrp").isNotNull(), finding(
+            "mrp", 1, T.plain_amount(c("mrp")), currency="INR", context_confirmed=True)),
+        F.when(c("priced") & c("mrp").isNull() & c("plain_price").isNotNull(), finding(
+            "mrp", 2, T.plain_amount(c("plain_price")), currency="INR")),
+        F.when(c("is_care") & contact.isNotNull(), finding("consumer_care", 1, contact)),
+        F.when(c("email").isNotNull(), finding("consumer_care", 2, c("email"), partial=True)),
+        F.when(c("phone").isNotNull(), finding("consumer_care", 3, c("phone"), partial=True)),
+        F.when(c("clean_origin").isNotNull(), finding("country_of_origin", 1, c("clean_origin"))),
+        F.when(c("usp").isNotNull(), finding(
+            "unit_sale_price", 1, T.plain_amount(c("usp")), unit=T.norm_unit(c("usp_unit")),
+            currency="INR", match_method="explicit_label")),
+        F.when(c("per_ok"), finding(
+            "unit_sale_price", 2, T.plain_amount(c("per_amount")), unit=T.norm_unit(c("per_unit")),
+            currency="INR", match_method="per_unit_form")),
+        F.when(c("dims").isNotNull(), finding(
+            "dimensions", 1, T.strip_space(c("dims")), unit=T.norm_unit(c("dims_unit")))),
+        F.when(c("importer"), finding(IMPORTER_FLAG, 1, F.lit("true"))),
     )
-    return (
-        g.select("scan_id", F.filter(items, lambda x: x.isNotNull()).alias("items"))
-        .select("scan_id", _as_candidates(_c("items")).alias("c"))
-        .select("scan_id", "c.field", "c.rank", "c.ev")
+    keep = ["scan_id", "pos", "image_index", "confidence", *BOX]
+    hits = (
+        settled.select(*keep, text.alias("raw_text"), c("ctx2").alias("context"), items.alias("items"))
+        .select(*keep, "raw_text", "context",
+                F.explode(F.filter("items", lambda x: x.isNotNull())).alias("f"))
+        .select(*keep, "raw_text", "context", "f.*")
     )
+    return candidates(hits, c("field"), rank(c("tier"), c("pos"), 0, c("a"), c("b")))
 
 
 # --- label lines and their neighbours ---------------------------------------
-def label_candidates(labels: DataFrame, options: Options = DEFAULT) -> DataFrame:
-    """Candidates whose value sits on a neighbour of a label-only line."""
-    text, pos, bits = _c("text"), _c("pos"), _c("bits")
-
-    def has(kind: int) -> Column:
-        return _c("kinds").bitwiseAND(kind) > 0
-
-    def legible(c: Column) -> Column:
-        return readable(c["confidence"], options)
+def _stop_at(stop) -> Column:
+    """1-based place of the first candidate that ends the search, or 0."""
+    return F.array_position(
+        F.transform("cands", lambda x: F.coalesce(stop(T.strip_value(x["text"])), F.lit(False))),
+        F.lit(True))
+
+
+def _neighbours(labels: DataFrame, kind: int, count: int, stop=None) -> DataFrame:
+    """One row per label line of a kind and candidate ahead of the stop."""
+    df = labels.filter(_c("kinds").bitwiseAND(kind) > 0)
+    if stop is not None:
+        at = _stop_at(stop)
+        df = df.withColumn("cands", F.when(at > 0, F.slice("cands", F.lit(1), (at - 1).cast("int")))
+                           .otherwise(_c("cands")))
+    return df.select(
+        "scan_id", _c("pos").alias("label_pos"), _c("text").alias("label"),
+        _c("ctx2").alias("label_context"), "bits",
+        F.posexplode(F.slice("cands", 1, count)).alias("i", "line"),
+    ).select("scan_id", "label_pos", "label", "label_context", "bits", "i", "line.*")
+
+
+def label_makers(labels: DataFrame, options: Options = DEFAULT) -> DataFrame:
+    """Name and address: all candidates up to the next declaration compete."""
+
+    def stop(value: Column) -> Column:
+        return (value != "") & (
+            T.found(value, P.OTHER_DECLARATION) | F.contains(F.lower(value), F.lit("customer care")))
 
-    def indexed(cands: Column) -> Column:
-        return F.transform(cands, lambda c, i: F.struct(c.alias("line"), i.alias("i")))
+    rows = _neighbours(labels, LABEL_MAKER, 5, stop).withColumn("value", T.strip_value(_c("text")))
+    rows = rows.filter(readable(_c("confidence"), options) & (T.letters(_c("value")) >= 3))
+    exact_maker, exact_agent = T.found(_c("label"), P.MAKER_ALONE), T.found(_c("label"), P.AGENT_ALONE)
+    is_maker = exact_maker | (~exact_agent & (_c("bits").bitwiseAND(fuzzy.MAKER) > 0))
+    score = (
+        F.when(T.found(_c("value"), P.COMPANY_HINT), 1).otherwise(0)
+        + F.when(exact_maker | exact_agent, 2).otherwise(0) + F.when(is_maker, 4).otherwise(0))
+    return candidates(
+        rows, "manufacturer",
+        rank(1, _c("label_pos") + (1 << 41), _c("i"), -score, -F.coalesce("confidence", F.lit(0.0))),
+        raw_text=F.concat_ws(" ", "label", "value"), context=_c("ctx2"),
+        label_match=F.when(exact_maker | exact_agent, "exact").otherwise("fuzzy"),
+        label_type=F.when(is_maker, "manufacturer").otherwise("packer_importer_marketer"))
+
+
+def label_names(labels: DataFrame, options: Options = DEFAULT) -> DataFrame:
+    rows = _neighbours(labels, LABEL_NAME, 2).withColumn("value", T.strip_value(_c("text")))
+    blocked = F.lit(False)
+    for word in P.NAME_BLOCKERS:
+        blocked = blocked | F.contains(F.lower("value"), F.lit(word))
+    usable = rows.filter(
+        readable(_c("confidence"), options) & ~blocked & _c("value").rlike("[A-Za-z]"))
+    return candidates(
+        usable, "common_name", rank(2, _c("label_pos"), _c("i")), raw_text=_c("text"),
+        context=_c("label_context"), label_evidence=_c("label"), match_method="explicit_label")
+
+
+def label_quantities(labels: DataFrame, options: Options = DEFAULT) -> DataFrame:
+    text = _c("text")
+    rows = _neighbours(labels, LABEL_QUANTITY, 2).withColumns({
+        "plain": T.group(text, P.QTY_PLAIN, 1), "named": T.group(text, P.QTY_VALUE, 1),
+    }).withColumns({
+        "number": F.coalesce("plain", "named", T.group(text, P.QTY_BARE, 1)),
+        "raw_unit": F.when(_c("plain").isNotNull(), T.group(text, P.QTY_PLAIN, 2)).when(
+            _c("named").isNotNull(), T.group(text, P.QTY_VALUE, 2)),
+    })
+    read = (
+        rows.filter(_c("number").isNotNull() & ~_not_quantity(text, _c("number"), _c("raw_unit")))
+        .withColumn("q", T.resolve_unit(_c("number"), _c("raw_unit"), True))
+        .withColumn("f", _quantity_finding(2, _c("q"), _c("raw_unit"), _c("confidence"), options))
+    )
+    return candidates(
+        read.select("*", *[_c(f"f.{n}").alias(n) for n in
+                           ("value", "unit", "unit_status", "corrected_from_ocr")]),
+        "net_quantity", rank(2, _c("label_pos"), _c("i")),
+        raw_text=T.strip_space(F.concat_ws(" ", "label", "text")), context=_c("label_context"))
 
-    def usable(cands: Column, make) -> Column:
-        made = F.transform(indexed(cands), lambda x: make(x["line"], x["i"]))
-        return F.filter(made.cast(f"array<{CANDIDATE_TYPE}>"), lambda x: x.isNotNull())
 
-    def first(kind: int, cands: Column, make) -> Column:
-        return F.when(has(kind), F.slice(usable(cands, make), 1, 1)).otherwise(no_candidates())
+def label_origins(labels: DataFrame, options: Options = DEFAULT) -> DataFrame:
+    rows = _neighbours(labels, LABEL_ORIGIN, 2).withColumn("word", T.strip_value(_c("text")))
+    usable = rows.filter(readable(_c("confidence"), options) & (T.letters(_c("word")) >= 3))
+    return candidates(
+        usable.withColumn("value", T.clean_origin(_c("word"))), "country_of_origin",
+        rank(2, _c("label_pos"), _c("i")), raw_text=F.concat_ws(" ", "label", "word"),
+        context=_c("ctx2"),
+        label_match=F.when(T.found(_c("label"), P.ORIGIN_ALONE), "exact").otherwise("fuzzy"))
 
-    # name and address: every candidate up to the next declaration competes
-    exact_maker, exact_agent = T.found(text, P.MAKER_ALONE), T.found(text, P.AGENT_ALONE)
-    quality = F.when(exact_maker | exact_agent, 1).otherwise(0)
-    tier = (
-        F.when(exact_maker, 1).when(exact_agent, 0)
-        .when(bits.bitwiseAND(fuzzy.MAKER) > 0, 1).otherwise(0)
-    )
 
-    def maker(c: Column, i: Column) -> Column:
-        value = T.strip_value(c["text"])
-        hint = F.when(T.found(value, P.COMPANY_HINT), 1).otherwise(0)
-        ev = evidence(
-            c, value=value, raw_text=F.concat_ws(" ", text, value), context=c["ctx2"],
-            label_match=F.when(quality == 1, "exact").otherwise("fuzzy"),
-            label_type=F.when(tier == 1, "manufacturer").otherwise("packer_importer_marketer"))
-        order = rank(1, pos + (1 << 41), i, -tier, -quality, -hint,
-                     -F.coalesce(c["confidence"], F.lit(0.0)))
-        return F.when((value != "") & legible(c) & (T.letters(value) >= 3),
-                      candidate("manufacturer", order, ev))
-
-    def other_declaration(c: Column) -> Column:
-        value = T.strip_value(c["text"])
-        return (value != "") & (
-            T.found(value, P.OTHER_DECLARATION) | F.contains(F.lower(value), F.lit("customer care")))
-
-    makers = F.when(
-        has(LABEL_MAKER), usable(until_stop(F.slice("cands", 1, 5), other_declaration), maker)
-    ).otherwise(no_candidates())
-
-    def name(c: Column, i: Column) -> Column:
-        value = T.strip_value(c["text"])
-        blocked = F.lit(False)
-        for word in P.NAME_BLOCKERS:
-            blocked = blocked | F.contains(F.lower(value), F.lit(word))
-        return F.when(
-            legible(c) & (value != "") & ~blocked & value.rlike("[A-Za-z]"),
-            candidate("common_name", rank(2, pos, i), evidence(
-                c, value=value, raw_text=c["text"], context=_c("ctx2"), label_evidence=text,
-                match_method="explicit_label")))
-
-    def quantity(c: Column, i: Column) -> Column:
-        plain, named = T.group(c["text"], P.QTY_PLAIN, 1), T.group(c["text"], P.QTY_VALUE, 1)
-        number = F.coalesce(plain, named, T.group(c["text"], P.QTY_BARE, 1))
-        unit = F.when(plain.isNotNull(), T.group(c["text"], P.QTY_PLAIN, 2)).when(
-            named.isNotNull(), T.group(c["text"], P.QTY_VALUE, 2))
-        ev = _quantity(c, number, unit, True, options, context=_c("ctx2"),
-                       raw_text=T.strip_space(F.concat_ws(" ", text, c["text"])))
-        return F.when(ev.isNotNull(), candidate("net_quantity", rank(2, pos, i), ev))
-
-    def origin(c: Column, i: Column) -> Column:
-        value = T.strip_value(c["text"])
-        return F.when(
-            legible(c) & (T.letters(value) >= 3),
-            candidate("country_of_origin", rank(2, pos, i), evidence(
-                c, value=T.clean_origin(value), raw_text=F.concat_ws(" ", text, value),
-                context=c["ctx2"],
-                label_match=F.when(T.found(text, P.ORIGIN_ALONE), "exact").otherwise("fuzzy"))))
-
-    two = F.slice("cands", 1, 2)
-    items = F.concat(
-        makers, first(LABEL_NAME, two, name), first(LABEL_QUANTITY, two, quantity),
-        first(LABEL_ORIGIN, two, origin))
+def label_candidates(labels: DataFrame, options: Options = DEFAULT) -> DataFrame:
+    """Candidates whose value sits on a neighbour of a label-only line."""
     return (
-        labels.select("scan_id", items.alias("items"))
-        .select("scan_id", _as_candidates(_c("items")).alias("c"))
-        .select("scan_id", "c.field", "c.rank", "c.ev")
+        label_makers(labels, options).unionByName(label_names(labels, options))
+        .unionByName(label_quantities(labels, options)).unionByName(label_origins(labels, options))
     )
 
 
 # --- dates ------------------------------------------------------------------
+def _date_rows(df: DataFrame, source: int, i: Column) -> DataFrame:
+    """Common columns: text and image of a date, its role, place and evidence."""
+    return df.select(
+        "scan_id", "image_index", "date_text", "role", F.lit(source).alias("source"),
+        F.struct(F.lit(source).alias("source"), _c("seq_pos").cast("bigint").alias("pos"),
+                 i.cast("bigint").alias("i")).alias("seq"),
+        F.struct(_c("date_text").alias("value"), "raw_text", "confidence", *BOX, "image_index",
+                 "context", _c("day").alias("parsed_date")).alias("ev"))
+
+
 def line_dates(ready: DataFrame) -> DataFrame:
     """Dates on their own line, each with the role its text supports."""
     text = _c("text")
@@ -296,8 +291,8 @@ def line_dates(ready: DataFrame) -> DataFrame:
         .select("scan_id", "pos", "image_index", "text", "confidence", *BOX, "ctx1",
                 F.explode(T.date_matches(text)).alias("m"))
         .withColumn("date_text", T.clean_date(T.strip_space(_c("m.raw"))))
-        .withColumn("read", T.read_date(_c("date_text")))
-        .filter(_c("read.ok") & ~T.phone_fragment(text, _c("date_text")))
+        .filter(~T.phone_fragment(text, _c("date_text")))
+        .withColumn("read", T.read_date(_c("date_text"))).filter("read.ok")
     )
     line_mfg, line_exp = T.found(text, P.MFG_WORDS), T.found(text, P.EXP_WORDS)
     role = F.coalesce(
@@ -305,86 +300,52 @@ def line_dates(ready: DataFrame) -> DataFrame:
         F.when(line_mfg & ~line_exp, "manufacturing").when(line_exp & ~line_mfg, "best_before_use_by")
         .when(line_mfg & line_exp, "unclear"),
         T.date_role_of(F.concat_ws(" ", text, _c("ctx1"))))
-    line = F.struct("confidence", *BOX, "image_index")
-    return (
-        hits.withColumn("role", role)
-        .filter(~((_c("role") == "unclear") & T.found(text, P.NOT_DATE_CONTEXT)))
-        .select(
-            "scan_id", "image_index", "date_text", "role", F.lit(1).alias("source"),
-            F.struct(F.lit(1).alias("pass"), "pos", F.col("m.i").cast("bigint").alias("i")).alias("seq"),
-            evidence(line, value=_c("date_text"), raw_text=text, context=_c("ctx1"),
-                     date_role=_c("role"), parsed_date=_c("read.day")).alias("ev"))
-    )
+    roled = hits.withColumn("role", role).filter(
+        (_c("role") != "unclear") | ~T.found(text, P.NOT_DATE_CONTEXT))
+    return _date_rows(
+        roled.withColumns({"seq_pos": _c("pos"), "raw_text": text, "context": _c("ctx1"),
+                           "day": _c("read.day")}), 1, _c("m.i"))
 
 
 def label_dates(labels: DataFrame) -> DataFrame:
-    """Dates that a date label without one finds among its nearest candidates."""
-
-    def stop(c: Column) -> Column:
-        t = T.strip_space(c["text"])
-        other = T.found(t, P.MFG_WORDS) | T.found(t, P.EXP_WORDS) | T.found(t, P.DECLARATION_START)
-        return (t != "") & ~T.found(t, P.DATE_SHAPE) & other
-
-    def dates(c: Column) -> Column:
-        t = T.strip_space(c["text"])
-        read = F.transform(
-            T.matches(t, P.DATE_SHAPE, 1),
-            lambda raw, i: F.struct(i.alias("i"), T.strip_space(raw).alias("raw"),
-                                    T.read_date(raw).alias("read")))
-        return F.filter(read, lambda d: d["read"]["ok"] & ~T.phone_fragment(t, d["raw"]))
-
-    ahead = until_stop(F.slice("cands", 1, 3), stop)
-    dated = F.filter(
-        F.transform(ahead, lambda c: F.struct(c.alias("line"), dates(c).alias("dates"))),
-        lambda x: F.size(x["dates"]) > 0)
-    found = (
-        labels.filter(_c("kinds").bitwiseAND(LABEL_DATE) > 0)
-        .withColumn("role", T.date_role_of(_c("text")))
-        .withColumn("hit", F.get(dated, F.lit(0)))
-        .filter("hit is not null")
-        .select("scan_id", "pos", "role", "hit.line", F.explode("hit.dates").alias("d"))
+    """Dates that a date label without one finds on its nearest dated candidate."""
+
+    def stop(value: Column) -> Column:
+        other = T.found(value, P.MFG_WORDS) | T.found(value, P.EXP_WORDS) | T.found(
+            value, P.DECLARATION_START)
+        return (value != "") & ~T.found(value, P.DATE_SHAPE) & other
+
+    near = _neighbours(labels, LABEL_DATE, 3, stop).withColumn("raw_text", T.strip_space(_c("text")))
+    dated = (
+        near.select("*", F.posexplode(T.matches(_c("raw_text"), P.DATE_SHAPE, 1)).alias("k", "raw"))
+        .withColumn("date_text", T.strip_space(_c("raw")))
+        .filter(~T.phone_fragment(_c("raw_text"), _c("date_text")))
+        .withColumn("read", T.read_date(_c("date_text"))).filter("read.ok")
     )
-    return found.select(
-        "scan_id", _c("line.image_index").alias("image_index"), _c("d.raw").alias("date_text"),
-        "role", F.lit(2).alias("source"),
-        F.struct(F.lit(2).alias("pass"), "pos", F.col("d.i").cast("bigint").alias("i")).alias("seq"),
-        evidence(_c("line"), value=_c("d.raw"), raw_text=T.strip_space(_c("line.text")),
-                 context=_c("line.ctx2"), date_role=_c("role"),
-                 parsed_date=_c("d.read.day")).alias("ev"))
+    nearest = F.min("i").over(Window.partitionBy("scan_id", "label_pos"))  # five lines at most
+    return _date_rows(
+        dated.withColumn("first", nearest).filter(_c("i") == _c("first"))
+        .withColumns({"seq_pos": _c("label_pos"), "context": _c("ctx2"), "day": _c("read.day"),
+                      "role": T.date_role_of(_c("label"))}), 2, _c("k"))
 
 
 def durations(ready: DataFrame, labels: DataFrame) -> DataFrame:
     """Shelf lives after a best-before label, on its line or on the next ones."""
     text = _c("text")
-    line = F.struct("confidence", *BOX, "image_index")
-
-    def rows(df: DataFrame) -> DataFrame:
-        return df.filter("life is not null").select(
-            "scan_id", "image_index", _c("life").alias("date_text"),
-            F.lit("best_before_use_by").alias("role"), F.lit(3).alias("source"),
-            F.struct(F.lit(3).alias("pass"), "pos", F.lit(0).cast("bigint").alias("i")).alias("seq"),
-            evidence(line, value=_c("life"), raw_text=text, context=_c("ctx2"),
-                     date_role="best_before_use_by").alias("ev"))
-
     same = ready.filter(T.found(text, P.DURATION_LABEL)).withColumn(
-        "life", T.duration_in(T.after_match(text, P.DURATION_LABEL, P.TAIL_LENGTH)))
-
-    def stop(c: Column) -> Column:
-        return T.found(T.strip_space(c["text"]), P.DECLARATION_START)
-
-    ahead = until_stop(F.slice("cands", 1, 2), stop)
-    lives = F.filter(F.transform(ahead, lambda c: T.duration_in(T.strip_space(c["text"]))),
-                     lambda v: v.isNotNull())
-    near = labels.filter(_c("kinds").bitwiseAND(LABEL_DURATION) > 0).withColumn(
-        "life", F.get(lives, F.lit(0)))
-    return rows(same).unionByName(rows(near))
-
-
-def _with_role(entry: Column, role: Column) -> Column:
-    ev = entry["ev"]
-    named = F.struct(*[
-        (role if n == "date_role" else ev[n]).cast(k).alias(n) for n, k in EVIDENCE.items()])
-    return F.struct(entry["seq"].alias("seq"), role.alias("role"), named.alias("ev"))
+        "date_text", T.duration_in(T.after_match(text, P.DURATION_LABEL, P.TAIL_LENGTH)))
+    near = labels.filter(_c("kinds").bitwiseAND(LABEL_DURATION) > 0)
+    at = _stop_at(lambda value: T.found(value, P.DECLARATION_START))
+    ahead = F.slice("cands", F.lit(1), F.when(at > 0, F.least(at - 1, F.lit(2))).otherwise(2).cast("int"))
+    lives = F.transform(ahead, lambda x: T.duration_in(T.strip_space(x["text"])))
+    below = near.withColumn("lives", lives).withColumn(
+        "date_text", F.get(F.filter("lives", lambda v: v.isNotNull()), F.lit(0)))
+    keep = ["scan_id", "pos", "image_index", "text", "confidence", *BOX, "ctx2", "date_text"]
+    rows = same.select(*keep).unionByName(below.select(*keep)).filter("date_text is not null")
+    return _date_rows(
+        rows.withColumns({"seq_pos": _c("pos"), "raw_text": text, "context": _c("ctx2"),
+                          "role": F.lit("best_before_use_by"), "day": F.lit(None).cast("date")}),
+        3, F.lit(0))
 
 
 def all_dates(ready: DataFrame, labels: DataFrame) -> DataFrame:
@@ -399,64 +360,65 @@ def all_dates(ready: DataFrame, labels: DataFrame) -> DataFrame:
         F.min_by(F.struct("seq", "ev"), "seq").alias("e"))
     # at most three roles from lines and two from labels: a bounded list per text
     entry = F.struct("e.seq", "role", "e.ev")
-    grouped = once.groupBy("scan_id", "image_index", "date_text").agg(
-        F.array_sort(F.collect_list(F.when(_c("source") == 1, entry)),
-                     ).alias("own"),
-        F.collect_list(F.when(_c("source") == 2, entry)).alias("linked"))
-    by_seq = F.array_sort(
-        F.transform("linked", lambda x: F.struct(x["seq"].alias("seq"), x["role"].alias("role"), x["ev"].alias("ev"))))
-    first = F.get(by_seq, F.lit(0))
-    upgrades = F.exists("own", lambda x: x["role"] == "unclear") & first.isNotNull()
-    own = F.transform(
-        "own",
-        lambda x: F.when(upgrades & (x["role"] == "unclear"), _with_role(x, first["role"]))
-        .otherwise(_with_role(x, x["role"])))
-    added = F.filter(
-        F.transform(by_seq, lambda x: _with_role(x, x["role"])),
-        lambda x: ~(upgrades & (x["seq"] == first["seq"]))
-        & ~F.exists(own, lambda o: o["role"] == x["role"]))
-    merged = grouped.select("scan_id", "image_index", F.explode(F.concat(own, added)).alias("x"))
-    lives = durations(ready, labels).select("scan_id", "image_index", "seq", "role", "ev")
-    return merged.select("scan_id", "image_index", "x.seq", "x.role", "x.ev").unionByName(lives)
+    grouped = (
+        once.groupBy("scan_id", "image_index", "date_text").agg(
+            F.collect_list(F.when(_c("source") == 1, entry)).alias("own"),
+            F.collect_list(F.when(_c("source") == 2, entry)).alias("linked"),
+            F.min_by("role", F.when(_c("source") == 2, _c("e.seq"))).alias("new_role"),
+            F.min(F.when(_c("source") == 2, _c("e.seq"))).alias("new_seq"),
+            F.bool_or((_c("source") == 1) & (_c("role") == "unclear")).alias("open"))
+        .withColumn("upgrades", _c("open") & _c("new_seq").isNotNull())
+        .withColumn("own", F.transform("own", lambda x: F.struct(
+            x["seq"].alias("seq"),
+            F.when(_c("upgrades") & (x["role"] == "unclear"), _c("new_role")).otherwise(x["role"]).alias("role"),
+            x["ev"].alias("ev"))))
+        .withColumn("roles", F.transform("own", lambda x: x["role"]))
+        .withColumn("added", F.filter("linked", lambda x: ~(
+            _c("upgrades") & (x["seq"] == _c("new_seq"))) & ~F.array_contains(_c("roles"), x["role"])))
+    )
+    merged = grouped.select("scan_id", F.explode(F.concat("own", "added")).alias("x"))
+    lives = durations(ready, labels).select("scan_id", "seq", "role", "ev")
+    return merged.select("scan_id", "x.seq", "x.role", "x.ev").unionByName(lives)
 
 
 def date_fields(dates: DataFrame) -> DataFrame:
     """Manufacturing and expiry slots per scan, by label and else by chronology."""
     day = _c("ev.parsed_date")
-    dated = day.isNotNull()
+    dated, expiry = day.isNotNull(), _c("role") == "best_before_use_by"
     maker_slot = _c("role").isin("manufacturing", "unclear")
-    order = F.struct(day, _c("seq"))
+    entry, order = F.struct("role", "ev"), F.struct(day, _c("seq"))
     agg = dates.groupBy("scan_id").agg(
-        F.min_by("ev", F.when(maker_slot, _c("seq"))).alias("mfg"),
-        F.count_if(maker_slot).alias("n_mfg"),
-        F.min_by("ev", F.when(_c("role") == "best_before_use_by", _c("seq"))).alias("exp"),
-        F.count_if(_c("role") == "best_before_use_by").alias("n_exp"),
+        F.min_by(entry, F.when(maker_slot, _c("seq"))).alias("m"),
+        F.min_by(entry, F.when(expiry, _c("seq"))).alias("e"),
         F.count_if(dated).alias("n_dated"),
         F.count_if(dated & (_c("role") != "unclear")).alias("n_roled"),
         F.min_by("ev", F.when(dated, order)).alias("early"),
         F.max_by("ev", F.when(dated, order)).alias("late"))
-    mfg = F.when(_c("n_mfg") > 0, _c("mfg"))
-    exp = F.when(_c("n_exp") > 0, _c("exp"))
-    by_time = (
-        F.coalesce(mfg["date_role"] != "manufacturing", F.lit(True)) & (_c("n_exp") == 0)
+    by_time = F.coalesce(
+        ~F.coalesce(_c("m.role") == "manufacturing", F.lit(False)) & _c("e").isNull()
         & (_c("n_dated") == 2) & (_c("n_roled") == 0)
         & (_c("early.parsed_date") < _c("late.parsed_date"))
-        & (_c("early.image_index") == _c("late.image_index")))
-
-    def inferred(ev: Column, role: str) -> Column:
-        over = {"date_role": F.lit(role), "inferred": F.lit(True), "role_source": F.lit("chronology")}
-        return F.struct(*[over.get(n, ev[n]).cast(k).alias(n) for n, k in EVIDENCE.items()])
-
-    slots = F.array(
-        F.struct(F.lit("manufacturing_date").alias("field"),
-                 F.when(by_time, inferred(_c("early"), "manufacturing")).otherwise(mfg).alias("ev")),
-        F.struct(F.lit("expiry_date").alias("field"),
-                 F.when(by_time, inferred(_c("late"), "best_before_use_by")).otherwise(exp).alias("ev")))
-    return (
-        agg.select("scan_id", F.explode(slots).alias("s"))
-        .filter("s.ev is not null")
-        .select("scan_id", "s.field", rank(1, F.lit(0)).alias("rank"), "s.ev")
+        & (_c("early.image_index") == _c("late.image_index")), F.lit(False))
+
+    def slot(field: str, role: str, labelled: str, timed: str) -> Column:
+        plain = F.when(_c(labelled).isNotNull(), F.struct(
+            F.lit(field).alias("field"), _c(f"{labelled}.role").alias("date_role"),
+            _c(f"{labelled}.ev").alias("d")))
+        return F.when(_c("by_time"), F.struct(
+            F.lit(field).alias("field"), F.lit(role).alias("date_role"), _c(timed).alias("d"))
+        ).otherwise(plain)
+
+    slots = (
+        agg.withColumn("by_time", by_time)
+        .select("scan_id", "by_time", F.explode(F.array(
+            slot("manufacturing_date", "manufacturing", "m", "early"),
+            slot("expiry_date", "best_before_use_by", "e", "late"))).alias("s"))
+        .filter("s is not null")
+        .select("scan_id", "by_time", "s.field", "s.date_role", "s.d.*")
     )
+    return candidates(
+        slots, _c("field"), rank(1, 0),
+        inferred=F.when(_c("by_time"), True), role_source=F.when(_c("by_time"), "chronology"))
 
 
 # --- assembly ---------------------------------------------------------------
@@ -464,12 +426,12 @@ def blank_fields(scans: DataFrame) -> DataFrame:
     """The worst candidate of every field for every scan, so none goes missing."""
     fields = [f for f in P.FIELDS if f != P.PLACEMENT_FIELD]
     return scans.select("scan_id", F.explode(F.array(*[F.lit(f) for f in fields])).alias("field")).select(
-        "scan_id", "field", rank(99, F.lit(0)).alias("rank"), evidence().alias("ev"))
+        "scan_id", "field", rank(99, 0).alias("rank"), evidence().alias("ev"))
 
 
-def choose(candidates: DataFrame) -> DataFrame:
+def choose(rows: DataFrame) -> DataFrame:
     """Best candidate per scan and field, with the number of plain prices seen."""
-    return candidates.groupBy("scan_id", "field").agg(
+    return rows.groupBy("scan_id", "field").agg(
         F.min_by("ev", "rank").alias("ev"), F.min("rank").alias("rank"),
         F.count_if((_c("field") == "mrp") & (_c("rank.tier") == 2)).alias("prices"))
 
@@ -531,20 +493,19 @@ def extract(lines: DataFrame, options: Options = DEFAULT, scans: DataFrame | Non
     labels = materialize(label_lines_with_values(ready, ready))
     direct = line_candidates(ready, options).unionByName(label_candidates(labels, options))
     descriptors = descriptor_names(ready, options)
-    by_label = label_candidates(
-        labels.filter(_c("kinds").bitwiseAND(LABEL_NAME) > 0), options)
+    by_label = label_names(labels, options)
     named = (
         ready.filter(T.strip_value(T.group(_c("text"), P.NAME_VALUE, 1)) != "").select("scan_id")
-        .unionByName(by_label.filter(_c("field") == "common_name").select("scan_id"))
+        .unionByName(by_label.select("scan_id"))
         .unionByName(descriptors.select("scan_id")).distinct()
     )
     unnamed = ready.join(named, "scan_id", "left_anti")
     everyone = lines.select("scan_id").distinct() if scans is None else (
         lines.select("scan_id").unionByName(scans.select("scan_id")).distinct())
-    candidates = (
+    found = (
         direct.unionByName(descriptors)
         .unionByName(prominent_names(unnamed, options))
         .unionByName(date_fields(all_dates(ready, labels)))
         .unionByName(blank_fields(everyone))
     )
-    return assemble(choose(candidates), options)
+    return assemble(choose(found), options)

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from labelscope.functions import patterns as P
 from labelscope.functions import text as T
-from labelscope.operators.evidence import candidate, evidence, rank
+from labelscope.operators.evidence import candidates, rank
 from labelscope.operators.sequence import BOX
 from labelscope.operators.tables import readable
 from labelscope.operators.vocabulary import count_descriptors
@@ -181,10 +181,8 @@ def prominent_names(ready: DataFrame, options: Options = DEFAULT) -> DataFrame:
     """Common-name candidates of the third tier, one per scan at most."""
     names = pick_names(rank_phrases(ready, options))
     around = ready.select("scan_id", F.col("pos").alias("idx"), F.col("ctx2"))
-    line = F.struct("confidence", *BOX, "image_index")
-    c = candidate("common_name", rank(4, F.col("idx")), evidence(
-        line, value=F.col("value"), raw_text=F.col("text"), context=F.col("ctx2"),
-        match_method="visual_prominence", partial=True, inferred=True,
-        prominence_ratio=F.col("prominence_ratio"), name_score=F.col("final_score")))
-    return names.join(around, ["scan_id", "idx"], "left").select(
-        "scan_id", c.alias("c")).select("scan_id", "c.field", "c.rank", "c.ev")
+    rows = names.join(around, ["scan_id", "idx"], "left")
+    return candidates(
+        rows, "common_name", rank(4, F.col("idx")), raw_text=F.col("text"),
+        context=F.col("ctx2"), match_method="visual_prominence", partial=F.lit(True),
+        inferred=F.lit(True), name_score=F.col("final_score"))

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from labelscope.functions import fuzzy
 from labelscope.functions import patterns as P
 from labelscope.functions import text as T
-from labelscope.operators.evidence import candidate, evidence, rank
-from labelscope.operators.sequence import BOX
+from labelscope.operators.evidence import candidates, rank
 from labelscope.operators.tables import readable
 from labelscope.options import DEFAULT, Options
 
@@ -22,10 +21,8 @@ def resolved_units(lines: DataFrame) -> DataFrame:
     pairs = lines.select(
         T.group(text, P.QTY_VALUE, 1).alias("number"), T.group(text, P.QTY_VALUE, 2).alias("raw_unit")
     ).filter("number is not null").distinct()
-    r = T.resolve_unit(F.col("number"), F.col("raw_unit"), F.lit(True))
-    return pairs.select(
-        "number", "raw_unit", r["value"].alias("value"),
-        F.when(T.valid_unit(r["unit"]), r["unit"]).alias("unit"), r["how"].alias("how"))
+    read = pairs.withColumn("r", T.resolve_unit(F.col("number"), F.col("raw_unit"), True))
+    return read.select("number", "raw_unit", "r.value", "r.unit", "r.how")
 
 
 def garbled_labels(lines: DataFrame) -> DataFrame:
@@ -109,9 +106,8 @@ def descriptor_names(ready: DataFrame, options: Options = DEFAULT) -> DataFrame:
         .agg(F.min_by("pos", F.struct((-F.col("score")).alias("s"), (-F.col("conf")).alias("c"), "pos")
                       ).alias("pos"))
     )
-    line = F.struct("confidence", *BOX, "image_index")
     rows = ready.join(best, ["scan_id", "pos"])
-    c = candidate("common_name", rank(3, F.col("pos")), evidence(
-        line, value=T.strip_value(F.col("text")), raw_text=F.col("text"), context=F.col("ctx2"),
-        match_method="descriptor_vocabulary", partial=True))
-    return rows.select("scan_id", c.alias("c")).select("scan_id", "c.field", "c.rank", "c.ev")
+    return candidates(
+        rows, "common_name", rank(3, F.col("pos")), value=T.strip_value(F.col("text")),
+        raw_text=F.col("text"), context=F.col("ctx2"), match_method="descriptor_vocabulary",
+        partial=True)
