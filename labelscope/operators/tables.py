@@ -346,6 +346,8 @@ def merge_columns(lines: DataFrame, options: Options = DEFAULT) -> DataFrame:
     then left edge, across all their images.
     """
     members = materialize(table_blocks(lines, options))
+    if members.isEmpty():
+        return lines.withColumn("merged", F.lit(False))
     merged = materialize(merged_lines(members, table_pairs(members)))
     touched = merged.select("scan_id").distinct()
     cols = ["scan_id", "image_index", "ord", "text", *BOX, "confidence", "row_index", "column_index"]
