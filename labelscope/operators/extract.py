@@ -15,7 +15,7 @@ from labelscope.functions import fuzzy
 from labelscope.functions import patterns as P
 from labelscope.functions import text as T
 from labelscope.operators.evidence import EVIDENCE, candidates, evidence, finding, rank
-from labelscope.operators.sequence import BOX, in_sequence, oversized_scans, value_candidates
+from labelscope.operators.sequence import BOX, in_sequence, value_candidates
 from labelscope.operators.tables import merge_columns, readable
 from labelscope.options import DEFAULT, Options
 from labelscope.session import materialize
@@ -60,11 +60,11 @@ def ready_lines(lines: DataFrame, options: Options = DEFAULT) -> DataFrame:
     )
 
 
-def label_lines_with_values(ready: DataFrame, lines: DataFrame) -> DataFrame:
+def label_lines_with_values(ready: DataFrame) -> DataFrame:
     labels = ready.filter("kinds > 0").select(
         "scan_id", "run", "pos", "image_index", "text", "confidence", *BOX, "ctx2", "bits",
         "kinds", "following")
-    return value_candidates(labels, ready, oversized_scans(lines))
+    return value_candidates(labels, ready)
 
 
 # --- quantity ---------------------------------------------------------------
@@ -490,7 +490,7 @@ def extract(lines: DataFrame, options: Options = DEFAULT, scans: DataFrame | Non
 
     combined = merge_columns(lines, options)
     ready = ready_lines(combined, options)
-    labels = materialize(label_lines_with_values(ready, ready))
+    labels = materialize(label_lines_with_values(ready))
     direct = line_candidates(ready, options).unionByName(label_candidates(labels, options))
     descriptors = descriptor_names(ready, options)
     by_label = label_names(labels, options)

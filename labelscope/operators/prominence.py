@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from labelscope.functions import patterns as P
 from labelscope.functions import text as T
 from labelscope.operators.evidence import candidates, rank
-from labelscope.operators.sequence import BOX
+from labelscope.operators.sequence import BOX, islands
 from labelscope.operators.tables import readable
 from labelscope.operators.vocabulary import count_descriptors
 from labelscope.options import DEFAULT, Options
@@ -57,17 +57,12 @@ def phrases(lines: DataFrame, options: Options = DEFAULT) -> DataFrame:
     bridge, so each stretch is folded on its own.
     """
     legible = lines.filter((T.strip_space(F.col("text")) != "") & readable(F.col("confidence"), options))
-    order = Window.partitionBy(*PAGE).orderBy("y0", "x0", "pos")
-    reach = F.max("y1").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    gap = F.col("y0") - reach > P.JOIN_GAP_RATIO * _height(F.col("y0"), F.col("y1"))
-    starts = F.when(reach.isNull() | gap, 1).otherwise(0)
     item = F.struct(
         *[F.col(c).cast("double").alias(c) for c in ("y0", "x0")], "pos", "text",
         *[F.col(c).cast("double").alias(c) for c in ("x1", "y1")], "confidence")
     stretches = (
-        legible.withColumn("_s", starts)
-        .withColumn("stretch", F.sum("_s").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*PAGE, "stretch").agg(F.array_sort(F.collect_list(item)).alias("items"))
+        islands(legible, PAGE, P.JOIN_GAP_RATIO * _height(F.col("y0"), F.col("y1")))
+        .withColumnRenamed("island", "stretch").groupBy(*PAGE, "stretch").agg(F.array_sort(F.collect_list(item)).alias("items"))
     )
     kind = "array<struct<y0:double,x0:double,pos:bigint,text:string,x1:double,y1:double,confidence:double>>"
     folded = F.aggregate("items", F.expr(f"cast(array() as {kind})"), _join_phrase)

@@ -172,124 +172,80 @@ def value_geometry(label: str, cand: str) -> Column:
     )
 
 
-def _level(y0: Column, y1: Column) -> Column:
-    """Height class: the power of two that covers a line's text height."""
-    return F.ceil(F.log2(F.greatest(F.lit(1.0), (y1 - y0).cast("double")))).cast("int")
+BAND = 64  # pixels
 
 
-LEVELS = 16  # text heights past 2**16 pixels share the last, band-free class
+def bands(low: Column, high: Column) -> Column:
+    """Every horizontal band that a vertical stretch touches."""
+    return F.sequence(F.floor(low / BAND), F.floor(high / BAND))
 
 
-def _band_size(level: Column) -> Column:
-    return F.pow(F.lit(2.0), level) * 4
-
-
-def _grid_pairs(labels: DataFrame, lines: DataFrame) -> DataFrame:
-    """Label and line pairs close enough to matter, by height class and y band.
-
-    A pair meets at the class of its taller line, where the reach of a label
-    spans a few bands, so a crowded image never yields all its pairs.
-    """
-    top = F.lit(LEVELS)
-
-    def levels(df: DataFrame) -> DataFrame:
-        own = F.least(top, _level(F.col("y0"), F.col("y1")))
-        return df.withColumn("_own", own).withColumn("_level", F.explode(F.sequence(own, top)))
-
-    size = _band_size(F.col("_level"))
-    reach = F.pow(F.lit(2.0), F.col("_level"))
-    mid = (F.col("y0") + F.col("y1")) / 2
-    low = F.floor((F.least(mid, F.col("y0")) - 2 * reach) / size)
-    high = F.floor((F.col("y1") + 2 * reach) / size)
-    last = F.col("_level") == LEVELS
-    probes = levels(labels).withColumn(
-        "_band", F.explode(F.when(last, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(low, high))))
-    cells = levels(lines).withColumn(
-        "_band", F.when(last, F.lit(0).cast("bigint")).otherwise(F.floor(F.col("y0") / size)))
-    return (
-        probes.alias("l").join(
-            cells.alias("c"),
-            (F.col("l.scan_id") == F.col("c.scan_id")) & (F.col("l.run") == F.col("c.run"))
-            & (F.col("l._level") == F.col("c._level")) & (F.col("l._band") == F.col("c._band"))
-            & (F.greatest("l._own", "c._own") == F.col("l._level"))
-            & (F.col("l.pos") != F.col("c.pos")),
-        )
-    )
-
-
-def value_candidates(
-    labels: DataFrame, lines: DataFrame, big: DataFrame, count: int = FOLLOWING
-) -> DataFrame:
+def value_candidates(labels: DataFrame, lines: DataFrame, count: int = FOLLOWING) -> DataFrame:
     """Add `cands`: up to `count` lines that may hold each label line's value.
 
     Where the boxes of the run differ, geometry alone decides: to the right in
     the row, or below and aligned, nearest first. Where all boxes are equal the
-    following lines are taken. Both inputs come from `in_sequence`; `big` is
-    `oversized_scans` of the lines it was given.
+    following lines are taken. Label and line meet in the bands that both reach
+    (a reach grows with the text height), so a crowded image never pairs all
+    its lines; a pair counts in the first band it shares.
     """
-    narrow = lines.select("scan_id", "run", "pos", "image_index", "text", "confidence", *BOX, "ctx2")
-    keys = labels.select("scan_id", "run", "pos", *BOX)
-
-    def best(pairs: DataFrame) -> DataFrame:
-        shape = value_geometry("l", "c")
-        item = F.struct(
-            F.col("_g.gap").alias("gap"), F.col("_g.direction").alias("direction"),
-            *[F.col(f"c.{n}").alias(n) for n in
-              ["pos", "image_index", "text", "confidence", *BOX, "ctx2"]])
-        return pairs.withColumn("_g", shape).select(
-            F.col("l.scan_id").alias("scan_id"), F.col("l.run").alias("run"),
-            F.col("l.pos").alias("label_pos"),
-            (F.struct(*[F.col(f"l.{b}") for b in BOX]) != F.struct(*[F.col(f"c.{b}") for b in BOX]))
-            .alias("differs"),
-            F.when(F.col("_g").isNotNull(), item).alias("cand"),
-        )
-
-    usual = (
-        keys.join(big, "scan_id", "left_anti").alias("l").join(
-            narrow.alias("c"),
+    height = F.greatest(F.lit(1.0), F.col("y1") - F.col("y0"))
+    low, high = F.col("y0") - BELOW_GAP * height, F.col("y1") + BELOW_GAP * height
+
+    def spread(df: DataFrame) -> DataFrame:
+        return df.withColumn("_bands", bands(low, high)).withColumn(
+            "_first", F.get("_bands", F.lit(0))).withColumn("_band", F.explode("_bands")).drop("_bands")
+
+    near = spread(lines.select(
+        "scan_id", "run", "pos", "image_index", "text", "confidence", *BOX, "ctx2"))
+    keys = spread(labels.select("scan_id", "run", "pos", *BOX))
+    item = F.struct(
+        F.col("_g.gap").alias("gap"), F.col("_g.direction").alias("direction"),
+        *[F.col(f"c.{n}").alias(n) for n in ["pos", "image_index", "text", "confidence", *BOX, "ctx2"]])
+    pairs = (
+        keys.alias("l").join(
+            near.alias("c"),
             (F.col("l.scan_id") == F.col("c.scan_id")) & (F.col("l.run") == F.col("c.run"))
-            & (F.col("l.pos") != F.col("c.pos")))
-    )
-    near = (
-        best(usual).groupBy("scan_id", "run", "label_pos")
-        .agg(F.bool_or("differs").alias("differs"),
-             F.slice(F.array_sort(F.collect_list("cand")), 1, count).alias("near"))
+            & (F.col("l._band") == F.col("c._band")) & (F.col("l.pos") != F.col("c.pos"))
+            & (F.greatest("l._first", "c._first") == F.col("l._band")))
+        .withColumn("_g", value_geometry("l", "c")).filter("_g is not null")
+        .select(F.col("l.scan_id").alias("scan_id"), F.col("l.run").alias("run"),
+                F.col("l.pos").alias("pos"), item.alias("cand"))
     )
-
-    wide_lines = narrow.join(big, "scan_id", "left_semi")
-    wide_keys = keys.join(big, "scan_id", "left_semi")
-    rank = F.row_number().over(
-        Window.partitionBy("scan_id", "run", "label_pos").orderBy("cand.gap", "cand.direction", "cand.pos"))
-    wide_near = (
-        best(_grid_pairs(wide_keys, wide_lines)).filter("cand is not null")
-        .withColumn("_rank", rank).filter(F.col("_rank") <= count)
-        .groupBy("scan_id", "run", "label_pos")
+    nearest = Window.partitionBy("scan_id", "run", "pos").orderBy(
+        "cand.gap", "cand.direction", "cand.pos")
+    best = (
+        pairs.withColumn("_rank", F.row_number().over(nearest)).filter(F.col("_rank") <= count)
+        .groupBy("scan_id", "run", "pos")
         .agg(F.array_sort(F.collect_list("cand")).alias("near"))
     )
-    shapes = wide_lines.groupBy("scan_id", "run").agg(
+    shapes = lines.groupBy("scan_id", "run").agg(
         (F.min(F.struct(*BOX)) != F.max(F.struct(*BOX))).alias("differs"))
-    wide = (
-        wide_keys.select("scan_id", "run", F.col("pos").alias("label_pos"))
-        .join(shapes, ["scan_id", "run"])
-        .join(wide_near, ["scan_id", "run", "label_pos"], "left")
-        .select("scan_id", "run", "label_pos", "differs", "near")
-    )
-    found = near.unionByName(wide).withColumnRenamed("label_pos", "pos")
-
     plain = F.transform(
-        "near", lambda x: F.struct(*[x[n].alias(n) for n in
-                                     ["pos", "image_index", "text", "confidence", *BOX, "ctx2"]]))
+        F.coalesce("near", F.array()), lambda x: F.struct(*[
+            x[n].alias(n) for n in ["pos", "image_index", "text", "confidence", *BOX, "ctx2"]]))
     return (
-        labels.join(found, ["scan_id", "run", "pos"], "left")
-        .withColumn(
-            "cands",
-            F.when(F.col("differs"), F.coalesce(plain, F.array()))
-            .otherwise(F.slice("following", 1, count)))
+        labels.join(best, ["scan_id", "run", "pos"], "left").join(shapes, ["scan_id", "run"])
+        .withColumn("cands", F.when(F.col("differs"), plain).otherwise(F.slice("following", 1, count)))
         .drop("differs", "near")
     )
 
 
-def until_stop(cands: Column, stop) -> Column:
-    """The candidates ahead of the first one for which `stop` holds."""
-    cut = F.array_position(F.transform(cands, lambda c: F.coalesce(stop(c), F.lit(False))), F.lit(True))
-    return F.when(cut > 0, F.slice(cands, F.lit(1), (cut - 1).cast("int"))).otherwise(cands)
+def islands(df: DataFrame, keys: list[str], slack: Column) -> DataFrame:
+    """Number the vertical stretches of lines that nothing bridges (`island`).
+
+    A stretch ends where the next top edge lies more than `slack` below every
+    bottom edge so far. The running maximum is taken over distinct top edges,
+    of which an image has no more than pixel rows, however many lines it has.
+    """
+    levels = df.withColumn("_slack", slack).groupBy(*keys, "y0").agg(
+        F.max("y1").alias("_low"), F.max("_slack").alias("_slack"))
+    order = Window.partitionBy(*keys).orderBy("y0")
+    reach = F.max("_low").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.when(F.col("y0") - F.col("_reach") <= F.col("_slack"), 0).otherwise(1)
+    numbered = (
+        levels.withColumn("_reach", reach).withColumn("_start", starts)
+        .select(*keys, "y0", F.sum("_start").over(
+            order.rowsBetween(Window.unboundedPreceding, 0)).alias("island"))
+    )
+    return df.join(numbered, [*keys, "y0"])

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from labelscope.functions import fuzzy
 from labelscope.functions import patterns as P
 from labelscope.functions import text as T
-from labelscope.operators.sequence import BOX, image_runs, positions
+from labelscope.operators.sequence import BOX, image_runs, islands, positions
 from labelscope.options import DEFAULT, Options
 from labelscope.session import materialize
 
@@ -103,18 +103,6 @@ def _side(members: DataFrame, left: bool, prefix: str) -> DataFrame:
     return part.select(*BLOCK, *[F.col(c).alias(f"{prefix}_{c}") for c in keep])
 
 
-def _islands(lines: DataFrame, keys: list[str], slack: Column) -> DataFrame:
-    """Tag lines with an island: a stretch no line beyond `slack` can reach."""
-    order = Window.partitionBy(*keys).orderBy("y0", "y1")
-    reach = F.max("y1").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    starts = F.when(reach.isNull() | (F.col("y0") - reach > slack), 1).otherwise(0)
-    return (
-        lines.withColumn("_start", starts)
-        .withColumn("island", F.sum("_start").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .drop("_start")
-    )
-
-
 def pairs_by_row(members: DataFrame) -> DataFrame:
     """Pair labels with the values of their row, then fold wrapped values in.
 
@@ -158,7 +146,7 @@ def pairs_by_row(members: DataFrame) -> DataFrame:
     )
     values = rows.filter(~F.col("is_left")).join(free.select(*BLOCK).distinct(), BLOCK, "left_semi")
     tallest = values.withColumn("_max_h", F.max("h").over(Window.partitionBy(*BLOCK)))
-    tagged = _islands(tallest, BLOCK, F.col("_max_h") * P.WRAP_GAP_RATIO).select(*BLOCK, "island", "pos")
+    tagged = islands(tallest, BLOCK, F.col("_max_h") * P.WRAP_GAP_RATIO).select(*BLOCK, "island", "pos")
     loose = (
         free.join(tagged, [*BLOCK, "pos"]).groupBy(*BLOCK, "island")
         .agg(F.array_sort(F.collect_list(F.struct(
@@ -212,7 +200,7 @@ def _attach_wrap(acc: Column, line: Column) -> Column:
 def pairs_by_geometry(members: DataFrame) -> DataFrame:
     """One-to-one pairs by vertical overlap; a block pairs wholly or not at all."""
     left, right = _side(members, True, "l"), _side(members, False, "v")
-    tagged = _islands(members, BLOCK, F.lit(0.0)).select(*BLOCK, "island", "pos")
+    tagged = islands(members, BLOCK, F.lit(0.0)).select(*BLOCK, "island", "pos")
     l_isl = left.join(tagged.withColumnRenamed("pos", "l_pos"), [*BLOCK, "l_pos"])
     v_isl = right.join(tagged.withColumnRenamed("pos", "v_pos"), [*BLOCK, "v_pos"])
     shared = F.least("l_y1", "v_y1") - F.greatest("l_y0", "v_y0")
