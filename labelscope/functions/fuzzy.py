@@ -112,27 +112,38 @@ class Batch:
 
     def __init__(self, texts: list[str]):
         self.texts = [t.lower() for t in texts]
-        self.rows, self.sizes = self._encode(self.texts)
         self.words = [set(t.split()) for t in self.texts]
-        self.sorted_rows, self.sorted_sizes = self._encode(
-            [" ".join(sorted(w)) for w in self.words]
-        )
-
-    @staticmethod
-    def _encode(texts: list[str]):
-        return _rows(texts), np.array([len(t) for t in texts], dtype=np.int64)
-
-    def scores(self, word: str) -> np.ndarray:
-        """Best similarity (0 to 100) of each text with one keyword."""
+        ordered = [" ".join(sorted(w)) for w in self.words]
+        self.rows, self.sorted_rows = _rows(self.texts), _rows(ordered)
+        self.sizes = np.array([len(t) for t in self.texts], dtype=np.int64)
+        self.sorted_sizes = np.array([len(t) for t in ordered], dtype=np.int64)
+        self.counts = np.zeros((len(texts), 256), dtype=np.int8)
+        for i, t in enumerate(self.rows):
+            self.counts[i] = np.minimum(np.bincount(t, minlength=256), 100)
+
+    def hopeful(self, word: str) -> np.ndarray:
+        """Texts that share enough letters with a keyword to reach the threshold.
+
+        A part of length k holds at most min(shared, k) common letters, so the
+        best possible ratio against the shorter side of m letters is
+        200 * shared / (m + shared).
+        """
+        letters, need = np.unique(np.frombuffer(word.encode(), dtype=np.uint8), return_counts=True)
+        shared = np.minimum(self.counts[:, letters], need.astype(np.int8)).sum(axis=1)
+        shorter = np.minimum(self.sizes, len(word))
+        return 200.0 * shared >= P.FUZZY_THRESHOLD * (shorter + shared)
+
+    def scores(self, word: str, at: np.ndarray | None = None) -> np.ndarray:
+        """Best similarity (0 to 100) of the texts at some places with one keyword."""
+        at = np.arange(len(self.texts)) if at is None else at
         parts = set(word.split())
-        best = np.maximum(
-            whole_ratio(self.rows, self.sizes, word), part_ratio(self.rows, self.sizes, word)
-        )
+        rows, sizes = self.rows[at], self.sizes[at]
+        best = np.maximum(whole_ratio(rows, sizes, word), part_ratio(rows, sizes, word))
         # with no word in common the set similarity is that of the sorted words
-        by_words = whole_ratio(self.sorted_rows, self.sorted_sizes, " ".join(sorted(parts)))
-        for i, words in enumerate(self.words):
-            if words & parts:
-                by_words[i] = word_set_ratio(self.texts[i], word)
+        by_words = whole_ratio(self.sorted_rows[at], self.sorted_sizes[at], " ".join(sorted(parts)))
+        for i, place in enumerate(at):
+            if self.words[place] & parts:
+                by_words[i] = word_set_ratio(self.texts[place], word)
         return np.maximum(best, by_words)
 
 
@@ -148,7 +159,9 @@ def keyword_bits(texts: list[str]) -> np.ndarray:
         for n, words in enumerate(KEYWORD_SETS):
             hit = np.zeros(len(batch.texts), dtype=bool)
             for word in words:
-                hit |= batch.scores(word) >= P.FUZZY_THRESHOLD
+                at = np.flatnonzero(batch.hopeful(word) & ~hit)
+                if len(at):
+                    hit[at] = batch.scores(word, at) >= P.FUZZY_THRESHOLD
             bits[start : start + 4096] |= hit.astype(np.int32) << n
     return bits
 

@@ -32,32 +32,40 @@ FINDING = {
 }
 
 
-def typed(values: dict, shape: dict) -> Column:
-    cols = []
-    for name, kind in shape.items():
-        v = values.get(name)
-        v = v if isinstance(v, Column) else F.lit(v)
-        cols.append(v.cast(kind).alias(name))
-    return F.struct(*cols)
+def _struct_sql(values: dict[str, str], shape: dict[str, str]) -> str:
+    """SQL of a struct with every column of a shape; columns not given are NULL."""
+    return "named_struct(" + ", ".join(
+        f"'{name}', cast({values.get(name, 'null')} as {kind})" for name, kind in shape.items()) + ")"
 
 
-def finding(field: str, tier: int, value: Column, **values) -> Column:
-    return typed({"field": field, "tier": tier, "value": value, "a": 0, "b": 0.0, **values}, FINDING)
+def finding(field: str, tier: int, value: str, when: str, **values: str) -> Column:
+    """What one line yields for a field, if `when` holds; all arguments are SQL."""
+    body = _struct_sql(
+        {"field": f"'{field}'", "tier": str(tier), "value": value, "a": "0", "b": "0", **values}, FINDING)
+    return F.expr(f"case when {when} then {body} end")
 
 
-def evidence(**values) -> Column:
-    return typed(values, EVIDENCE)
+RANK = {"tier": "int", "a": "int", "b": "double", "pos": "bigint", "sub": "int"}
 
 
-def rank(tier, pos, sub=0, a=0, b=0.0) -> Column:
-    """Sort key of a candidate, smallest first: tier, two scores, then place."""
-    shape = {"tier": "int", "a": "int", "b": "double", "pos": "bigint", "sub": "int"}
-    return typed({"tier": tier, "a": a, "b": b, "pos": pos, "sub": sub}, shape)
+def rank(tier: str, pos: str, sub: str = "0", a: str = "0", b: str = "0") -> Column:
+    """Sort key of a candidate, smallest first: tier, two scores, then place (SQL)."""
+    return F.expr(_struct_sql({"tier": tier, "a": a, "b": b, "pos": pos, "sub": sub}, RANK))
 
 
-def candidates(df: DataFrame, field, order: Column, **values) -> DataFrame:
-    """Rows of (scan_id, field, rank, ev); `values` override same-named columns."""
-    have = {n: F.col(n) for n in EVIDENCE if n in df.columns}
-    return df.select(
-        "scan_id", (field if isinstance(field, Column) else F.lit(field)).alias("field"),
-        order.alias("rank"), evidence(**{**have, **values}).alias("ev"))
+def candidates(df: DataFrame, field: str, order: Column, **values: Column) -> DataFrame:
+    """Rows of (scan_id, field, rank, ev).
+
+    `field` is SQL. Evidence takes the columns of `df` that it names; `values`
+    replace or add some.
+    """
+    named = df.withColumn("_rank", order)
+    if values:
+        named = named.withColumns(values)
+    have = {n: n for n in EVIDENCE if n in named.columns}
+    return named.selectExpr(
+        "scan_id", f"{field} as field", "_rank as rank", f"{_struct_sql(have, EVIDENCE)} as ev")
+
+
+def blank_evidence() -> str:
+    return _struct_sql({}, EVIDENCE)

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from labelscope.functions import fuzzy
 from labelscope.functions import patterns as P
 from labelscope.functions import text as T
-from labelscope.operators.evidence import EVIDENCE, candidates, evidence, finding, rank
+from labelscope.operators.evidence import EVIDENCE, blank_evidence, candidates, finding, rank
 from labelscope.operators.sequence import BOX, in_sequence, value_candidates
 from labelscope.operators.tables import merge_columns, readable
 from labelscope.options import DEFAULT, Options
@@ -52,7 +52,7 @@ def ready_lines(lines: DataFrame, options: Options = DEFAULT) -> DataFrame:
     for bit, cond in flags:
         kinds = kinds + F.when(cond, bit).otherwise(0)
     return materialize(
-        in_sequence(lines.withColumn("bits", bits))
+        in_sequence(lines).withColumn("bits", bits)  # after the shuffle: evenly spread
         .withColumn("has_date", has_date)
         .withColumn("kinds", kinds)
         .withColumn("following", F.when(_c("kinds") > 0, _c("following")))
@@ -74,19 +74,16 @@ def _not_quantity(text: Column, number: Column, unit: Column) -> Column:
         (unit == "G") & number.rlike(r"^0*[0-5]$"), F.lit(False))
 
 
-def _quantity_finding(tier: int, reading: Column, unit: Column, confidence: Column,
-                      options: Options) -> Column:
-    blurred = confidence.isNotNull() & (confidence < P.LOW_QUANTITY_CONFIDENCE) \
-        if options.confidence_gating else F.lit(False)
-    status = (
-        F.when(reading["how"] == "swallowed", "ocr_corrected")
-        .when(reading["how"].isNotNull(), "confirmed_present")
-        .when(unit.isNotNull() | blurred, "ambiguous")
-        .otherwise("confirmed_absent")
-    )
-    return finding(
-        "net_quantity", tier, reading["value"], unit=reading["unit"], unit_status=status,
-        corrected_from_ocr=F.coalesce(reading["how"].isin("repaired", "swallowed"), F.lit(False)))
+def _unit_status(how: str, unit: str, options: Options) -> str:
+    """SQL of the unit status of a quantity reading."""
+    blurred = f"confidence < {P.LOW_QUANTITY_CONFIDENCE}" if options.confidence_gating else "false"
+    return (
+        f"case when {how} = 'swallowed' then 'ocr_corrected' when {how} is not null then 'confirmed_present' "
+        f"when {unit} is not null or coalesce({blurred}, false) then 'ambiguous' else 'confirmed_absent' end")
+
+
+def _corrected(how: str) -> str:
+    return f"coalesce({how} in ('repaired', 'swallowed'), false)"
 
 
 # --- one pass over the lines ------------------------------------------------
@@ -132,40 +129,46 @@ def line_candidates(ready: DataFrame, options: Options = DEFAULT) -> DataFrame:
         "per_ok": ~c("false_context") & T.plausible_price(c("per_amount")),
         "is_care": T.found(text, P.CARE_WORDS) | (c("bits").bitwiseAND(fuzzy.CARE) > 0),
         "clean_origin": F.when(c("origin").rlike("[A-Za-z]"), T.clean_origin(c("origin"))),
+        "maker_hint": T.found(c("maker"), P.COMPANY_HINT).cast("int"),
+        "agent_hint": T.found(c("agent"), P.COMPANY_HINT).cast("int"),
+        "usp_norm": T.norm_unit(c("usp_unit")), "per_norm": T.norm_unit(c("per_unit")),
+        "dims_norm": T.norm_unit(c("dims_unit")),
     })
-    conf = F.coalesce("confidence", F.lit(0.0))
 
-    def maker(value: Column, tier: int) -> Column:
-        hint = F.when(T.found(value, P.COMPANY_HINT), 1).otherwise(0)
-        return F.when(value != "", finding(
-            "manufacturer", 1, value, a=-(hint + 4 * tier + 2), b=-conf, label_match="exact",
-            label_type="manufacturer" if tier else "packer_importer_marketer"))
+    def maker(name: str, tier: int) -> Column:
+        kind = "manufacturer" if tier else "packer_importer_marketer"
+        return finding(
+            "manufacturer", 1, name, f"{name} != ''", a=f"-({name}_hint + {4 * tier + 2})",
+            b="-coalesce(confidence, 0)", label_match="'exact'", label_type=f"'{kind}'")
+
+    def quantity(name: str, tier: int, when: str) -> Column:
+        how = f"{name}.how"
+        return finding(
+            "net_quantity", tier, f"{name}.value", when, unit=f"{name}.unit",
+            unit_status=_unit_status(how, f"{name}_unit", options), corrected_from_ocr=_corrected(how))
+
+    def price(tier: int, amount: str, when: str, **more: str) -> Column:
+        return finding("mrp", tier, f"replace({amount}, ',', '')", f"priced and {when}",
+                       currency="'INR'", **more)
+
+    def unit_price(tier: int, amount: str, unit: str, when: str, method: str) -> Column:
+        return finding("unit_sale_price", tier, f"replace({amount}, ',', '')", when, unit=unit,
+                       currency="'INR'", match_method=f"'{method}'")
 
-    contact = F.coalesce("loose", "email")
     items = F.array(
-        maker(c("maker"), 1), maker(c("agent"), 0),
-        F.when(c("name") != "", finding("common_name", 1, c("name"), match_method="explicit_label")),
-        F.when(c("q").isNotNull(),
-               _quantity_finding(1, c("q"), c("q_unit"), c("confidence"), options)),
-        F.when(c("p.unit").isNotNull(),
-               _quantity_finding(3, c("p"), c("p_unit"), c("confidence"), options)),
-        F.when(c("priced") & c("mrp").isNotNull(), finding(
-            "mrp", 1, T.plain_amount(c("mrp")), currency="INR", context_confirmed=True)),
-        F.when(c("priced") & c("mrp").isNull() & c("plain_price").isNotNull(), finding(
-            "mrp", 2, T.plain_amount(c("plain_price")), currency="INR")),
-        F.when(c("is_care") & contact.isNotNull(), finding("consumer_care", 1, contact)),
-        F.when(c("email").isNotNull(), finding("consumer_care", 2, c("email"), partial=True)),
-        F.when(c("phone").isNotNull(), finding("consumer_care", 3, c("phone"), partial=True)),
-        F.when(c("clean_origin").isNotNull(), finding("country_of_origin", 1, c("clean_origin"))),
-        F.when(c("usp").isNotNull(), finding(
-            "unit_sale_price", 1, T.plain_amount(c("usp")), unit=T.norm_unit(c("usp_unit")),
-            currency="INR", match_method="explicit_label")),
-        F.when(c("per_ok"), finding(
-            "unit_sale_price", 2, T.plain_amount(c("per_amount")), unit=T.norm_unit(c("per_unit")),
-            currency="INR", match_method="per_unit_form")),
-        F.when(c("dims").isNotNull(), finding(
-            "dimensions", 1, T.strip_space(c("dims")), unit=T.norm_unit(c("dims_unit")))),
-        F.when(c("importer"), finding(IMPORTER_FLAG, 1, F.lit("true"))),
+        maker("maker", 1), maker("agent", 0),
+        finding("common_name", 1, "name", "name != ''", match_method="'explicit_label'"),
+        quantity("q", 1, "q is not null"), quantity("p", 3, "p.unit is not null"),
+        price(1, "mrp", "mrp is not null", context_confirmed="true"),
+        price(2, "plain_price", "mrp is null and plain_price is not null"),
+        finding("consumer_care", 1, "coalesce(loose, email)", "is_care and coalesce(loose, email) is not null"),
+        finding("consumer_care", 2, "email", "email is not null", partial="true"),
+        finding("consumer_care", 3, "phone", "phone is not null", partial="true"),
+        finding("country_of_origin", 1, "clean_origin", "clean_origin is not null"),
+        unit_price(1, "usp", "usp_norm", "usp is not null", "explicit_label"),
+        unit_price(2, "per_amount", "per_norm", "per_ok", "per_unit_form"),
+        finding("dimensions", 1, "trim(dims)", "dims is not null", unit="dims_norm"),
+        finding(IMPORTER_FLAG, 1, "'true'", "importer"),
     )
     keep = ["scan_id", "pos", "image_index", "confidence", *BOX]
     hits = (
@@ -174,7 +177,7 @@ def line_candidates(ready: DataFrame, options: Options = DEFAULT) -> DataFrame:
                 F.explode(F.filter("items", lambda x: x.isNotNull())).alias("f"))
         .select(*keep, "raw_text", "context", "f.*")
     )
-    return candidates(hits, c("field"), rank(c("tier"), c("pos"), 0, c("a"), c("b")))
+    return candidates(hits, "field", rank("tier", "pos", "0", "a", "b"))
 
 
 # --- label lines and their neighbours ---------------------------------------
@@ -210,15 +213,18 @@ def label_makers(labels: DataFrame, options: Options = DEFAULT) -> DataFrame:
     rows = rows.filter(readable(_c("confidence"), options) & (T.letters(_c("value")) >= 3))
     exact_maker, exact_agent = T.found(_c("label"), P.MAKER_ALONE), T.found(_c("label"), P.AGENT_ALONE)
     is_maker = exact_maker | (~exact_agent & (_c("bits").bitwiseAND(fuzzy.MAKER) > 0))
-    score = (
-        F.when(T.found(_c("value"), P.COMPANY_HINT), 1).otherwise(0)
-        + F.when(exact_maker | exact_agent, 2).otherwise(0) + F.when(is_maker, 4).otherwise(0))
+    graded = rows.withColumns({
+        "hint": T.found(_c("value"), P.COMPANY_HINT), "exact": exact_maker | exact_agent,
+        "is_maker": is_maker,
+        "raw_text": F.concat_ws(" ", "label", "value"), "context": _c("ctx2"),
+    })
     return candidates(
-        rows, "manufacturer",
-        rank(1, _c("label_pos") + (1 << 41), _c("i"), -score, -F.coalesce("confidence", F.lit(0.0))),
-        raw_text=F.concat_ws(" ", "label", "value"), context=_c("ctx2"),
-        label_match=F.when(exact_maker | exact_agent, "exact").otherwise("fuzzy"),
-        label_type=F.when(is_maker, "manufacturer").otherwise("packer_importer_marketer"))
+        graded, "'manufacturer'",
+        rank("1", f"label_pos + {1 << 41}", "i",
+             "-(cast(hint as int) + 2 * cast(exact as int) + 4 * cast(is_maker as int))",
+             "-coalesce(confidence, 0)"),
+        label_match=F.expr("if(exact, 'exact', 'fuzzy')"),
+        label_type=F.expr("if(is_maker, 'manufacturer', 'packer_importer_marketer')"))
 
 
 def label_names(labels: DataFrame, options: Options = DEFAULT) -> DataFrame:
@@ -229,8 +235,9 @@ def label_names(labels: DataFrame, options: Options = DEFAULT) -> DataFrame:
     usable = rows.filter(
         readable(_c("confidence"), options) & ~blocked & _c("value").rlike("[A-Za-z]"))
     return candidates(
-        usable, "common_name", rank(2, _c("label_pos"), _c("i")), raw_text=_c("text"),
-        context=_c("label_context"), label_evidence=_c("label"), match_method="explicit_label")
+        usable, "'common_name'", rank("2", "label_pos", "i"), raw_text=_c("text"),
+        context=_c("label_context"), label_evidence=_c("label"),
+        match_method=F.lit("explicit_label"))
 
 
 def label_quantities(labels: DataFrame, options: Options = DEFAULT) -> DataFrame:
@@ -245,12 +252,12 @@ def label_quantities(labels: DataFrame, options: Options = DEFAULT) -> DataFrame
     read = (
         rows.filter(_c("number").isNotNull() & ~_not_quantity(text, _c("number"), _c("raw_unit")))
         .withColumn("q", T.resolve_unit(_c("number"), _c("raw_unit"), True))
-        .withColumn("f", _quantity_finding(2, _c("q"), _c("raw_unit"), _c("confidence"), options))
     )
     return candidates(
-        read.select("*", *[_c(f"f.{n}").alias(n) for n in
-                           ("value", "unit", "unit_status", "corrected_from_ocr")]),
-        "net_quantity", rank(2, _c("label_pos"), _c("i")),
+        read, "'net_quantity'", rank("2", "label_pos", "i"),
+        value=_c("q.value"), unit=_c("q.unit"),
+        unit_status=F.expr(_unit_status("q.how", "raw_unit", options)),
+        corrected_from_ocr=F.expr(_corrected("q.how")),
         raw_text=T.strip_space(F.concat_ws(" ", "label", "text")), context=_c("label_context"))
 
 
@@ -258,8 +265,8 @@ def label_origins(labels: DataFrame, options: Options = DEFAULT) -> DataFrame:
     rows = _neighbours(labels, LABEL_ORIGIN, 2).withColumn("word", T.strip_value(_c("text")))
     usable = rows.filter(readable(_c("confidence"), options) & (T.letters(_c("word")) >= 3))
     return candidates(
-        usable.withColumn("value", T.clean_origin(_c("word"))), "country_of_origin",
-        rank(2, _c("label_pos"), _c("i")), raw_text=F.concat_ws(" ", "label", "word"),
+        usable.withColumn("value", T.clean_origin(_c("word"))), "'country_of_origin'",
+        rank("2", "label_pos", "i"), raw_text=F.concat_ws(" ", "label", "word"),
         context=_c("ctx2"),
         label_match=F.when(T.found(_c("label"), P.ORIGIN_ALONE), "exact").otherwise("fuzzy"))
 
@@ -417,7 +424,7 @@ def date_fields(dates: DataFrame) -> DataFrame:
         .select("scan_id", "by_time", "s.field", "s.date_role", "s.d.*")
     )
     return candidates(
-        slots, _c("field"), rank(1, 0),
+        slots, "field", rank("1", "0"),
         inferred=F.when(_c("by_time"), True), role_source=F.when(_c("by_time"), "chronology"))
 
 
@@ -425,8 +432,9 @@ def date_fields(dates: DataFrame) -> DataFrame:
 def blank_fields(scans: DataFrame) -> DataFrame:
     """The worst candidate of every field for every scan, so none goes missing."""
     fields = [f for f in P.FIELDS if f != P.PLACEMENT_FIELD]
-    return scans.select("scan_id", F.explode(F.array(*[F.lit(f) for f in fields])).alias("field")).select(
-        "scan_id", "field", rank(99, 0).alias("rank"), evidence().alias("ev"))
+    listed = ", ".join(f"'{f}'" for f in fields)
+    return scans.selectExpr("scan_id", f"explode(array({listed})) as field").select(
+        "scan_id", "field", rank("99", "0").alias("rank"), F.expr(blank_evidence()).alias("ev"))
 
 
 def choose(rows: DataFrame) -> DataFrame:
@@ -492,14 +500,16 @@ def extract(lines: DataFrame, options: Options = DEFAULT, scans: DataFrame | Non
     ready = ready_lines(combined, options)
     labels = materialize(label_lines_with_values(ready))
     direct = line_candidates(ready, options).unionByName(label_candidates(labels, options))
-    descriptors = descriptor_names(ready, options)
+    descriptors = materialize(descriptor_names(ready, options))
     by_label = label_names(labels, options)
     named = (
         ready.filter(T.strip_value(T.group(_c("text"), P.NAME_VALUE, 1)) != "").select("scan_id")
         .unionByName(by_label.select("scan_id"))
         .unionByName(descriptors.select("scan_id")).distinct()
     )
-    unnamed = ready.join(named, "scan_id", "left_anti")
+    unnamed = ready.select(
+        "scan_id", "pos", "image_index", "text", "confidence", *BOX, "ctx2"
+    ).join(named, "scan_id", "left_anti")
     everyone = lines.select("scan_id").distinct() if scans is None else (
         lines.select("scan_id").unionByName(scans.select("scan_id")).distinct())
     found = (

@@ -18,6 +18,7 @@ from labelscope.operators.sequence import BOX, islands
 from labelscope.operators.tables import readable
 from labelscope.operators.vocabulary import count_descriptors
 from labelscope.options import DEFAULT, Options
+from labelscope.session import materialize
 
 PAGE = ["scan_id", "image_index"]
 
@@ -74,7 +75,7 @@ def phrases(lines: DataFrame, options: Options = DEFAULT) -> DataFrame:
 
 def rank_phrases(lines: DataFrame, options: Options = DEFAULT) -> DataFrame:
     """Scored name candidates with their feature values; hard exclusions removed."""
-    joined = phrases(lines, options).withColumn("h", _height(F.col("y0"), F.col("y1")))
+    joined = materialize(phrases(lines, options).withColumn("h", _height(F.col("y0"), F.col("y1"))))
     text = F.col("text")
     page = joined.groupBy(*PAGE).agg(
         F.count("*").alias("n_page"),
@@ -107,7 +108,7 @@ def rank_phrases(lines: DataFrame, options: Options = DEFAULT) -> DataFrame:
         & (n_letters >= F.greatest(F.lit(P.NAME_LENGTH[0]), F.length(solid) * 0.5))
         & (F.col("ratio") >= P.PROMINENCE_RATIO)
     )
-    kept = (
+    kept = materialize(
         joined.withColumn("value", value).withColumn("conf", conf).withColumn("name_key", T.name_key(text))
         .join(body, "scan_id").withColumn("ratio", F.col("h") / F.col("body")).filter(allowed)
         .join(page, PAGE).join(repeats, ["scan_id", "name_key"])
@@ -174,10 +175,10 @@ def pick_names(ranked: DataFrame) -> DataFrame:
 
 def prominent_names(ready: DataFrame, options: Options = DEFAULT) -> DataFrame:
     """Common-name candidates of the third tier, one per scan at most."""
-    names = pick_names(rank_phrases(ready, options))
+    names = materialize(pick_names(rank_phrases(ready, options)))
     around = ready.select("scan_id", F.col("pos").alias("idx"), F.col("ctx2"))
     rows = names.join(around, ["scan_id", "idx"], "left")
     return candidates(
-        rows, "common_name", rank(4, F.col("idx")), raw_text=F.col("text"),
-        context=F.col("ctx2"), match_method="visual_prominence", partial=F.lit(True),
+        rows, "'common_name'", rank("4", "idx"), raw_text=F.col("text"),
+        context=F.col("ctx2"), match_method=F.lit("visual_prominence"), partial=F.lit(True),
         inferred=F.lit(True), name_score=F.col("final_score"))

@@ -108,6 +108,6 @@ def descriptor_names(ready: DataFrame, options: Options = DEFAULT) -> DataFrame:
     )
     rows = ready.join(best, ["scan_id", "pos"])
     return candidates(
-        rows, "common_name", rank(3, F.col("pos")), value=T.strip_value(F.col("text")),
-        raw_text=F.col("text"), context=F.col("ctx2"), match_method="descriptor_vocabulary",
-        partial=True)
+        rows, "'common_name'", rank("3", "pos"), value=T.strip_value(F.col("text")),
+        raw_text=F.col("text"), context=F.col("ctx2"),
+        match_method=F.lit("descriptor_vocabulary"), partial=F.lit(True))
