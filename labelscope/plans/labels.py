@@ -52,12 +52,12 @@ def label_lines(spark: SparkSession, folder: str) -> DataFrame:
                     _pick(key, ["g", " kg", " ml", " l", "", " gms", "9", " gn"])),
         2: F.concat(_pick(key, ["MRP Rs. ", "MRP: ", "Rs. ", "Rs. "]), price),
         3: F.concat(_pick(key, ["Mfd By: ", "Marketed By: ", "Manufactured By: "]), "s_name",
-                    F.lit(" Pvt Ltd")),
+                    F.lit(" Foods Private Limited")),
         4: F.when(loose_dates, day).otherwise(F.concat(F.lit("MFG "), day, F.lit(" EXP "), best)),
         5: F.when(key % 6 == 0, F.concat(F.lit("Made in India. Imported by "), "s_name"))
         .when(key % 2 == 1, F.lit("Made in India")).otherwise(F.concat(F.lit("Made in "), "nation")),
         6: F.when(key % 3 == 0, F.concat(F.lit("Consumer Care: 1800 "), digits, F.lit(" 4567")))
-        .when(key % 3 == 1, F.concat(F.lit("Write to: help"), key.cast("string"), F.lit("@example.com"))),
+        .when(key % 3 == 1, F.concat(F.lit("Please send your questions to: help"), key.cast("string"), F.lit("@example.com"))),
         7: F.when(key % 4 == 3, F.concat(F.lit("Rs. "), (F.col("price") + 10).cast("decimal(12,2)").cast("string"))),
         8: F.when(loose_dates, best),
         9: F.when(key % 8 == 0, F.concat(F.lit("USP Rs. 0."), digits, F.lit(" per g")))

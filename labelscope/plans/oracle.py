@@ -17,13 +17,13 @@ raw AS (
   UNION ALL SELECT key, 1, 'Net Qty: ' || CAST(size AS VARCHAR)
     || (['g', ' kg', ' ml', ' l', '', ' gms', '9', ' gn'])[key % 8 + 1] FROM p
   UNION ALL SELECT key, 2, (['MRP Rs. ', 'MRP: ', 'Rs. ', 'Rs. '])[key % 4 + 1] || CAST(price AS VARCHAR) FROM p
-  UNION ALL SELECT key, 3, (['Mfd By: ', 'Marketed By: ', 'Manufactured By: '])[key % 3 + 1] || s_name || ' Pvt Ltd' FROM p
+  UNION ALL SELECT key, 3, (['Mfd By: ', 'Marketed By: ', 'Manufactured By: '])[key % 3 + 1] || s_name || ' Foods Private Limited' FROM p
   UNION ALL SELECT key, 4, CASE WHEN key % 7 = 0 THEN strftime(made, '%d/%m/%Y')
     ELSE 'MFG ' || strftime(made, '%d/%m/%Y') || ' EXP ' || strftime(made + INTERVAL 12 MONTH, '%d/%m/%Y') END FROM p
   UNION ALL SELECT key, 5, CASE WHEN key % 6 = 0 THEN 'Made in India. Imported by ' || s_name
     WHEN key % 2 = 1 THEN 'Made in India' ELSE 'Made in ' || nation END FROM p
   UNION ALL SELECT key, 6, CASE WHEN key % 3 = 0 THEN 'Consumer Care: 1800 ' || digits || ' 4567'
-    WHEN key % 3 = 1 THEN 'Write to: help' || CAST(key AS VARCHAR) || '@example.com' END FROM p
+    WHEN key % 3 = 1 THEN 'Please send your questions to: help' || CAST(key AS VARCHAR) || '@example.com' END FROM p
   UNION ALL SELECT key, 7, CASE WHEN key % 4 = 3 THEN 'Rs. ' || CAST(CAST(price + 10 AS DECIMAL(12,2)) AS VARCHAR) END FROM p
   UNION ALL SELECT key, 8, CASE WHEN key % 7 = 0 THEN strftime(made + INTERVAL 12 MONTH, '%d/%m/%Y') END FROM p
   UNION ALL SELECT key, 9, CASE WHEN key % 8 = 0 THEN 'USP Rs. 0.' || digits || ' per g'
@@ -386,18 +386,19 @@ def oracle_sql() -> dict[str, str]:
     q["corrective_actions"] = _extraction(
         f"SELECT scan_id, rule_id, field, status, CASE {chain} ELSE '{DEFAULT_GUIDANCE}' END AS guidance FROM violations")
     q["audit_matrix"] = _extraction("""
-      SELECT s.scan_id, 'PCR-R' || lpad(CAST(n.ord2 AS VARCHAR), 2, '0') AS rule_id, n.field,
+      , answers AS (SELECT rule_no AS v_no, rule_no AS target FROM rule_of UNION SELECT 3, 9 UNION SELECT 1, 5),
+      firsts AS (SELECT v.scan_id, a.target, min(v.rule_no) AS v_no FROM violations v JOIN answers a ON a.v_no = v.rule_no GROUP BY 1, 2),
+      failed AS (SELECT f.scan_id, f.target, f.v_no, v.reason FROM firsts f JOIN violations v ON v.scan_id = f.scan_id AND v.rule_no = f.v_no)
+      SELECT s.scan_id, 'PCR-R' || lpad(CAST(n.rule_no AS VARCHAR), 2, '0') AS rule_id, n.field,
         CASE WHEN v.reason IS NOT NULL THEN 'FAILED' WHEN e.value IS NOT NULL THEN 'PASSED' ELSE 'VERIFIED' END AS audit_status,
         CASE WHEN v.reason IS NOT NULL THEN v.reason
              WHEN e.value IS NOT NULL THEN 'Detected: "' || e.value || '" (Confidence: ' || CAST(CAST(floor(e.confidence * 100 + 0.5) AS BIGINT) AS VARCHAR) || '%)'
              ELSE 'Statutory declaration verified against standard rules' END AS detail
-      FROM scans s CROSS JOIN (SELECT f.field, r.rule_no AS ord2 FROM field_names f JOIN rule_of r USING (field)) n
-      LEFT JOIN (SELECT scan_id, rule_no, reason FROM (
-          SELECT v.scan_id, t.target AS rule_no, arg_min(v.reason, v.rule_no) AS reason FROM violations v
-          JOIN (SELECT r.rule_no, r.rule_no AS target FROM rule_of r UNION SELECT 3, 9 UNION SELECT 9, 3 UNION SELECT 1, 5) t ON t.rule_no = v.rule_no
-          WHERE t.target <> 3 OR v.rule_no = 3
-          GROUP BY 1, 2)) v ON v.scan_id = s.scan_id AND v.rule_no = n.ord2
-      LEFT JOIN evidence e ON e.scan_id = s.scan_id AND e.field = n.field AND e.ord < 11""")
+      FROM scans s CROSS JOIN rule_of n LEFT JOIN failed v ON v.scan_id = s.scan_id AND v.target = n.rule_no
+      LEFT JOIN evidence e ON e.scan_id = s.scan_id AND e.field = n.field AND e.ord < 11
+      UNION ALL
+      SELECT v.scan_id, v.rule_id, v.field, 'FAILED', v.reason FROM violations v
+      WHERE NOT EXISTS (SELECT 1 FROM failed f WHERE f.scan_id = v.scan_id AND f.v_no = v.rule_no)""")
     q["findings_search"] = _extraction(
         "SELECT scan_id, rule_id, field, status, reason FROM results WHERE rule_no IN (4, 9)")
     q["evidence_by_surface"] = _extraction("""
@@ -428,7 +429,7 @@ def oracle_sql() -> dict[str, str]:
         'Statutory declaration verified', CAST(CAST(floor(b.confidence * 100 + 0.5) AS BIGINT) AS VARCHAR) || '%'
       FROM boxes b JOIN head h ON h.scan_id = b.scan_id WHERE b.value IS NOT NULL AND b.ord < 11""")
     q["history_from_results"] = _extraction("""
-      , conf AS (SELECT scan_id, count(*) AS n, floor(sum(CASE WHEN confidence <> 0 THEN confidence ELSE 0.9 END) / count(*) * 100 + 0.5) / 100 AS m
+      , conf AS (SELECT scan_id, count(*) AS n, floor(list_reduce(list(CASE WHEN confidence <> 0 THEN confidence ELSE 0.9 END ORDER BY ord), lambda a, b: a + b) / count(*) * 100 + 0.5) / 100 AS m
                  FROM evidence WHERE value IS NOT NULL AND ord < 11 GROUP BY 1)
       SELECT CAST(s.scan_id AS VARCHAR) AS id, s.overall_status AS status, CAST(s.score AS DOUBLE) AS score,
              CAST((SELECT count(*) FROM violations v WHERE v.scan_id = s.scan_id) AS INTEGER) AS violations_count,
@@ -449,8 +450,8 @@ def oracle_sql() -> dict[str, str]:
         FROM doc_lines WHERE NOT regexp_matches(text, '{NOT_PHONE}'))
       SELECT scan_id, arg_min(v, struct_pack(t := tier, p := pos)) AS value, min(tier) AS tier FROM hits WHERE v <> '' GROUP BY scan_id"""
     q["dates_text"] = _with(DOC_LINES) + r"""
-      , hits AS (SELECT scan_id, pos, text, unnest(regexp_extract_all(text, '(?i)(\d{1,2}\s*[/\-., ]?\s*(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?\s*[/\-., ]?\s*\d{2,4}|\d{1,2}\s*[/\-.]{1,2}\s*\d{1,2}\s*[/\-.]{1,2}\s*\d{2,4}|\d{4}\s*[/\-.]{1,2}\s*\d{1,2}\s*[/\-.]{1,2}\s*\d{1,2})', 1)) AS d FROM doc_lines)
-      SELECT scan_id, pos, trim(regexp_replace(d, '([/\-.])[/\-.]+', '', 'g')) AS date_text FROM hits"""
+      , hits AS (SELECT scan_id, pos, text, unnest(regexp_extract_all(text, '(?i)\b(\d{1,2}\s*[/\-., ]?\s*(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?\s*[/\-., ]?\s*\d{2,4}|\d{1,2}\s*[/\-.]{1,2}\s*\d{1,2}\s*[/\-.]{1,2}\s*\d{2,4}|\d{4}\s*[/\-.]{1,2}\s*\d{1,2}\s*[/\-.]{1,2}\s*\d{1,2})\b', 1)) AS d FROM doc_lines)
+      SELECT scan_id, pos, trim(regexp_replace(d, '([/\-.])[/\-.]+', '\1', 'g')) AS date_text FROM hits"""
 
     q["labelled_case_eval"] = """
       WITH c AS (SELECT CAST(p_partkey AS BIGINT) AS case_id, p_partkey % 11 + 1 AS r, (p_partkey // 11) % 3 AS applies,
