@@ -34,6 +34,11 @@ def after_match(text: Column, pattern: str, length: int) -> Column:
     return F.substring(tail, 1, length)
 
 
+def has_digit(text: Column) -> Column:
+    """Cheap test that spares number patterns on most lines."""
+    return text.rlike(r"\p{Nd}")
+
+
 def strip_space(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
@@ -308,12 +313,14 @@ def duration_in(text: Column) -> Column:
 
 # --- contact ----------------------------------------------------------------
 def email_in(text: Column) -> Column:
-    return group(text, P.EMAIL, 0)
+    return F.when(F.contains(text, F.lit("@")), group(text, P.EMAIL, 0))
 
 
 def phone_by_shape(text: Column) -> Column:
+    """A phone-shaped number on a line that makes no other declaration."""
     shapes = F.coalesce(*[group(text, shape, 1) for shape in P.PHONE_SHAPES])
-    return F.when(~found(text, P.NOT_PHONE_LINE), shapes)
+    return F.when(has_digit(text), let(shapes, lambda n: F.when(
+        n.isNotNull() & ~found(text, P.NOT_PHONE_LINE), n)))
 
 
 # --- origin -----------------------------------------------------------------

@@ -37,7 +37,7 @@ def ready_lines(lines: DataFrame, options: Options = DEFAULT) -> DataFrame:
     """
     bits = fuzzy.resembles(_c("text")) if options.fuzzy_labels else F.lit(0)
     text = _c("text")
-    has_date = T.found(text, P.DATE_SHAPE)
+    has_date = T.has_digit(text) & T.found(text, P.DATE_SHAPE)
     flags = [
         (LABEL_MAKER, T.found(text, P.MAKER_ALONE) | T.found(text, P.AGENT_ALONE)
          | (_c("bits").bitwiseAND(fuzzy.MAKER | fuzzy.AGENT) > 0)),
@@ -90,43 +90,48 @@ def _corrected(how: str) -> str:
 def line_candidates(ready: DataFrame, options: Options = DEFAULT) -> DataFrame:
     """All candidates that a single line can give."""
     text, c = _c("text"), _c
-    read = ready.select(
+
+    def numeric(pattern: str, idx: int) -> Column:
+        return F.when(c("digit"), T.group(text, pattern, idx))
+
+    def also(first: str, pattern: str, idx: int) -> Column:
+        return F.when(c(first).isNotNull(), T.group(text, pattern, idx))
+
+    # most lines match few patterns: second groups and vetoes run on hits only
+    read = ready.withColumn("digit", T.has_digit(text)).select(
         "scan_id", "pos", "image_index", "text", "confidence", *BOX, "ctx2", "bits",
         T.strip_value(T.group(text, P.MAKER_VALUE, 1)).alias("maker"),
         T.strip_value(T.group(text, P.AGENT_VALUE, 1)).alias("agent"),
         T.strip_value(T.group(text, P.NAME_VALUE, 1)).alias("name"),
-        T.group(text, P.QTY_VALUE, 1).alias("q_num"), T.group(text, P.QTY_VALUE, 2).alias("q_unit"),
-        T.group(text, P.QTY_PLAIN, 1).alias("p_num"), T.group(text, P.QTY_PLAIN, 2).alias("p_unit"),
-        T.found(text, P.USP_LINE).alias("names_usp"),
-        T.group(text, P.USP_VALUE, 2).alias("usp"), T.group(text, P.USP_VALUE, 3).alias("usp_unit"),
-        T.group(text, P.PER_UNIT_PRICE, 2).alias("per_amount"),
-        T.group(text, P.PER_UNIT_PRICE, 3).alias("per_unit"),
-        T.found(text, P.QTY_FALSE_CONTEXT).alias("false_context"),
-        T.found(text, P.NOT_MRP_CONTEXT).alias("not_mrp"),
-        F.when(T.found(text, P.MRP_LABEL), T.amount_after(text, P.MRP_LABEL)).alias("mrp"),
-        T.group(text, P.CURRENCY_AMOUNT, 1).alias("bare"),
-        T.group(text, P.PRICE_LABEL, 2).alias("price"),
-        T.email_in(text).alias("email"),
-        T.group(text, P.PHONE_LOOSE, 1).alias("loose"),
-        T.phone_by_shape(text).alias("phone"),
-        F.coalesce(*[
-            F.nullif(T.strip_value(T.group(text, P.ORIGIN_VALUE, i)), F.lit("")) for i in range(1, 5)
-        ]).alias("origin"),
-        T.found(text, P.IMPORTED_BY).alias("importer"),
-        T.group(text, P.DIMENSIONS, 1).alias("dims"), T.group(text, P.DIMENSIONS, 2).alias("dims_unit"),
+        numeric(P.QTY_VALUE, 1).alias("q_num"), numeric(P.QTY_PLAIN, 1).alias("p_num"),
+        numeric(P.USP_VALUE, 2).alias("usp"), numeric(P.PER_UNIT_PRICE, 2).alias("per_amount"),
+        F.when(c("digit") & T.found(text, P.MRP_LABEL), T.amount_after(text, P.MRP_LABEL)).alias("mrp"),
+        numeric(P.CURRENCY_AMOUNT, 1).alias("bare"), numeric(P.PRICE_LABEL, 2).alias("price"),
+        numeric(P.PHONE_LOOSE, 1).alias("loose"), numeric(P.DIMENSIONS, 1).alias("dims"),
+        T.email_in(text).alias("email"), T.phone_by_shape(text).alias("phone"),
+        T.found(text, P.ORIGIN_VALUE).alias("has_origin"), T.found(text, P.IMPORTED_BY).alias("importer"),
     )
+    second = read.withColumns({
+        "q_unit": also("q_num", P.QTY_VALUE, 2), "p_unit": also("p_num", P.QTY_PLAIN, 2),
+        "usp_unit": also("usp", P.USP_VALUE, 3), "per_unit": also("per_amount", P.PER_UNIT_PRICE, 3),
+        "dims_unit": also("dims", P.DIMENSIONS, 2),
+        "origin": F.when(c("has_origin"), F.coalesce(*[
+            F.nullif(T.strip_value(T.group(text, P.ORIGIN_VALUE, i)), F.lit("")) for i in range(1, 5)])),
+    })
     bare_ok = T.plausible_price(c("bare"))
     per_unit_form = F.coalesce(c("per_amount") == c("bare"), F.lit(False))
-    settled = read.withColumns({
+    settled = second.withColumns({
         "q": F.when(c("q_num").isNotNull() & ~_not_quantity(text, c("q_num"), c("q_unit")),
                     T.resolve_unit(c("q_num"), c("q_unit"), True)),
         "p": F.when(c("p_num").isNotNull() & ~_not_quantity(text, c("p_num"), c("p_unit"))
-                    & ~T.found(text, P.DIMENSIONS_LIKE) & ~c("names_usp"),
+                    & ~T.found(text, P.DIMENSIONS_LIKE) & ~T.found(text, P.USP_LINE),
                     T.resolve_unit(c("p_num"), c("p_unit"), False)),
-        "priced": ~c("names_usp") & c("usp").isNull() & ~c("not_mrp"),
+        "priced": F.coalesce("mrp", "bare", "price").isNotNull() & c("usp").isNull()
+        & ~T.found(text, P.USP_LINE) & ~T.found(text, P.NOT_MRP_CONTEXT),
         "plain_price": F.when(bare_ok, F.when(~per_unit_form, c("bare"))).when(
             T.plausible_price(c("price")), c("price")),
-        "per_ok": ~c("false_context") & T.plausible_price(c("per_amount")),
+        "per_ok": c("per_amount").isNotNull() & ~T.found(text, P.QTY_FALSE_CONTEXT)
+        & T.plausible_price(c("per_amount")),
         "is_care": T.found(text, P.CARE_WORDS) | (c("bits").bitwiseAND(fuzzy.CARE) > 0),
         "clean_origin": F.when(c("origin").rlike("[A-Za-z]"), T.clean_origin(c("origin"))),
         "maker_hint": T.found(c("maker"), P.COMPANY_HINT).cast("int"),
@@ -478,13 +483,23 @@ def assemble(chosen: DataFrame, options: Options = DEFAULT) -> DataFrame:
         F.when(_c("_expiry").isNotNull(), True).alias("may_expire"),
         F.lit(options.unit_sale_price_applicable).cast("boolean").alias("requires_unit_sale_price"),
         F.lit(options.dimensions_applicable).cast("boolean").alias("dimensions_relevant"))
+    return with_placement(rows)
+
+
+def with_placement(rows: DataFrame) -> DataFrame:
+    """Add the placement row of each scan: where the manufacturer evidence sits.
+
+    The manufacturer row is split in two in place, so nothing is read twice.
+    """
     kept = {"scan_id", "x0", "y0", "x1", "y1", "is_imported", "may_expire",
             "requires_unit_sale_price", "dimensions_relevant"}
-    placement = rows.filter(_c("field") == "manufacturer").select(*[
-        F.lit(P.PLACEMENT_FIELD).alias("field") if c == "field"
-        else _c(c) if c in kept else F.lit(None).cast(rows.schema[c].dataType).alias(c)
-        for c in rows.columns], _c("context").alias("nearby_text"))
-    return rows.withColumn("nearby_text", F.lit(None).cast("string")).unionByName(placement)
+    copies = F.when(_c("field") == "manufacturer", F.array(F.lit(False), F.lit(True))).otherwise(
+        F.array(F.lit(False)))
+    split = rows.withColumn("_placed", F.explode(copies))
+    columns = [
+        F.expr(f"if(_placed, '{P.PLACEMENT_FIELD}', field)").alias("field") if c == "field"
+        else _c(c) if c in kept else F.expr(f"if(_placed, null, {c})").alias(c) for c in rows.columns]
+    return split.select(*columns, F.expr("if(_placed, context, null)").alias("nearby_text"))
 
 
 def extract(lines: DataFrame, options: Options = DEFAULT, scans: DataFrame | None = None) -> DataFrame:

@@ -106,7 +106,8 @@ def _care_text(spark, folder):
 
 def _dates_text(spark, folder):
     """Every date-shaped text of the documents, separators cleaned."""
-    return labels.text_lines(spark, folder).select(
+    numbered = labels.text_lines(spark, folder).filter(T.has_digit(F.col("text")))
+    return numbered.select(
         "scan_id", "pos", F.explode(T.matches(F.col("text"), P.DATE_SHAPE, 1)).alias("raw")
     ).select("scan_id", "pos", T.clean_date(F.col("raw")).alias("date_text"))
 
