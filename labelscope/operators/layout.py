@@ -63,19 +63,22 @@ def _fuse(kept: Column, word: Column) -> Column:
         F.transform(kept, lambda k, n: F.when((n == i - 1) & better(k), word).otherwise(k))))
 
 
-def fuse_passes(words: DataFrame) -> DataFrame:
-    """Drop words that another pass read as well, keeping the fuller reading.
+def packed_islands(words: DataFrame) -> DataFrame:
+    """Words of each island as one array, repeated reads of other passes dropped.
 
-    Islands read in a single pass go through untouched.
+    Islands read in a single pass skip the fold.
     """
-    tagged = islands(words, PAGE, F.lit(0.0))
-    packed = tagged.groupBy(*PAGE, "island").agg(
+    packed = islands(words, PAGE, F.lit(0.0)).groupBy(*PAGE, "island").agg(
         F.array_sort(F.collect_list(_word())).alias("words"),
         (F.min("pass_index") == F.max("pass_index")).alias("single"))
     fused = F.aggregate("words", F.expr(f"cast(array() as array<{WORD_TYPE}>)"), _fuse)
     return packed.select(
-        *PAGE, F.explode(F.when(F.col("single"), F.col("words")).otherwise(fused)).alias("w")
-    ).select(*PAGE, "w.*")
+        *PAGE, "island", F.when(F.col("single"), F.col("words")).otherwise(fused).alias("words"))
+
+
+def fuse_passes(words: DataFrame) -> DataFrame:
+    """Words with repeated reads of other passes dropped, one row per word."""
+    return packed_islands(words).select(*PAGE, F.explode("words").alias("w")).select(*PAGE, "w.*")
 
 
 def _centre(w: Column) -> Column:
@@ -107,16 +110,14 @@ def _place(rows: Column, word: Column) -> Column:
         F.transform(rows, lambda r, n: F.when(n == i - 1, grown(r)).otherwise(r))))
 
 
-def cluster_rows(words: DataFrame) -> DataFrame:
-    """Words with their physical row: row_index counts from the top of the image."""
-    tagged = islands(words, PAGE, F.lit(0.0))
+def cluster_rows(packed: DataFrame) -> DataFrame:
+    """Physical rows of the islands: row_index counts from the top of the image."""
     kind = f"array<struct<centre:double,heights:array<double>,words:array<{WORD_TYPE}>>>"
-    in_order = F.transform(
-        F.array_sort(F.collect_list(F.struct(
-            ((F.col("y0") + F.col("y1")) / 2.0).alias("c"), "x0", "word_ord", _word().alias("w")))),
+    by_centre = F.transform(
+        F.array_sort(F.transform("words", lambda w: F.struct(
+            _centre(w).alias("c"), w["x0"].alias("x0"), w["word_ord"].alias("o"), w.alias("w")))),
         lambda x: x["w"])
-    packed = tagged.groupBy(*PAGE, "island").agg(in_order.alias("words"))
-    rows = packed.select(
+    rows = packed.withColumn("words", by_centre).select(
         *PAGE, "island",
         F.array_sort(F.aggregate("words", F.expr(f"cast(array() as {kind})"), _place)).alias("rows"))
     above = Window.partitionBy(*PAGE).orderBy("island").rowsBetween(Window.unboundedPreceding, -1)
@@ -125,42 +126,56 @@ def cluster_rows(words: DataFrame) -> DataFrame:
         .select(*PAGE, "skip", F.posexplode("rows").alias("i", "r"))
         .select(*PAGE, (F.col("skip") + F.col("i")).cast("int").alias("row_index"),
                 F.get("r.heights", F.floor(F.size("r.heights") / 2).cast("int")).alias("middle"),
-                F.posexplode("r.words").alias("k", "w"))
-        .select(*PAGE, "row_index", "middle", "k", "w.*")
+                F.transform(F.array_sort(F.transform("r.words", lambda w, k: F.struct(
+                    w["x0"].alias("x0"), k.alias("k"), w.alias("w")))), lambda x: x["w"]).alias("words"))
     )
 
 
-def assemble_lines(words: DataFrame) -> DataFrame:
+RUNS_TYPE = f"struct<right:double,runs:array<array<{WORD_TYPE}>>>"
+
+
+def _extend(acc: Column, word: Column, middle: Column) -> Column:
+    """Add the next word of a row: to a new run past a column gap, else to the last.
+
+    A word that repeats the last one kept stays only if it was read more surely.
+    """
+    runs = acc["runs"]
+    last = F.get(runs, F.size(runs) - 1)
+    tail = F.get(last, F.size(last) - 1)
+    gap = acc["right"].isNull() | (word["x0"] - acc["right"] > P.COLUMN_GAP_RATIO * middle)
+    key = T.token_key(word["text"])
+    repeat = (key != "") & (key == T.token_key(tail["text"]))
+    all_but_last = F.slice(runs, F.lit(1), F.size(runs) - 1)
+    surer = F.when(
+        word["confidence"] > tail["confidence"],
+        F.array_append(F.slice(last, F.lit(1), F.size(last) - 1), word)).otherwise(last)
+    return F.struct(
+        word["x1"].alias("right"),
+        F.when(gap, F.array_append(runs, F.array(word)))
+        .when(repeat, F.array_append(all_but_last, surer))
+        .otherwise(F.array_append(all_but_last, F.array_append(last, word))).alias("runs"))
+
+
+def assemble_lines(rows: DataFrame) -> DataFrame:
     """Rows cut at column gaps, repeated neighbours collapsed, one line per run."""
-    row = [*PAGE, "row_index"]
-    across = Window.partitionBy(*row).orderBy("x0", "k")
-    so_far = across.rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.col("x0") - F.lag("x1").over(across) > P.COLUMN_GAP_RATIO * F.col("middle")
-    key = T.token_key(F.col("text"))
-    cut = words.withColumn("_gap", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("_key", key)
-    columns = cut.withColumn("column_index", F.sum("_gap").over(so_far).cast("int"))
-    repeat = (
-        (F.col("column_index") == F.lag("column_index").over(across)) & (F.col("_key") != "")
-        & (F.col("_key") == F.lag("_key").over(across)))
-    stuttered = columns.withColumn(
-        "_new", F.when(repeat, 0).otherwise(1)).withColumn("_group", F.sum("_new").over(so_far))
-    word = F.struct("x0", "y0", "x1", "y1", "text", "confidence", "word_ord")
-    once = stuttered.groupBy(*row, "column_index", "_group").agg(
-        F.max_by(word, F.struct(F.col("confidence"), (-F.col("k")).alias("first"))).alias("w"))
-    lined = once.groupBy(*row, "column_index").agg(
-        F.array_sort(F.collect_list(F.struct("_group", "w"))).alias("ws"),
-        F.min("w.x0").alias("x0"), F.min("w.y0").alias("y0"), F.max("w.x1").alias("x1"),
-        F.max("w.y1").alias("y1"), F.avg("w.confidence").alias("mean"))
+    start = F.expr(f"cast(named_struct('right', null, 'runs', array()) as {RUNS_TYPE})")
+    runs = F.aggregate("words", start, lambda acc, w: _extend(acc, w, F.col("middle")))["runs"]
+    lined = rows.select(*PAGE, "row_index", F.posexplode(runs).alias("column_index", "words"))
+
+    def edge(name: str, pick) -> Column:
+        return pick(F.transform("words", lambda w: w[name])).alias(name)
+
+    total = F.aggregate("words", F.lit(0.0), lambda acc, w: acc + w["confidence"])
     return lined.select(
-        *row, "column_index",
-        F.concat_ws(" ", F.transform("ws", lambda x: x["w"]["text"])).alias("text"), *BOX,
-        T.round_half_even(F.col("mean"), 3).alias("confidence"),
-        F.transform("ws", lambda x: x["w"]).alias("words"))
+        *PAGE, "row_index", "column_index",
+        F.array_join(F.transform("words", lambda w: w["text"]), " ").alias("text"),
+        edge("x0", F.array_min), edge("y0", F.array_min), edge("x1", F.array_max), edge("y1", F.array_max),
+        T.round_half_even(total / F.size("words"), 3).alias("confidence"), "words")
 
 
 def detections_to_lines(words: DataFrame) -> DataFrame:
     """Words (with `frame`) to lines of every image and frame."""
-    return assemble_lines(cluster_rows(fuse_passes(words)))
+    return assemble_lines(cluster_rows(packed_islands(words)))
 
 
 def orientation_scores(lines: DataFrame) -> DataFrame:

@@ -14,7 +14,6 @@ class Options:
     origin_overrides_importer: bool = True
     unit_sale_price_applicable: bool | None = None
     dimensions_applicable: bool | None = False
-    strict_inferred: bool = False
     descriptors: tuple[str, ...] = field(default_factory=lambda: tuple(P.DESCRIPTORS))
 
 
