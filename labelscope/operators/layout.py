@@ -13,7 +13,8 @@ from pyspark.sql.window import Window
 
 from labelscope.functions import patterns as P
 from labelscope.functions import text as T
-from labelscope.operators.sequence import BOX, bands, islands, positions
+from labelscope.operators.sequence import bands, islands, positions
+from labelscope.session import materialize
 
 PAGE = ["scan_id", "image_index", "frame"]
 WORD = ["y0", "x0", "word_ord", "x1", "y1", "pass_index", "text", "confidence"]
@@ -117,12 +118,15 @@ def cluster_rows(packed: DataFrame) -> DataFrame:
         F.array_sort(F.transform("words", lambda w: F.struct(
             _centre(w).alias("c"), w["x0"].alias("x0"), w["word_ord"].alias("o"), w.alias("w")))),
         lambda x: x["w"])
-    rows = packed.withColumn("words", by_centre).select(
-        *PAGE, "island",
-        F.array_sort(F.aggregate("words", F.expr(f"cast(array() as {kind})"), _place)).alias("rows"))
+    folded = F.array_sort(F.aggregate("words", F.expr(f"cast(array() as {kind})"), _place))
+    rows = materialize(
+        packed.withColumn("words", by_centre).select(*PAGE, "island", folded.alias("rows"))
+        .withColumn("n", F.size("rows")))
+    # counts only: an image has no more islands than pixel rows
     above = Window.partitionBy(*PAGE).orderBy("island").rowsBetween(Window.unboundedPreceding, -1)
+    skips = rows.select(*PAGE, "island", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("skip"))
     return (
-        rows.withColumn("skip", F.coalesce(F.sum(F.size("rows")).over(above), F.lit(0)))
+        rows.join(skips, [*PAGE, "island"])
         .select(*PAGE, "skip", F.posexplode("rows").alias("i", "r"))
         .select(*PAGE, (F.col("skip") + F.col("i")).cast("int").alias("row_index"),
                 F.get("r.heights", F.floor(F.size("r.heights") / 2).cast("int")).alias("middle"),
@@ -233,8 +237,6 @@ def reading_order(lines: DataFrame) -> DataFrame:
 
 def read_labels(words: DataFrame) -> DataFrame:
     """Detections of many images to oriented lines in reading order."""
-    from labelscope.session import materialize
-
-    lines = materialize(detections_to_lines(both_frames(words)))
+    lines = detections_to_lines(both_frames(words))
     chosen = choose_orientation(orientation_scores(lines)).select(*PAGE)
     return reading_order(lines.join(chosen, PAGE, "left_semi").drop("frame"))

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from labelscope.functions import patterns as P
 from labelscope.functions import text as T
 from labelscope.operators.evidence import candidates, rank
-from labelscope.operators.sequence import BOX, islands
+from labelscope.operators.sequence import BOX, islands, positions
 from labelscope.operators.tables import readable
 from labelscope.operators.vocabulary import count_descriptors
 from labelscope.options import DEFAULT, Options
@@ -69,8 +69,12 @@ def phrases(lines: DataFrame, options: Options = DEFAULT) -> DataFrame:
     folded = F.aggregate("items", F.expr(f"cast(array() as {kind})"), _join_phrase)
     rows = stretches.select(*PAGE, "stretch", F.posexplode(folded).alias("i", "p")).select(
         *PAGE, "stretch", "i", "p.*")
-    by_place = Window.partitionBy("scan_id").orderBy("image_index", "stretch", "i")
-    return rows.withColumn("idx", F.row_number().over(by_place) - 1).drop("stretch", "i")
+    place = (
+        F.col("image_index").cast("bigint") * (1 << 44) + F.col("stretch").cast("bigint") * (1 << 20)
+        + F.col("i"))
+    return positions(
+        rows.withColumn("place", place), ["image_index", "stretch", "place"], "idx"
+    ).drop("stretch", "i", "place")
 
 
 def rank_phrases(lines: DataFrame, options: Options = DEFAULT) -> DataFrame:

@@ -38,32 +38,41 @@ def oversized_scans(lines: DataFrame) -> DataFrame:
 def positions(lines: DataFrame, order: list[str], out: str = "pos") -> DataFrame:
     """Dense 0-based position of each row within its scan.
 
-    Rows of an oversized scan are ranked in small ordered buckets first; the
-    bucket counts then give each bucket its offset. `order` names the sort
-    columns, of which the last is unique within a scan.
+    `order` names the sort columns, of which the last is a whole number unique
+    within a scan. An oversized scan is ranked in small buckets instead: rows
+    with equal leading columns form a level (at most one per pixel row of an
+    image), and a level is cut by the last two columns. Counts of levels and of
+    buckets within a level then give every bucket its offset.
     """
+    level, inner = order[:-2], order[-2:]
     sizes = lines.groupBy("scan_id").count().filter(F.col("count") > CHUNK)
     big = sizes.select("scan_id", F.lit(True).alias("_big"))
-    bucket = F.when(
-        F.col("_big"),
-        F.struct(*[F.col(c).cast("double").alias(c) for c in order[:-1]],
-                 F.floor(F.col(order[-1]) / CHUNK).cast("double").alias(order[-1])),
-    )
-    tagged = lines.join(big, "scan_id", "left").withColumn("_bucket", bucket)
-    w = Window.partitionBy("scan_id", "_bucket").orderBy(*order)
-    ranked = tagged.withColumn("_rn", F.row_number().over(w).cast("long"))
-    counts = (
-        lines.join(big, "scan_id").withColumn("_bucket", bucket)
-        .groupBy("scan_id", "_bucket").agg(F.count("*").alias("_n"))
-    )
-    before = Window.partitionBy("scan_id").orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "scan_id", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_skip"))
+
+    def bucketed(df: DataFrame) -> DataFrame:
+        return df.withColumn("_level", F.when(F.col("_big"), F.struct(*[
+            F.col(c).cast("double").alias(c) for c in level]))).withColumn(
+            "_bucket", F.when(F.col("_big"), F.struct(
+                F.col(inner[0]).cast("double").alias("a"),
+                F.floor(F.col(inner[1]) / CHUNK).cast("double").alias("b"))))
+
+    keys = ["scan_id", "_level", "_bucket"]
+    tagged = bucketed(lines.join(big, "scan_id", "left"))
+    ranked = tagged.withColumn(
+        "_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+    counts = bucketed(lines.join(big, "scan_id")).groupBy(*keys).agg(F.count("*").alias("_n"))
+
+    def before(df: DataFrame, part: list[str], by: str, name: str) -> DataFrame:
+        w = Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(name, F.coalesce(F.sum("_n").over(w), F.lit(0)))
+
+    levels = before(counts.groupBy("scan_id", "_level").agg(F.sum("_n").alias("_n")),
+                    ["scan_id"], "_level", "_above").drop("_n")
+    offsets = before(counts, ["scan_id", "_level"], "_bucket", "_within").join(
+        levels, ["scan_id", "_level"]).select(*keys, (F.col("_above") + F.col("_within")).alias("_skip"))
     return (
-        ranked.join(offsets, ["scan_id", "_bucket"], "left")
+        ranked.join(offsets, keys, "left")
         .withColumn(out, F.col("_rn") - 1 + F.coalesce("_skip", F.lit(0)))
-        .drop("_big", "_bucket", "_rn", "_skip")
+        .drop("_big", "_level", "_bucket", "_rn", "_skip")
     )
 
 
