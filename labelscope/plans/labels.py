@@ -63,6 +63,9 @@ def label_lines(spark: SparkSession, folder: str) -> DataFrame:
         9: F.when(key % 8 == 0, F.concat(F.lit("USP Rs. 0."), digits, F.lit(" per g")))
         .when(key % 8 == 1, F.concat(F.lit("Rs.0."), F.substring(digits, 1, 2), F.lit("/ml"))),
         10: F.when(key % 10 == 0, F.concat(F.lit("Size: "), F.col("size").cast("string"), F.lit(" x 20 cm"))),
+        11: F.when(key % 10 == 5, _pick(F.floor(key / 10), [
+            "Salted Snack", "Cereal based namkeeh", "Roasted Almonds", "wheat biscults",
+            "Instant Coffee Powder"])),
     }
     items = F.filter(
         F.array(*[F.struct(F.lit(i).alias("line_ord"), t.alias("text")) for i, t in line.items()]),

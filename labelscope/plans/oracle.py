@@ -28,7 +28,9 @@ raw AS (
   UNION ALL SELECT key, 8, CASE WHEN key % 7 = 0 THEN strftime(made + INTERVAL 12 MONTH, '%d/%m/%Y') END FROM p
   UNION ALL SELECT key, 9, CASE WHEN key % 8 = 0 THEN 'USP Rs. 0.' || digits || ' per g'
     WHEN key % 8 = 1 THEN 'Rs.0.' || substr(digits, 1, 2) || '/ml' END FROM p
-  UNION ALL SELECT key, 10, CASE WHEN key % 10 = 0 THEN 'Size: ' || CAST(size AS VARCHAR) || ' x 20 cm' END FROM p),
+  UNION ALL SELECT key, 10, CASE WHEN key % 10 = 0 THEN 'Size: ' || CAST(size AS VARCHAR) || ' x 20 cm' END FROM p
+  UNION ALL SELECT key, 11, CASE WHEN key % 10 = 5 THEN (['Salted Snack', 'Cereal based namkeeh', 'Roasted Almonds',
+    'wheat biscults', 'Instant Coffee Powder'])[(key // 10) % 5 + 1] END FROM p),
 lines AS (
   SELECT CAST(key AS BIGINT) AS scan_id, row_number() OVER (PARTITION BY key ORDER BY ord) - 1 AS pos, ord, text,
          CAST(40 + (key * 37 + ord * 11) % 60 AS DOUBLE) / 100 AS confidence, CAST(ord * 20 AS DOUBLE) AS y0
@@ -129,8 +131,13 @@ maker AS (
               SELECT *, 0, trim(regexp_extract(text, '(?i)(?:marketed\s*by|packed\s*by|packer|packaged\s*by|imported\s*by|importer)\s*[:.\-]?\s+(.+)', 1), ' .,') FROM lines)
         WHERE v <> '') GROUP BY scan_id),
 named AS (
-  SELECT scan_id, arg_min(struct_pack(v := v, t := text, c := confidence), pos) AS n FROM (
-    SELECT *, trim(regexp_extract(text, '(?i)(?:name\s*of\s*commodity|common\s*name|generic\s*name|product\s*name|commodity)\s*[:\-]\s*(.+)', 1), ' .,') AS v FROM lines)
+  SELECT scan_id, arg_min(struct_pack(v := v, t := text, c := confidence, how := how),
+                          struct_pack(a := tier, s := -score, c := -confidence, p := pos)) AS n FROM (
+    SELECT scan_id, pos, text, confidence, 1 AS tier, 0 AS score, 'explicit_label' AS how,
+           trim(regexp_extract(text, '(?i)(?:name\s*of\s*commodity|common\s*name|generic\s*name|product\s*name|commodity)\s*[:\-]\s*(.+)', 1), ' .,') AS v FROM lines
+    UNION ALL
+    SELECT l.scan_id, l.pos, l.text, l.confidence, 3, d.score, 'descriptor_vocabulary', trim(l.text, ' .,')
+    FROM lines l JOIN descriptors d ON d.scan_id = l.scan_id AND d.pos = l.pos)
   WHERE v <> '' GROUP BY scan_id),
 qty AS (
   SELECT scan_id, arg_min(struct_pack(v := r.value, t := text, c := confidence, unit := r.unit, how := r.how, raw := r.raw_unit), pos) AS q
@@ -208,7 +215,7 @@ found AS (
          NULL AS currency, CAST(NULL AS BOOLEAN) AS context_confirmed, NULL AS date_role, CAST(NULL AS BOOLEAN) AS origin_conflict,
          CAST(NULL AS BOOLEAN) AS inferred, CAST(NULL AS BOOLEAN) AS partial, 'exact' AS label_match,
          CASE WHEN m.tier = 1 THEN 'manufacturer' ELSE 'packer_importer_marketer' END AS label_type, NULL AS match_method FROM maker
-  UNION ALL SELECT scan_id, 'common_name', n.v, n.t, n.c, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'explicit_label' FROM named
+  UNION ALL SELECT scan_id, 'common_name', n.v, n.t, n.c, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, n.how FROM named
   UNION ALL SELECT scan_id, 'net_quantity', q.v, q.t, q.c, q.unit,
          CASE WHEN q.how = 'swallowed' THEN 'ocr_corrected' WHEN q.how IS NOT NULL THEN 'confirmed_present'
               WHEN q.raw IS NOT NULL OR q.c < 0.7 THEN 'ambiguous' ELSE 'confirmed_absent' END,
@@ -300,12 +307,16 @@ history AS (
 """
 
 
+GATE = "AND coalesce(confidence, 1) >= 0.45"
+
+
 def _with(*parts: str) -> str:
     return "WITH " + ",".join(parts)
 
 
 def _extraction(tail: str) -> str:
-    return _with(LINES, CONTEXT, UNITS, FIELDS, RULES) + tail
+    ctes, select = _descriptors("lines", GATE)
+    return _with(LINES, CONTEXT, UNITS, ctes, f"descriptors AS ({select})", FIELDS, RULES) + tail
 
 
 _FIELD_COLUMNS = {
@@ -436,8 +447,10 @@ def oracle_sql() -> dict[str, str]:
              CAST(coalesce(c.n, 0) AS INTEGER) AS declarations_count, coalesce(c.m, 0.92) AS mean_confidence
       FROM scores s LEFT JOIN conf c USING (scan_id)""")
 
-    q["descriptor_scores"] = _with(LINES) + _descriptors("lines", "AND coalesce(confidence, 1) >= 0.45")
-    q["descriptor_scores_text"] = _with(DOC_LINES) + _descriptors("doc_lines", "")
+    for name, lines, table, gate in (("descriptor_scores", LINES, "lines", GATE),
+                                     ("descriptor_scores_text", DOC_LINES, "doc_lines", "")):
+        ctes, select = _descriptors(table, gate)
+        q[name] = _with(lines, ctes) + select
     q["consumer_care_text"] = _with(DOC_LINES) + rf"""
       , hits AS (
         SELECT scan_id, pos, 2 AS tier, regexp_extract(text, '[\p{{L}}\p{{N}}_.+-]+@[\p{{L}}\p{{N}}_-]+\.[\p{{L}}\p{{N}}_.-]+') AS v FROM doc_lines
@@ -505,12 +518,13 @@ def oracle_sql() -> dict[str, str]:
     return q
 
 
-def _descriptors(table: str, gate: str) -> str:
+def _descriptors(table: str, gate: str) -> tuple[str, str]:
+    """CTEs up to the known words, and the SELECT that scores lines with them."""
     from labelscope.functions.patterns import DESCRIPTORS
 
     words = "[" + ",".join(f"'{w}'" for w in DESCRIPTORS) + "]"
-    return rf"""
-      , vocabulary AS (SELECT unnest({words}) AS word),
+    ctes = rf"""
+      vocabulary AS (SELECT unnest({words}) AS word),
       eligible AS (SELECT scan_id, pos, trim(text, ' .,') AS t FROM {table} WHERE trim(text, ' .,') <> '' AND length(trim(text, ' .,')) <= 60 {gate}
         AND NOT regexp_matches(trim(text, ' .,'), '(?i)\b(ingredients?|nutrition|nutritional|allergen|contains|energy|protein|carbohydrate|fat|sodium|recipe|serving|directions?|storage|manufactured|marketed|packed\s*by|imported|customer\s*care|consumer\s*care|mrp|maximum\s+retail|net\s*(?:wt|weight|qty|quantity)|best\s*before|use\s*by|batch|lot\s*no|fssai|licence|license)\b')),
       tokens AS (SELECT DISTINCT scan_id, pos, unnest(regexp_extract_all(lower(t), '[a-z]+')) AS token FROM eligible),
@@ -520,4 +534,6 @@ def _descriptors(table: str, gate: str) -> str:
           (length(token) = 4 AND length(word) = 5 AND levenshtein(token, word) = 1)
           OR (length(token) BETWEEN 5 AND 7 AND levenshtein(token, word) <= 1)
           OR (length(token) >= 8 AND levenshtein(token, word) <= 2))) GROUP BY token)
-      SELECT scan_id, pos, CAST(count(DISTINCT word) AS INTEGER) AS score FROM tokens JOIN known USING (token) GROUP BY ALL"""
+"""
+    return ctes, (" SELECT scan_id, pos, CAST(count(DISTINCT word) AS INTEGER) AS score "
+                  "FROM tokens JOIN known USING (token) GROUP BY ALL")

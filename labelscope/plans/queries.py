@@ -87,7 +87,11 @@ def _field(field):
 
 
 def _names(spark, folder):
-    ranked = prominence.rank_phrases(label_lines(spark, folder).withColumn("ctx2", F.col("text")))
+    """Names ranked with the first line of every label set larger than the rest."""
+    first = F.col("pos") == 0
+    lines = label_lines(spark, folder).withColumn(
+        "y0", F.when(first, F.col("y0") - 30).otherwise(F.col("y0")))
+    ranked = prominence.rank_phrases(lines)
     return ranked.select("scan_id", "idx", "value", "final_score", "prominence_ratio", "descriptors")
 
 
