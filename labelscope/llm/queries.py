@@ -5,15 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from labelscope.llm import binary_records, packing
+from labelscope.llm import binary_records, packing, simhash, substrings, token_counts
 from labelscope.llm.common import table
 
+PIECES = "piece_bpe_32k.model"
 WORDS = "word_bpe_49k.json"
 END_ID = 1
 SEQUENCE = 2048
+TOKEN_LIMIT = 4096
+SHINGLE = 3
+
+
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    counted = token_counts.prefix_tables(docs, public_tokenizers.path(PIECES), limits=(TOKEN_LIMIT,), tables=False)
+    return counted.select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens",
+        (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), f"fit_{TOKEN_LIMIT}")
+
+
+def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"), SHINGLE)
+    return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op5_binary_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,12 +39,17 @@ def op5_binary_records(spark: SparkSession, folder: str) -> DataFrame:
     return binary_records.read_digests(index)
 
 
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.digests(table(spark, folder, "documents"))
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), SEQUENCE, public_tokenizers.path(WORDS), END_ID)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_binary_records, op8_packing)}
+    return {f.__name__: f for f in (
+        op1_token_counts, op3_simhash, op5_binary_records, op6_substring_dedup, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
