@@ -141,8 +141,8 @@ def _windows(texts: DataFrame, width: int) -> DataFrame:
                 named = named_grams(hashes, width)
                 at = np.minimum(np.searchsorted(listed, named), len(listed) - 1)
                 places = np.flatnonzero(listed[at] == named)
-                one, two = (rolling(hashes * np.uint64(2 * k + 1) ^ (hashes >> np.uint64(17 * k)), width, base)[places]
-                            for k, base in enumerate(BASES))
+                one = rolling(hashes, width)[places]
+                two = rolling(hashes ^ (hashes >> np.uint64(31)), width, BASES[1])[places]
                 n = len(places)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, doc, np.int64)), pa.array(np.full(n, key, np.int64)), pa.array(places.astype(np.int32)),
