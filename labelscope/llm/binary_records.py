@@ -8,8 +8,9 @@ File format. Every record is
     check    unsigned 32-bit: masked CRC-32C of the data
 
 where masked(c) = rotate_right(c, 15) + 0xA282EAD8 modulo 2**32. The data of a
-document are its doc_id (signed 64-bit; a flag byte before it is 0 for a null
-id) and its ids, unsigned 32-bit, all little-endian. Shards hold documents in
+document are a byte with the size of an id (2 or 4 bytes, as its largest id
+needs), a byte that is 0 for a null doc_id, the doc_id (signed 64-bit) and its
+ids, unsigned, all little-endian. Shards hold documents in
 ascending doc_id order (nulls first, ties by a hash of the text), and shards
 are numbered in that order.
 
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from labelscope.llm.common import materialize, scratch_dir, small_batches
 from labelscope.llm.tokens import text_ids
 
-HEAD = 9
+HEAD = struct.Struct("<B?q")
 INDEX = "doc_id long, shard int, path string, offset long, length long, n_tokens long"
 BLOCK = 64
 
@@ -139,6 +140,25 @@ def records(stream, batch_bytes: int = 1 << 22) -> Iterator[list[bytes]]:
             yield items
 
 
+def packed(doc: int | None, ids: bytes) -> bytes:
+    """Data of a document; `ids` are little-endian unsigned 32-bit integers."""
+    import numpy as np
+
+    wide = np.frombuffer(ids, "<u4")
+    if not len(wide) or wide.max() < 1 << 16:
+        return HEAD.pack(2, doc is not None, doc or 0) + wide.astype("<u2").tobytes()
+    return HEAD.pack(4, doc is not None, doc or 0) + ids
+
+
+def unpacked(data: bytes) -> tuple[int | None, bytes]:
+    """doc_id and ids (little-endian unsigned 32-bit integers) of a record's data."""
+    import numpy as np
+
+    size, there, doc = HEAD.unpack_from(data)
+    ids = np.frombuffer(data, f"<u{size}", offset=HEAD.size).astype("<u4").tobytes()
+    return doc if there else None, ids
+
+
 def _open(uri: str):
     """File system and path of a URI; s3a is what Spark calls s3."""
     from pyarrow import fs
@@ -171,7 +191,8 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int | No
                 out = store.open_output_stream(place)
             ids = batch.column(0).to_pylist()
             tokens = encoder.encode(batch.column(1).cast(pa.binary()).to_pylist())
-            items = [struct.pack("<?q", i is not None, i or 0) + x + end for i, x in zip(ids, tokens)]
+            tokens = [x + end for x in tokens]
+            items = [packed(i, x) for i, x in zip(ids, tokens)]
             rows = framed(items)
             out.write(b"".join(rows))
             offsets = []
@@ -181,7 +202,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int | No
             yield pa.RecordBatch.from_arrays([
                 pa.array(ids, pa.int64()), pa.array([shard] * len(ids), pa.int32()), pa.array([path] * len(ids)),
                 pa.array(offsets, pa.int64()), pa.array([len(x) for x in items], pa.int64()),
-                pa.array([(len(x) - HEAD) // 4 for x in items], pa.int64())],
+                pa.array([len(x) // 4 for x in tokens], pa.int64())],
                 names=["doc_id", "shard", "path", "offset", "length", "n_tokens"])
         if out is not None:
             out.close()
@@ -205,14 +226,14 @@ def read_back(index: DataFrame) -> DataFrame:
     ids is binary, little-endian unsigned 32-bit integers. A task reads whole
     shards as a stream, and every length and checksum is verified.
     """
-    return _scan(index, lambda data: [x[HEAD:] for x in data], "ids binary")
+    return _scan(index, list, "ids binary")
 
 
 def read_digests(index: DataFrame) -> DataFrame:
     """As `read_back`, with n_tokens and the CRC-32 of the ids in their place."""
     import zlib
 
-    return _scan(index, lambda data: [zlib.crc32(memoryview(x)[HEAD:]) for x in data], "ids_crc32 long")
+    return _scan(index, lambda ids: [zlib.crc32(x) for x in ids], "ids_crc32 long")
 
 
 def _scan(index: DataFrame, of, column: str) -> DataFrame:
@@ -226,16 +247,15 @@ def _scan(index: DataFrame, of, column: str) -> DataFrame:
                 store, place = _open(path)
                 with store.open_input_stream(place, buffer_size=1 << 20) as stream:
                     for data in records(stream):
-                        ids = [struct.unpack_from("<?q", x) for x in data]
-                        sizes = [(len(x) - HEAD) // 4 for x in data]
+                        docs, ids = zip(*map(unpacked, data))
+                        sizes = [len(x) // 4 for x in ids]
                         starts = []
                         for size in sizes:
                             starts.append(base)
                             base += size
                         yield pa.RecordBatch.from_arrays([
-                            pa.array([i if there else None for there, i in ids], pa.int64()), pa.array(starts, pa.int64()),
-                            pa.array(sizes, pa.int64()),
-                            pa.array(of(data), pa.binary() if kind == "binary" else pa.int64())],
+                            pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()),
+                            pa.array(of(ids), pa.binary() if kind == "binary" else pa.int64())],
                             names=["doc_id", "start", "n_tokens", column.split()[0]])
 
     shards = materialize(shard_starts(index).select("path", "base"))
@@ -260,10 +280,9 @@ def read_at(wanted: DataFrame) -> DataFrame:
                     files[path] = store.open_input_file(place)
                 files[path].seek(offset)
                 rows.append(next(records(files[path], 1))[0])
-            ids = [struct.unpack_from("<?q", x) for x in rows]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([i if there else None for there, i in ids], pa.int64()),
-                pa.array([x[HEAD:] for x in rows], pa.binary())], names=["doc_id", "ids"])
+            docs, ids = zip(*map(unpacked, rows)) if rows else ((), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(docs, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
         for file in files.values():
             file.close()
 

@@ -6,11 +6,11 @@ import os
 import re
 from functools import lru_cache
 
-#: Stretches, and words, that a worker remembers; later ones are encoded each time they come.
-REMEMBERED = 300_000
-#: Letters of one case pair each and no combining form, then ASCII marks but no apostrophe:
-#: two pre-tokens, whatever stands around them.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+#: Stretches, and words, that a worker remembers; beyond, those of the last batch only.
+STRETCHES, WORDS = 300_000, 450_000
+#: A line of letters without case or combining forms, then ASCII marks but no apostrophe: two
+#: pre-tokens, whatever stands around them. Any other line is an empty pair.
+PLAIN = re.compile(r"^(?:([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)$|.*$)", re.M).findall
 
 
 class TextIds:
@@ -24,10 +24,15 @@ class TextIds:
 
     def __init__(self, path: str):
         import numpy as np
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self._tokenizer = Tokenizer.from_file(path)
+        # the same merges for words that are lower-cased and parted already
+        self._merges = Tokenizer.from_file(path)
+        self._merges.normalizer = normalizers.Sequence([])
+        self._merges.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self._known: dict[bytes, bytes] = {}
         self._words: dict[str, bytes] = {}
         self._closes = np.zeros(self._tokenizer.get_vocab_size(), bool)
@@ -46,7 +51,7 @@ class TextIds:
 
         if not words:
             return []
-        ids = np.array(self._tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self._merges.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
         ends = np.flatnonzero(self._closes[ids]) + 1
         if len(ends) != len(words):
             return self._each(words)
@@ -54,27 +59,29 @@ class TextIds:
         return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
     def _encode_new(self, new: list[bytes]) -> dict[bytes, bytes]:
-        strings = [x.decode("utf-8") for x in new]
-        plain = [m and (m[1].lower(), m[2]) for m in map(PLAIN, strings)]
+        if not new:
+            return {}
+        parted = PLAIN(b"\n".join(new).decode("utf-8").lower())
+        used, marks = {word for word, _ in parted}, {mark for _, mark in parted}
+        if len(self._words) > WORDS:
+            self._words = {w: self._words[w] for w in used if w in self._words}
         words = self._words
-        need = list({m[0] for m in plain if m}.difference(words))
-        fresh = dict(zip(need, self._together(need)))
-        if len(words) < REMEMBERED:
-            words.update(fresh)
-        rest = list({m[1] for m in plain if m} | {s for s, m in zip(strings, plain) if not m})
-        others = dict(zip(rest, self._each(rest)))
-        get = lambda w: fresh.get(w) or words[w]
-        return {x: get(m[0]) + others[m[1]] if m else others[s] for x, s, m in zip(new, strings, plain)}
+        need = [w for w in used if w and w not in words]
+        words.update(zip(need, self._together(need)))
+        words[""] = b""
+        rest = [x for x, (word, _) in zip(new, parted) if not word]
+        others = dict(zip(rest, self._each([x.decode("utf-8") for x in rest])))
+        tails = dict(zip(marks, self._each(list(marks))))
+        return {x: words[word] + tails[mark] if word else others[x] for x, (word, mark) in zip(new, parted)}
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        known = self._known
         parts = [(text or b"").split() for text in texts]
-        found = self._encode_new(list(set().union(*parts).difference(known)))
-        if len(known) < REMEMBERED:
-            known.update(found)
-            return [b"".join(map(known.__getitem__, part)) for part in parts]
-        both = lambda w: known.get(w) or found[w]
-        return [b"".join(map(both, part)) for part in parts]
+        seen = set().union(*parts)
+        if len(self._known) > STRETCHES:
+            self._known = {x: self._known[x] for x in seen if x in self._known}
+        known = self._known
+        known.update(self._encode_new(list(seen.difference(known))))
+        return [b"".join(map(known.__getitem__, part)) for part in parts]
 
 
 @lru_cache(maxsize=2)
