@@ -190,8 +190,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int | No
                 store.create_dir(place.rsplit("/", 1)[0], recursive=True)
                 out = store.open_output_stream(place)
             ids = batch.column(0).to_pylist()
-            tokens = encoder.encode(batch.column(1).cast(pa.binary()).to_pylist())
-            tokens = [x + end for x in tokens]
+            tokens = [bytes(x) + end for x in encoder.encode(batch.column(1))]
             items = [packed(i, x) for i, x in zip(ids, tokens)]
             rows = framed(items)
             out.write(b"".join(rows))

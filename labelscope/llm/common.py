@@ -9,8 +9,8 @@ from labelscope.session import materialize, scratch_dir
 
 __all__ = ["components", "materialize", "scratch_dir", "small", "small_batches", "table"]
 
-#: Rows an Arrow batch holds at most: a batch of very long texts stays below some 30 MB.
-BATCH_ROWS = 256
+#: Rows an Arrow batch holds at most: a batch of very long texts stays below some 60 MB.
+BATCH_ROWS = 512
 #: A side of a join is broadcast only after a count has shown that it is no larger.
 BROADCAST_ROWS = 500_000
 

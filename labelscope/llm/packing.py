@@ -25,7 +25,7 @@ from labelscope.llm.tokens import text_ids
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Pieces of one length that are ranked in one task.
-RANKED = 50_000
+RANKED = 1_000
 
 
 def cut(docs: DataFrame, size: int, tokenizer: str, end_id: int | None, with_ids: bool = False) -> DataFrame:
@@ -40,8 +40,8 @@ def cut(docs: DataFrame, size: int, tokenizer: str, end_id: int | None, with_ids
         step = 4 * size
         for batch in batches:
             rows, ids = [], []
-            for doc, x in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).cast(pa.binary()).to_pylist())):
-                x += end
+            for doc, x in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1))):
+                x = bytes(x) + end
                 for at in range(0, len(x), step):
                     piece = x[at:at + step]
                     rows.append((doc, at // 4, len(piece) // 4, zlib.crc32(piece), len(x) // 4))
@@ -99,9 +99,12 @@ def pack(pieces: DataFrame, size: int) -> DataFrame:
     length that holds most pieces is ranked by many tasks.
     """
     spark = pieces.sparkSession
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chunks = max(1, -(-max(histogram.values(), default=1) // RANKED))
-    chunked = pieces.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "start"), F.lit(chunks)).cast("int"))
+    counts = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
+    histogram = {r["length"]: r["n"] for r in counts.collect()}
+    known = F.broadcast(spark.createDataFrame(  # at most `size` rows
+        [(n, -(-count // RANKED)) for n, count in histogram.items()], "length long, chunks long"))
+    chunked = pieces.join(known, "length").withColumn(
+        "chunk", F.pmod(F.xxhash64("doc_id", "start"), F.col("chunks"))).drop("chunks")
     earlier = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = (chunked.groupBy("length", "chunk").agg(F.count(F.lit(1)).alias("n"))
              .withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n"))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 #: Stretches, and words, that a worker remembers; beyond, those of the last batch only.
-STRETCHES, WORDS = 300_000, 450_000
+STRETCHES, WORDS = 200_000, 350_000
+#: Text that is encoded at a time.
+PART_BYTES = 16 << 20
 #: A line of letters without case or combining forms, then ASCII marks but no apostrophe: two
 #: pre-tokens, whatever stands around them. Any other line is an empty pair.
 PLAIN = re.compile(r"^(?:([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)$|.*$)", re.M).findall
@@ -24,13 +27,12 @@ class TextIds:
 
     def __init__(self, path: str):
         import numpy as np
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self._tokenizer = Tokenizer.from_file(path)
         # the same merges for words that are lower-cased and parted already
-        self._merges = Tokenizer.from_file(path)
-        self._merges.normalizer = normalizers.Sequence([])
+        self._merges = Tokenizer(self._tokenizer.model)
         self._merges.pre_tokenizer = pre_tokenizers.Sequence([
             pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self._known: dict[bytes, bytes] = {}
@@ -74,14 +76,42 @@ class TextIds:
         tails = dict(zip(marks, self._each(list(marks))))
         return {x: words[word] + tails[mark] if word else others[x] for x, (word, mark) in zip(new, parted)}
 
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        parts = [(text or b"").split() for text in texts]
-        seen = set().union(*parts)
+    def encode(self, texts) -> Iterator[memoryview]:
+        """Ids of each text of an Arrow string array; nulls are empty texts."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(texts):  # parts of some megabytes, or one text
+            upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PART_BYTES, side="right")))
+            yield from self._encode_part(pc.fill_null(texts.slice(at, upto - at), ""))
+            at = upto
+
+    def _encode_part(self, texts) -> Iterator[memoryview]:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        parts = pc.ascii_split_whitespace(texts)
+        if isinstance(parts, pa.ChunkedArray):
+            parts = parts.combine_chunks()
+        flat = parts.flatten().dictionary_encode()
+        seen = flat.dictionary.cast(pa.binary()).to_pylist()
         if len(self._known) > STRETCHES:
             self._known = {x: self._known[x] for x in seen if x in self._known}
         known = self._known
-        known.update(self._encode_new(list(seen.difference(known))))
-        return [b"".join(map(known.__getitem__, part)) for part in parts]
+        known.update(self._encode_new([x for x in seen if x not in known]))
+        ids = pa.array(list(map(known.__getitem__, seen)), pa.binary()).take(flat.indices)
+        stretches = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        if not len(ids):
+            yield from [memoryview(b"")] * len(texts)
+            return
+        _, offsets, data = ids.buffers()
+        ends = np.frombuffer(offsets, np.int32)[ids.offset:ids.offset + len(ids) + 1][stretches].tolist()
+        view = memoryview(data)
+        for a, b in zip(ends, ends[1:]):
+            yield view[a:b]
 
 
 @lru_cache(maxsize=2)
