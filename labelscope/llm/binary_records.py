@@ -112,32 +112,25 @@ def framed(items: list[bytes]) -> list[bytes]:
             for i, (size, x) in enumerate(zip(lengths, items))]
 
 
-def records(stream, batch_bytes: int = 1 << 22) -> Iterator[list[bytes]]:
-    """Checked data of a stream's records, in lists of some `batch_bytes`."""
-    done = False
-    while not done:
-        sizes, said, items, total = [], [], [], 0
-        while total < batch_bytes:
+def records(stream, left: int, batch_bytes: int = 1 << 22) -> Iterator[list[bytes]]:
+    """Checked data of the records in a stream's next `left` bytes, in lists of some `batch_bytes`."""
+    while left:
+        heads, items, said, total = [], [], [], 0
+        while left and total < batch_bytes:
             head = stream.read(12)
-            if not head:
-                done = True
-                break
-            if len(head) < 12:
-                raise ValueError("record cut short")
-            if int.from_bytes(head[8:], "little") != int(masked_checks([head[:8]])[0]):
-                raise ValueError("length check does not match")
             size = int.from_bytes(head[:8], "little")
+            if size + 16 > left:  # a wrong length must not ask for memory
+                raise ValueError("record cut short, or wrong length")
             body = stream.read(size + 4)
-            if len(body) < size + 4:
-                raise ValueError("record cut short")
-            sizes.append(head)
+            heads.append(head)
             items.append(body[:size])
             said.append(body[size:])
             total += size + 16
-        if items:
-            if b"".join(said) != masked_checks(items).astype("<u4").tobytes():
-                raise ValueError("data check does not match")
-            yield items
+            left -= size + 16
+        found = masked_checks([h[:8] for h in heads] + items).astype("<u4").tobytes()
+        if b"".join([h[8:] for h in heads] + said) != found:
+            raise ValueError("checksum does not match")
+        yield items
 
 
 def packed(doc: int | None, ids: bytes) -> bytes:
@@ -244,8 +237,9 @@ def _scan(index: DataFrame, of, column: str) -> DataFrame:
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 store, place = _open(path)
+                size = store.get_file_info(place).size
                 with store.open_input_stream(place, buffer_size=1 << 20) as stream:
-                    for data in records(stream):
+                    for data in records(stream, size):
                         docs, ids = zip(*map(unpacked, data))
                         sizes = [len(x) // 4 for x in ids]
                         starts = []
@@ -263,7 +257,7 @@ def _scan(index: DataFrame, of, column: str) -> DataFrame:
 
 
 def read_at(wanted: DataFrame) -> DataFrame:
-    """Records at given places of the index (path, offset), in any order: doc_id, ids. For shuffled reads."""
+    """Records at given places of the index (path, offset, length), in any order: doc_id, ids. For shuffled reads."""
 
     def read(batches):
         import pyarrow as pa
@@ -271,21 +265,21 @@ def read_at(wanted: DataFrame) -> DataFrame:
         files: dict = {}
         for batch in batches:
             rows = []
-            for path, offset in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for path, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
                 if path not in files:
                     if len(files) >= 64:
                         files.pop(next(iter(files))).close()
                     store, place = _open(path)
                     files[path] = store.open_input_file(place)
                 files[path].seek(offset)
-                rows.append(next(records(files[path], 1))[0])
+                rows.append(next(records(files[path], length + 16))[0])
             docs, ids = zip(*map(unpacked, rows)) if rows else ((), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(docs, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
         for file in files.values():
             file.close()
 
-    return wanted.select("path", "offset").mapInArrow(read, "doc_id long, ids binary")
+    return wanted.select("path", "offset", "length").mapInArrow(read, "doc_id long, ids binary")
 
 
 def new_folder(spark) -> str:

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 #: Stretches, and words, that a worker remembers; beyond, those of the last batch only.
-STRETCHES, WORDS = 200_000, 350_000
+STRETCHES, WORDS = 400_000, 700_000
 #: Text that is encoded at a time.
 PART_BYTES = 16 << 20
 #: A line of letters without case or combining forms, then ASCII marks but no apostrophe: two
