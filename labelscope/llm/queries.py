@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from labelscope.llm import binary_records, packing, simhash, substrings, token_counts
+from labelscope.llm import binary_records, decontamination, oracle, packing, simhash, substrings, token_counts
 from labelscope.llm.common import table
 
 PIECES = "piece_bpe_32k.model"
@@ -28,6 +28,12 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), f"fit_{TOKEN_LIMIT}")
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"), SHINGLE)
     return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
@@ -49,8 +55,8 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_token_counts, op3_simhash, op5_binary_records, op6_substring_dedup, op8_packing)}
+        op1_token_counts, op2_decontamination, op3_simhash, op5_binary_records, op6_substring_dedup, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontamination": oracle.DECONTAMINATION}

@@ -195,9 +195,11 @@ def removals(docs: DataFrame, width: int = 50) -> tuple[DataFrame, DataFrame, Da
         F.min("doc_id").alias("doc_id"), F.first("key").alias("key"), F.first("grams").alias("grams")))
     grams = firsts.select("doc_id", "key", F.explode("grams").alias("gram"))
     shared = grams.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("gram")
+    shared = materialize(shared)  # apart from the count, so that a hot gram's rows can be split in the join
     listed = grams.join(shared, "gram").groupBy("doc_id", "key").agg(F.collect_list("gram").alias("grams"))
     windows = materialize(_windows(docs.join(listed, "doc_id").select("doc_id", "text", "key", "grams"), width))
-    repeated = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").drop("hi")
+    repeated = materialize(windows.groupBy("h1", "h2").agg(
+        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").drop("hi"))
     places = (windows.join(repeated, ["h1", "h2"]).filter(F.col("doc_id") > F.col("lo"))
               .groupBy("doc_id", "key").agg(F.collect_set("place").alias("places")))
     cuts = materialize(_cut(docs.join(places, "doc_id").select("doc_id", "text", "key", "places"), width)
