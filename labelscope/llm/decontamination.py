@@ -120,15 +120,14 @@ def phrases(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFr
     keyed, found = _keyed(docs), items(benchmark, width)
     named, index = _index(keyed, found)
     met = materialize(candidates(index, named))
-    wanted = met.groupBy("doc_id", "key").agg(F.collect_list(F.struct("item", "shift")).alias("shifts"))
-    wanted = materialize(wanted.withColumnRenamed("doc_id", "wanted_id").join(
-        materialize(met.select("item").distinct().join(small(found.select("item", F.size("words").alias("n"))), "item")
-                    .groupBy().agg(F.max("n").alias("longest"))), how="left"))
+    sized = met.join(small(found.select("item", F.size("words").alias("n"))), "item")
+    wanted = materialize(sized.groupBy(F.col("doc_id").alias("wanted_id"), "key").agg(
+        F.collect_list(F.struct("item", "shift", "n")).alias("shifts")))
     both = keyed.join(small(wanted, 50_000), (keyed.key == wanted.key) & keyed.doc_id.eqNullSafe(wanted.wanted_id))
-    words = both.select("doc_id", keyed.key, "shifts", "longest", _pieces(F.translate("text", UPPER, LOWER)).alias("all"))
+    words = both.select("doc_id", keyed.key, "shifts", _pieces(F.translate("text", UPPER, LOWER)).alias("all"))
     parts = words.select("doc_id", "key", F.explode(F.transform("shifts", lambda s: F.struct(
         s["item"].alias("item"), s["shift"].alias("shift"),
-        F.slice("all", F.greatest(s["shift"], F.lit(0)) + 1, F.col("longest")).alias("part")))).alias("p")).select("doc_id", "key", "p.*")
+        F.slice("all", F.greatest(s["shift"], F.lit(0)) + 1, s["n"]).alias("part")))).alias("p")).select("doc_id", "key", "p.*")
     compared = parts.join(small(found, 20_000), "item")
     skipped = F.greatest(-F.col("shift"), F.lit(0))  # words of the item before the document begins
     starts = F.filter(F.sequence(F.lit(0), F.size("words") - F.col("size")), lambda s: (s >= skipped) & (

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from labelscope.llm import binary_records, decontamination, oracle, packing, simhash, substrings, token_counts
+from labelscope.llm import binary_records, decontamination, oracle, packing, quality, simhash, substrings, token_counts
 from labelscope.llm.common import table
 
 PIECES = "piece_bpe_32k.model"
@@ -49,13 +49,19 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.digests(table(spark, folder, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    rules = quality.fit(docs, table(spark, folder, "labels"))
+    return quality.judged(docs, rules).select("doc_id", *quality.STATISTICS, "base_failed", "rule", "kept")
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), SEQUENCE, public_tokenizers.path(WORDS), END_ID)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_token_counts, op2_decontamination, op3_simhash, op5_binary_records, op6_substring_dedup, op8_packing)}
+        op1_token_counts, op2_decontamination, op3_simhash, op5_binary_records, op6_substring_dedup, op7_quality_rules, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
