@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from labelscope.llm import binary_records, decontamination, oracle, packing, quality, simhash, substrings, token_counts
+from labelscope.llm import binary_records, decontamination, oracle, packing, quality, secrets, simhash, substrings, token_counts
 from labelscope.llm.common import table
 
 PIECES = "piece_bpe_32k.model"
@@ -39,6 +39,13 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"),
+                        F.sha2(secrets.listed("base"), 256).alias("base_sha256"), secrets.listed("spans").alias("spans"))
+
+
 def op5_binary_records(spark: SparkSession, folder: str) -> DataFrame:
     index = binary_records.write_records(
         table(spark, folder, "documents"), binary_records.new_folder(spark), public_tokenizers.path(WORDS), END_ID)
@@ -61,7 +68,7 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_token_counts, op2_decontamination, op3_simhash, op5_binary_records, op6_substring_dedup, op7_quality_rules, op8_packing)}
+        op1_token_counts, op2_decontamination, op3_simhash, op4_secret_scans, op5_binary_records, op6_substring_dedup, op7_quality_rules, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
