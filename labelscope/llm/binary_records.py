@@ -152,7 +152,7 @@ def unpacked(data: bytes) -> tuple[int | None, bytes]:
     return doc if there else None, ids
 
 
-def _open(uri: str):
+def open_uri(uri: str):
     """File system and path of a URI; s3a is what Spark calls s3."""
     from pyarrow import fs
 
@@ -179,7 +179,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int | No
             if not batch.num_rows:
                 continue
             if out is None:
-                store, place = _open(path)
+                store, place = open_uri(path)
                 store.create_dir(place.rsplit("/", 1)[0], recursive=True)
                 out = store.open_output_stream(place)
             ids = batch.column(0).to_pylist()
@@ -236,7 +236,7 @@ def _scan(index: DataFrame, of, column: str) -> DataFrame:
 
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                store, place = _open(path)
+                store, place = open_uri(path)
                 size = store.get_file_info(place).size
                 with store.open_input_stream(place, buffer_size=1 << 20) as stream:
                     for data in records(stream, size):
@@ -269,7 +269,7 @@ def read_at(wanted: DataFrame) -> DataFrame:
                 if path not in files:
                     if len(files) >= 64:
                         files.pop(next(iter(files))).close()
-                    store, place = _open(path)
+                    store, place = open_uri(path)
                     files[path] = store.open_input_file(place)
                 files[path].seek(offset)
                 rows.append(next(records(files[path], length + 16))[0])

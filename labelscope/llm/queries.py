@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from labelscope.llm import binary_records, decontamination, oracle, packing, quality, secrets, simhash, substrings, token_counts
+from labelscope.llm import binary_records, decontamination, oracle, packing, quality, secrets, simhash, substrings, token_counts, warc
 from labelscope.llm.common import table
 
 PIECES = "piece_bpe_32k.model"
@@ -66,9 +66,13 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), SEQUENCE, public_tokenizers.path(WORDS), END_ID)
 
 
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_token_counts, op2_decontamination, op3_simhash, op4_secret_scans, op5_binary_records, op6_substring_dedup, op7_quality_rules, op8_packing)}
+        op1_token_counts, op2_decontamination, op3_simhash, op4_secret_scans, op5_binary_records, op6_substring_dedup, op7_quality_rules, op8_packing, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
