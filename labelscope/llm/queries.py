@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from labelscope.llm import binary_records, decontamination, oracle, packing, quality, secrets, simhash, substrings, token_counts, warc
+from labelscope.llm import binary_records, decontamination, oracle, packing, quality, secrets, simhash, substrings, surrogates, token_counts, warc
 from labelscope.llm.common import table
 
 PIECES = "piece_bpe_32k.model"
@@ -18,6 +18,8 @@ END_ID = 1
 SEQUENCE = 2048
 TOKEN_LIMIT = 4096
 SHINGLE = 3
+#: For the query alone; callers bring a secret of their own.
+SURROGATE_KEY = b"query"
 
 
 def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,9 +72,14 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"))
 
 
+def op10_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return surrogates.replaced(docs, SURROGATE_KEY).select("doc_id", "n_entities", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_token_counts, op2_decontamination, op3_simhash, op4_secret_scans, op5_binary_records, op6_substring_dedup, op7_quality_rules, op8_packing, op9_warc)}
+        op1_token_counts, op2_decontamination, op3_simhash, op4_secret_scans, op5_binary_records, op6_substring_dedup, op7_quality_rules, op8_packing, op9_warc, op10_surrogates)}
 
 
 def oracle_sql() -> dict[str, str]:
