@@ -21,21 +21,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelscope.llm.common import materialize, small_batches
-from labelscope.llm.tokens import text_ids
+from labelscope.llm.tokens import STRETCHES, WORDS, text_ids
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Pieces of one length that are ranked in one task.
 RANKED = 1_000
 
 
-def cut(docs: DataFrame, size: int, tokenizer: str, end_id: int | None, with_ids: bool = False) -> DataFrame:
-    """Pieces of at most `size` ids of every document: PIECES, and the ids themselves if asked for."""
+def cut(docs: DataFrame, size: int, tokenizer: str, end_id: int | None, with_ids: bool = False,
+        remember: tuple[int, int] = (STRETCHES, WORDS)) -> DataFrame:
+    """Pieces of at most `size` ids of every document: PIECES, and the ids themselves if asked for.
+
+    `remember` bounds the stretches and words a worker keeps: fewer cost time, more memory.
+    """
 
     def encode(batches):
         import pyarrow as pa
         import struct
 
-        encoder = text_ids(tokenizer)
+        encoder = text_ids(tokenizer, *remember)
         end = b"" if end_id is None else struct.pack("<I", end_id)
         step = 4 * size
         for batch in batches:
@@ -149,9 +153,10 @@ def pack(pieces: DataFrame, size: int) -> DataFrame:
     return ranked.mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, size: int, tokenizer: str, end_id: int | None, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, size: int, tokenizer: str, end_id: int | None, with_ids: bool = False,
+                   remember: tuple[int, int] = (STRETCHES, WORDS)) -> DataFrame:
     """Cut and place whole documents; with ids, `sequences` can put them together."""
-    return pack(materialize(cut(docs, size, tokenizer, end_id, with_ids)), size)
+    return pack(materialize(cut(docs, size, tokenizer, end_id, with_ids, remember)), size)
 
 
 def sequences(placed: DataFrame) -> DataFrame:

@@ -7,10 +7,10 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-#: Stretches, and words, that a worker remembers; beyond, those of the last batch only.
+#: Stretches, and words, that a worker remembers (some 300 bytes each); beyond, those of the last batch only.
 STRETCHES, WORDS = 400_000, 700_000
 #: Text that is encoded at a time.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 #: A line of letters without case or combining forms, then ASCII marks but no apostrophe: two
 #: pre-tokens, whatever stands around them. Any other line is an empty pair.
 PLAIN = re.compile(r"^(?:([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)$|.*$)", re.M).findall
@@ -25,7 +25,7 @@ class TextIds:
     together in one call and parted at the closing tokens.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, stretches: int = STRETCHES, words: int = WORDS):
         import numpy as np
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -35,6 +35,7 @@ class TextIds:
         self._merges = Tokenizer(self._tokenizer.model)
         self._merges.pre_tokenizer = pre_tokenizers.Sequence([
             pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self._most = (stretches, words)
         self._known: dict[bytes, bytes] = {}
         self._words: dict[str, bytes] = {}
         self._closes = np.zeros(self._tokenizer.get_vocab_size(), bool)
@@ -65,7 +66,7 @@ class TextIds:
             return {}
         parted = PLAIN(b"\n".join(new).decode("utf-8").lower())
         used, marks = {word for word, _ in parted}, {mark for _, mark in parted}
-        if len(self._words) > WORDS:
+        if len(self._words) > self._most[1]:
             self._words = {w: self._words[w] for w in used if w in self._words}
         words = self._words
         need = [w for w in used if w and w not in words]
@@ -98,7 +99,7 @@ class TextIds:
             parts = parts.combine_chunks()
         flat = parts.flatten().dictionary_encode()
         seen = flat.dictionary.cast(pa.binary()).to_pylist()
-        if len(self._known) > STRETCHES:
+        if len(self._known) > self._most[0]:
             self._known = {x: self._known[x] for x in seen if x in self._known}
         known = self._known
         known.update(self._encode_new([x for x in seen if x not in known]))
@@ -115,6 +116,6 @@ class TextIds:
 
 
 @lru_cache(maxsize=2)
-def text_ids(path: str) -> TextIds:
+def text_ids(path: str, stretches: int = STRETCHES, words: int = WORDS) -> TextIds:
     """One encoder for each worker process and file."""
-    return TextIds(path)
+    return TextIds(path, stretches, words)
