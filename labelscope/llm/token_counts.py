@@ -30,6 +30,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -197,8 +198,6 @@ def prefix_tables(docs: DataFrame, model: str, text: str = "text", limits: tuple
 
 def tokens_upto(table: DataFrame, position: str, out: str = "tokens") -> DataFrame:
     """Tokens of the prefix of `position` characters, read from the prefix table."""
-    import pandas as pd
-
     @F.pandas_udf("long")
     def upto(steps: pd.Series, places: pd.Series) -> pd.Series:
         import numpy as np
@@ -211,8 +210,6 @@ def tokens_upto(table: DataFrame, position: str, out: str = "tokens") -> DataFra
 
 def truncated(table: DataFrame, budget: int, text: str = "text", out: str = "truncated") -> DataFrame:
     """The longest prefix of a text of at most `budget` tokens, read from the prefix table."""
-    import pandas as pd
-
     @F.pandas_udf("int")
     def fit(steps: pd.Series) -> pd.Series:
         import numpy as np
