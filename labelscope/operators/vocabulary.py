@@ -28,10 +28,8 @@ def resolved_units(lines: DataFrame) -> DataFrame:
 def garbled_labels(lines: DataFrame) -> DataFrame:
     """Distinct texts that resemble a keyword of a label set, with the sets."""
     bits = F.col("bits")
-    # few bytes but much work per text: spread by cores, not by size
-    spread = lines.sparkSession.sparkContext.defaultParallelism
     return (
-        lines.select("text").distinct().repartition(spread)
+        lines.select("text").distinct().repartition("text")
         .withColumn("bits", fuzzy.resembles(F.col("text")))
         .filter("bits > 0")
         .select("text", *[(bits.bitwiseAND(bit) > 0).alias(name) for name, bit in (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from labelscope.sources import catalog
+
 LINES = r"""
 p AS (
   SELECT p_partkey AS key, p_name AS name, p_size AS size, p_type AS type,
@@ -255,7 +257,7 @@ texts AS (SELECT * FROM (VALUES
   (6, 'Consumer care details detected.', 'Consumer care details not found.', 'Partial consumer care information found (e.g. only a name, no contact method).', 'Not applicable.'),
   (7, 'Country of origin detected for imported product.', 'Product flagged as imported but no country of origin declared.', 'Import status or country-of-origin evidence is ambiguous.', 'Product not identified as imported; requirement does not apply.'),
   (8, 'Best before/use by date detected and confirmed.', 'Product may expire but no best before/use by date found.', 'A date was detected but its role (manufacturing vs. best-before/use-by) could not be reliably established.', 'Product not identified as perishable/time-sensitive; requirement does not apply.'),
-  (9, 'Unit sale price detected.', 'Unit sale price is applicable but not found.', 'Applicability or evidence for unit sale price is ambiguous.', 'Unit sale price does not apply to this package.'),
+  (9, 'Unit sale price detected.', 'Unit sale price is applicable but not found.', 'Applicability or evidence for unit sale price is ambiguous.', 'Unit sale price does not apply to this package (confirmed exemptions: combination/group/multi-piece package, or food article under FSSAI carve-out. RSP-equals-USP and wholesale-package exemptions are plausible per earlier notes but NOT independently confirmed with bare-text quotes this pass - do not cite them as certain without checking the primary source. The earlier version of this rule also cited an e-commerce exemption for unit sale price specifically; that was NOT confirmed in this verification pass - the confirmed e-commerce carve-out found (Rule 6(10)) applies to the manufacturing-date declaration, not unit sale price - so this claim has been removed pending verification).'),
   (10, 'Dimensions detected for a commodity category where they are relevant.', 'Dimensions are relevant for this commodity but not found.', 'Relevance of dimensions to this commodity category is unclear.', 'Dimensions are not relevant to this commodity category.'),
   (11, 'x', 'x', 'Placement/legibility could not be reliably confirmed from available evidence.', 'x')
 ) t(rule_no, pass, fail, review, na)),
@@ -319,6 +321,24 @@ def _extraction(tail: str) -> str:
     return _with(LINES, CONTEXT, UNITS, ctes, f"descriptors AS ({select})", FIELDS, RULES) + tail
 
 
+def _texts() -> str:
+    """Catalogue texts as SQL rows: rule number and one text that the search reads."""
+    rows = []
+    for rule in catalog.RULES:
+        number = int(rule["rule_id"][-2:])
+        texts = [rule["rule_id"], rule["field"], rule["requirement"], rule["legal_reference"], rule["applicability"]["condition"],
+                 rule["validation"]["type"], *rule["outputs"].values(), *rule["evidence_required"]]
+        texts += [e[k] for e in catalog.EXCEPTIONS if e["applies_to_rule"] == rule["rule_id"] for k in ("id", "condition", "reasoning")]
+        rows += ["({}, '{}')".format(number, t.replace("'", "''")) for t in texts]
+    return "(VALUES " + ", ".join(rows) + ") x(rule_no, said)"
+
+
+def _search(*words: str) -> str:
+    found = " OR ".join(f"contains(lower(said), '{w}')" for w in words)
+    return _extraction("SELECT scan_id, rule_id, field, status, reason FROM results "
+                       f"WHERE rule_no IN (SELECT rule_no FROM {_texts()} WHERE {found})")
+
+
 _FIELD_COLUMNS = {
     "manufacturer": "label_match, label_type", "common_name": "match_method",
     "net_quantity": "unit, unit_status", "mrp": "currency, context_confirmed",
@@ -410,8 +430,9 @@ def oracle_sql() -> dict[str, str]:
       UNION ALL
       SELECT v.scan_id, v.rule_id, v.field, 'FAILED', v.reason FROM violations v
       WHERE NOT EXISTS (SELECT 1 FROM failed f WHERE f.scan_id = v.scan_id AND f.v_no = v.rule_no)""")
-    q["findings_search"] = _extraction(
-        "SELECT scan_id, rule_id, field, status, reason FROM results WHERE rule_no IN (4, 9)")
+    q["findings_search"] = _search("sale", "retail price")
+    for word in ("fssai", "verified", "government"):
+        q[f"findings_search_{word}"] = _search(word)
     q["evidence_by_surface"] = _extraction("""
       SELECT scan_id, 'VIOLATION' AS kind, field, value FROM violations WHERE value IS NOT NULL
       UNION ALL SELECT scan_id, 'DECLARATION', field, value FROM evidence WHERE value IS NOT NULL AND ord < 11""")
@@ -480,11 +501,14 @@ def oracle_sql() -> dict[str, str]:
     q["manifest_check"] = """
       WITH u AS (SELECT CAST(o_orderkey AS BIGINT) AS scan_id, l_linenumber AS n,
           ['jpg', 'PNG', 'webp', 'gif'][CAST((l_partkey % 23) AS INTEGER) % 4 + 1] AS ext, l_partkey, CAST(l_quantity AS BIGINT) % 29 AS len
-          FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber <= 4),
+          FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey),
       c AS (SELECT scan_id, count(n) AS images, count(*) FILTER (WHERE n IS NOT NULL AND ext = 'gif' AND l_partkey % 2 = 0) AS bad,
-          count(*) FILTER (WHERE n IS NOT NULL AND len = 0) AS empty FROM u GROUP BY 1)
+          count(*) FILTER (WHERE n IS NOT NULL AND len = 0) AS empty,
+          arg_min('image_' || n || '.' || ext, n) FILTER (WHERE ext = 'gif' AND l_partkey % 2 = 0) AS bad_name,
+          arg_min('image_' || n || '.' || ext, n) FILTER (WHERE len = 0) AS empty_name FROM u GROUP BY 1)
       SELECT scan_id, images, CASE WHEN images = 0 THEN 'MISSING_IMAGES' WHEN images > 3 THEN 'TOO_MANY_IMAGES'
-        WHEN bad > 0 THEN 'UNSUPPORTED_FORMAT' WHEN empty > 0 THEN 'INVALID_IMAGE' END AS error_code FROM c"""
+        WHEN bad > 0 THEN 'UNSUPPORTED_FORMAT' WHEN empty > 0 THEN 'INVALID_IMAGE' END AS error_code,
+        CASE WHEN images NOT BETWEEN 1 AND 3 THEN NULL WHEN bad > 0 THEN bad_name ELSE empty_name END AS filename FROM c"""
     kpis = """SELECT count(*) AS total, count(*) FILTER (WHERE status = 'COMPLIANT') AS compliant,
         count(*) FILTER (WHERE status = 'NON_COMPLIANT') AS non_compliant, count(*) FILTER (WHERE status = 'WARNING') AS warning,
         coalesce(floor(count(*) FILTER (WHERE status = 'COMPLIANT') * 1000.0 / nullif(count(*), 0) + 0.5) / 10, 0.0) AS compliance_rate,

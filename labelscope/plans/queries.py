@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,11 +169,12 @@ def _audit(spark, folder):
     return found.select("scan_id", "rule_id", "field", "audit_status", "detail")
 
 
-def _search(spark, folder):
-    known = catalog.attach_exceptions(catalog.rules(spark), catalog.exceptions(spark))
-    return audit.search_findings(results(spark, folder), known, "sale").union(
-        audit.search_findings(results(spark, folder), known, "retail price")).distinct().select(
-        "scan_id", "rule_id", "field", "status", "reason")
+def _search(*words):
+    def run(spark, folder):
+        known = catalog.attach_exceptions(catalog.rules(spark), catalog.exceptions(spark))
+        found = [audit.search_findings(results(spark, folder), known, w) for w in words]
+        return reduce(DataFrame.union, found).distinct().select("scan_id", "rule_id", "field", "status", "reason")
+    return run
 
 
 def _scan_results(spark, folder):
@@ -226,8 +229,8 @@ def _history_items(spark, folder):
 
 
 def _manifest(spark, folder):
-    """Uploads per order: the first four line items stand for its images."""
-    items = labels.table(spark, folder, "lineitem").filter("l_linenumber <= 4").select(
+    """Uploads per order: its line items stand for its images."""
+    items = labels.table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("bigint").alias("q"))
     orders = labels.table(spark, folder, "orders").select(F.col("o_orderkey").cast("bigint").alias("scan_id"))
     part = F.col("l_partkey")
@@ -236,8 +239,8 @@ def _manifest(spark, folder):
         "scan_id",
         F.when(part.isNotNull(), F.concat(F.lit("image_"), F.col("l_linenumber").cast("string"), F.lit("."), ext)).alias("filename"),
         F.when(part.isNotNull(), F.when(part % 2 == 0, "application/octet-stream").otherwise("image/png; q=1")).alias("content_type"),
-        (F.col("q") % 29).alias("length"))
-    return detections.check_manifest(uploads).select("scan_id", "images", "error_code")
+        (F.col("q") % 29).alias("length"), F.col("l_linenumber").alias("ordinal"))
+    return detections.check_manifest(uploads).select("scan_id", "images", "error_code", "filename")
 
 
 def queries() -> dict:
@@ -270,7 +273,8 @@ def queries() -> dict:
             "scan_id", "rule_id", "field", "status", "reason", "value"),
         "labelled_case_eval": _case_eval,
         "audit_matrix": _audit,
-        "findings_search": _search,
+        "findings_search": _search("sale", "retail price"),
+        **{f"findings_search_{w}": _search(w) for w in ("fssai", "verified", "government")},
         "corrective_actions": lambda s, d: audit.corrective_actions(_violations(s, d)),
         "evidence_by_surface": lambda s, d: audit.evidence_on_surface(
             _violations(s, d), _declared(s, d), 1).select("scan_id", "kind", "field", "value"),

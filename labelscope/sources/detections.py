@@ -90,7 +90,7 @@ ERRORS = {
     "MISSING_IMAGES": "At least 1 image is required.",
     "TOO_MANY_IMAGES": "A maximum of 3 images is allowed.",
     "UNSUPPORTED_FORMAT": "Supported image formats are JPG, JPEG, PNG, and WEBP.",
-    "INVALID_IMAGE": "The uploaded image is invalid or corrupted.",
+    "INVALID_IMAGE": "The uploaded image is empty.",
 }
 
 
@@ -98,19 +98,25 @@ def check_manifest(uploads: DataFrame) -> DataFrame:
     """Scans with the first check they fail, NULL error_code when they pass all.
 
     `uploads` has scan_id, filename, content_type and length, one row per
-    image; a scan without images has one row with both names NULL.
+    image; a scan without images has one row with both names NULL. `filename`
+    of the result is the first image that fails, in the order of `ordinal`, or
+    of the names where there is no such column.
     """
     name, kind = F.trim("filename"), F.lower(F.trim(F.substring_index("content_type", ";", 1)))
     is_image = F.coalesce(name != "", F.lit(False)) | F.coalesce(kind != "", F.lit(False))
     allowed = F.coalesce(name.rlike(IMAGE_NAME), F.lit(False)) | F.coalesce(
         kind.isin(IMAGE_TYPES), F.lit(False))
     c = F.col
+    place = c("ordinal") if "ordinal" in uploads.columns else c("filename")
+    unsupported, empty = is_image & ~allowed, is_image & (F.coalesce(c("length"), F.lit(0)) <= 0)
     counted = uploads.groupBy("scan_id").agg(
         F.count_if(is_image).alias("images"),
-        F.count_if(is_image & ~allowed).alias("unsupported"),
-        F.count_if(is_image & (F.coalesce(c("length"), F.lit(0)) <= 0)).alias("empty"))
+        F.count_if(unsupported).alias("unsupported"), F.count_if(empty).alias("empty"),
+        F.min_by("filename", F.when(unsupported, place)).alias("first_unsupported"),
+        F.min_by("filename", F.when(empty, place)).alias("first_empty"))
     code = (
         F.when(c("images") == 0, "MISSING_IMAGES").when(c("images") > MAX_IMAGES, "TOO_MANY_IMAGES")
         .when(c("unsupported") > 0, "UNSUPPORTED_FORMAT").when(c("empty") > 0, "INVALID_IMAGE"))
     message = F.coalesce(*[F.when(code == k, m) for k, m in ERRORS.items()])
-    return counted.select("scan_id", "images", code.alias("error_code"), message.alias("message"))
+    failed = F.when(code == "UNSUPPORTED_FORMAT", c("first_unsupported")).when(code == "INVALID_IMAGE", c("first_empty"))
+    return counted.select("scan_id", "images", code.alias("error_code"), message.alias("message"), failed.alias("filename"))
