@@ -13,7 +13,10 @@ Distinctness: units of the whole table are compared in Spark. A surrogate that
 equals a unit of its type found in the texts, or the surrogate of a smaller
 unit, is drawn again with the next attempt, until all differ; so different
 people stay different, equal ones equal in all documents, and no surrogate
-points at anyone real in the table.
+points at anyone real in the table. Where a form has few free values or none
+(all addresses of a private range, an email address of one sign), every WIDEN
+attempts widen it: a letter or digit more, or an address of the reserved range
+240.0.0.0/4. So drawing ends however dense the units are.
 
 Results for odd input: null and empty texts stay as they are, with no entities;
 rows that repeat or share a doc_id get a row each; an empty table gives no rows;
@@ -63,6 +66,8 @@ SYLLABLES = {
 ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "àáâäèéêëìíîïòóôöùúûü", "ÀÁÂÄÈÉÊËÌÍÎÏÒÓÔÖÙÚÛÜ",
              "абвгдежзиклмнопрстуфхцчшщэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
 _ALPHABET = {c: a for a in ALPHABETS for c in a}
+#: Attempts in a form before it is widened.
+WIDEN = 6
 
 
 def _script(word: str) -> str:
@@ -119,19 +124,22 @@ def surrogate(key: bytes, kind: str, unit: str, attempt: int) -> str:
     """A unit's replacement, in reduced form (names capitalised)."""
     draw = _Draws(key, kind, unit, attempt)
     like = lambda s: "".join(_ALPHABET[c][draw.below(len(_ALPHABET[c]))] if c in _ALPHABET else c for c in s)
+    wider = attempt // WIDEN
     if kind == "email":
         local, _, domain = unit.rpartition("@")
         host, _, top = domain.rpartition(".")
         reserved = re.search(r"(?:^|\.)(example)$", host)  # a name that can belong to no one stays
         kept = reserved[0] if reserved else ""
-        return f"{like(local)}@{like(host.removesuffix(kept))}{kept}.{top}"
+        return f"{like(local + wider * 'a')}@{like(host.removesuffix(kept))}{kept}.{top}"
     if kind == "card":
-        body = unit[0] + like(unit[1:-1])
+        body = unit[0] + like(unit[1:-1] + wider * "0")
         valid = _luhn(unit[:-1]) == int(unit[-1])
         return body + (str(_luhn(body)) if valid else like(unit[-1]))
     if kind == "phone":
         kept = 1 if len(unit) > 10 else 0  # the country's first digit
-        return unit[:kept] + like(unit[kept:])
+        return unit[:kept] + like(unit[kept:] + wider * "0")
+    if kind == "ip" and wider:
+        return ".".join(map(str, (240 + draw.below(15), draw.below(256), draw.below(256), draw.below(256))))
     if kind == "ip":
         a, *rest = unit.split(".")
         private = {"10": 1, "127": 1, "192": 2 if rest[0] == "168" else 0, "172": 0}.get(a, 0)
@@ -158,7 +166,7 @@ def _written(mention: str, units: list[tuple[str, str]], found: dict) -> str:
     new = [found[u] for u in units]
     if kind in ("card", "phone"):
         digits = iter(new[0])
-        return "".join(next(digits) if c.isdigit() else c for c in mention)
+        return "".join(next(digits) if c.isdigit() else c for c in mention) + "".join(digits)
     if kind == "email":
         return "".join(n.upper() if c.isupper() else n for c, n in zip(mention, new[0])) if len(mention) == len(new[0]) else new[0]
     if kind == "ip":

@@ -277,6 +277,18 @@ def test_surrogates(spark, docs, empty):
     assert surrogates.replaced(docs, b"k").count() == len(DOCS) and surrogates.replaced(empty, b"k").count() == 0
 
 
+def test_surrogates_where_a_form_is_full(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    full = [f"{a}@{b}.org" for a in letters for b in letters] + ["_@example.com", "192.168.0.1", "1234567"]
+    found = spark.createDataFrame([("email" if "@" in u else "ip" if "." in u else "phone", u) for u in full], "kind string, unit string")
+    made = {r.unit: r.surrogate for r in surrogates.mapping(found, b"k").collect()}
+    assert sorted(made) == sorted(full) and len(set(made.values())) == len(full) and not set(made.values()) & set(full)
+    assert re.fullmatch("_[a-z]@example.com", made["_@example.com"]) and made["192.168.0.1"].startswith("192.168.")
+    assert surrogates.surrogate(b"k", "ip", "192.168.0.1", surrogates.WIDEN).startswith("24")
+    wide = surrogates.surrogate(b"k", "phone", "1234567", surrogates.WIDEN)
+    assert len(wide) == 8 and surrogates._written("123-4567", [("phone", "1234567")], {("phone", "1234567"): wide}) == f"{wide[:3]}-{wide[3:]}"
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     folder = str(tmp_path)
     prose = [" ".join(random.Random(k).choices([f"{a}{b}" for a in "bcdfg" for b in "aeiou"], k=60)) + "." for k in range(30)]
