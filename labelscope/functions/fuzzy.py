@@ -31,12 +31,10 @@ MAKER, AGENT, CARE, ORIGIN = 1, 2, 4, 8
 
 def _rows(texts: list[str]) -> np.ndarray:
     """Texts as a zero-padded code matrix; characters past one byte become 1."""
-    width = max((len(t) for t in texts), default=0)
-    out = np.zeros((len(texts), width), dtype=np.uint8)
-    for i, t in enumerate(texts):
-        out[i, : len(t)] = np.frombuffer(
-            bytes(min(ord(c), 256) % 256 or 1 for c in t), dtype=np.uint8
-        )
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    out = np.zeros((len(texts), sizes.max(initial=0)), dtype=np.uint8)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.where((codes == 0) | (codes > 255), 1, codes)
     return out
 
 
@@ -117,9 +115,9 @@ class Batch:
         self.rows, self.sorted_rows = _rows(self.texts), _rows(ordered)
         self.sizes = np.array([len(t) for t in self.texts], dtype=np.int64)
         self.sorted_sizes = np.array([len(t) for t in ordered], dtype=np.int64)
-        self.counts = np.zeros((len(texts), 256), dtype=np.int8)
-        for i, t in enumerate(self.rows):
-            self.counts[i] = np.minimum(np.bincount(t, minlength=256), 100)
+        letters = self.rows + 256 * np.arange(len(texts))[:, None]
+        counts = np.bincount(letters.ravel(), minlength=256 * len(texts)).reshape(-1, 256)
+        self.counts = np.minimum(counts, 100).astype(np.int8)
 
     def hopeful(self, word: str) -> np.ndarray:
         """Texts that share enough letters with a keyword to reach the threshold.

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelscope.operators.analytics import half_up
+from labelscope.session import materialize
 
 COLUMNS = ["id", "name", "category", "status", "score", "raw_date", "violations_count",
            "declarations_count", "mean_confidence", "is_demo"]
@@ -70,3 +71,19 @@ def sort(history: DataFrame, by: str = "date-desc", tie: str = "id") -> DataFram
     """Global order by date or score; the range shuffle splits on the tie as well."""
     column = "raw_date" if by.startswith("date") else "score"
     return history.orderBy(SORTS[by](column), tie)
+
+
+def numbered(history: DataFrame, by: str = "date-desc", tie: str = "id") -> DataFrame:
+    """The sorted history with each item's `place` from 1.
+
+    Ranges of the global order are numbered on their own and moved on by the
+    sizes of those before, so no task holds more than a range.
+    """
+    ranges = materialize(sort(history, by, tie).withColumn("_range", F.spark_partition_id()))
+    column = "raw_date" if by.startswith("date") else "score"
+    inside = Window.partitionBy("_range").orderBy(SORTS[by](column), tie)
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    skipped = ranges.groupBy("_range").agg(F.count("*").alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_skip"))
+    return ranges.withColumn("place", F.row_number().over(inside)).join(skipped, "_range").withColumn(
+        "place", F.col("place") + F.col("_skip")).drop("_range", "_skip")

@@ -231,8 +231,7 @@ def choose_orientation(scores: DataFrame) -> DataFrame:
 
 def reading_order(lines: DataFrame) -> DataFrame:
     """Positions in a scan: images in turn, each from top to bottom, left to right."""
-    place = F.col("image_index").cast("bigint") * (1 << 40) + F.col("row_index") * (1 << 16) + F.col("column_index")
-    return positions(lines.withColumn("ord", place), ["image_index", "y0", "x0", "ord"]).drop("ord")
+    return positions(lines, ["image_index", "y0", "x0", "row_index"], ties=["column_index"])
 
 
 def read_labels(words: DataFrame) -> DataFrame:

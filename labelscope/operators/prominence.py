@@ -69,12 +69,7 @@ def phrases(lines: DataFrame, options: Options = DEFAULT) -> DataFrame:
     folded = F.aggregate("items", F.expr(f"cast(array() as {kind})"), _join_phrase)
     rows = stretches.select(*PAGE, "stretch", F.posexplode(folded).alias("i", "p")).select(
         *PAGE, "stretch", "i", "p.*")
-    place = (
-        F.col("image_index").cast("bigint") * (1 << 44) + F.col("stretch").cast("bigint") * (1 << 20)
-        + F.col("i"))
-    return positions(
-        rows.withColumn("place", place), ["image_index", "stretch", "place"], "idx"
-    ).drop("stretch", "i", "place")
+    return positions(rows, ["image_index", "stretch", "i"], "idx").drop("stretch", "i")
 
 
 def rank_phrases(lines: DataFrame, options: Options = DEFAULT) -> DataFrame:

@@ -35,11 +35,11 @@ def oversized_scans(lines: DataFrame) -> DataFrame:
     return lines.filter(F.col("pos") >= CHUNK).select("scan_id").distinct()
 
 
-def positions(lines: DataFrame, order: list[str], out: str = "pos") -> DataFrame:
+def positions(lines: DataFrame, order: list[str], out: str = "pos", ties: list[str] | None = None) -> DataFrame:
     """Dense 0-based position of each row within its scan.
 
-    `order` names the sort columns, of which the last is a whole number unique
-    within a scan. An oversized scan is ranked in small buckets instead: rows
+    `order` names the sort columns, of which the last is a whole number; with
+    `ties` behind them, they tell all rows of a scan apart. An oversized scan is ranked in small buckets instead: rows
     with equal leading columns form a level (at most one per pixel row of an
     image), and a level is cut by the last two columns. Counts of levels and of
     buckets within a level then give every bucket its offset.
@@ -58,7 +58,7 @@ def positions(lines: DataFrame, order: list[str], out: str = "pos") -> DataFrame
     keys = ["scan_id", "_level", "_bucket"]
     tagged = bucketed(lines.join(big, "scan_id", "left"))
     ranked = tagged.withColumn(
-        "_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+        "_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order, *(ties or []))).cast("long"))
     counts = bucketed(lines.join(big, "scan_id")).groupBy(*keys).agg(F.count("*").alias("_n"))
 
     def before(df: DataFrame, part: list[str], by: str, name: str) -> DataFrame:

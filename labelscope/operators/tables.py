@@ -166,7 +166,7 @@ def pairs_by_row(members: DataFrame) -> DataFrame:
     folded = (
         wraps.select(*BLOCK, F.posexplode(taken).alias("i", "w"))
         .select(*BLOCK, F.col("w.l_pos").alias("l_pos"), F.col("w.v_pos").alias("v_pos"),
-                (F.col("i") + (1 << 20)).alias("seq"))
+                (F.col("i").cast("bigint") + (1 << 32)).alias("seq"))  # behind all direct values
     )
     return direct.select(*BLOCK, "l_pos", "v_pos", "seq").unionByName(folded)
 
@@ -321,7 +321,7 @@ def merged_lines(members: DataFrame, pairs: DataFrame) -> DataFrame:
     image = members.groupBy(*BLOCK).agg(F.first("image_index").alias("image_index"))
     return whole.join(image, BLOCK).select(
         "scan_id", "image_index",
-        (F.lit(MERGED_BASE) + F.col("run") * (1 << 20) + F.col("rank")).alias("ord"),
+        (F.lit(MERGED_BASE) + F.col("run")).alias("ord"), F.col("rank").cast("bigint").alias("rank"),
         F.concat_ws(" ", F.array(F.col("l_text")), F.transform("parts", lambda p: p["v_text"])).alias("text"),
         *BOX, T.round_half_even(total / F.when(n > 0, n), 3).alias("confidence"),
         "row_index", "column_index")
@@ -338,15 +338,16 @@ def merge_columns(lines: DataFrame, options: Options = DEFAULT) -> DataFrame:
         return lines.withColumn("merged", F.lit(False))
     merged = materialize(merged_lines(members, table_pairs(members)))
     touched = merged.select("scan_id").distinct()
-    cols = ["scan_id", "image_index", "ord", "text", *BOX, "confidence", "row_index", "column_index"]
+    cols = ["scan_id", "image_index", "ord", "rank", "text", *BOX, "confidence", "row_index", "column_index"]
     calm = lines.join(touched, "scan_id", "left_anti")
     stirred = (
         lines.join(touched, "scan_id", "left_semi").withColumn("ord", F.col("pos"))
+        .withColumn("rank", F.lit(0).cast("bigint"))
         .select(*cols).unionByName(merged.select(*cols))
     )
-    renewed = positions(stirred, ["y0", "x0", "ord"])
+    renewed = positions(stirred, ["y0", "x0", "ord"], ties=["rank"])
     return (
-        calm.select(*[c for c in cols if c != "ord"], "pos", F.lit(False).alias("merged"))
-        .unionByName(renewed.select(*[c for c in cols if c != "ord"], "pos",
+        calm.select(*[c for c in cols if c not in ("ord", "rank")], "pos", F.lit(False).alias("merged"))
+        .unionByName(renewed.select(*[c for c in cols if c not in ("ord", "rank")], "pos",
                                     (F.col("ord") >= MERGED_BASE).alias("merged")))
     )

@@ -15,7 +15,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def parts(spark: SparkSession, folder: str) -> DataFrame:
-    """Each part with a supplier, its nation and the date of the order of its key."""
+    """Each part with a supplier, its nation and the date of its first order."""
     supplier = table(spark, folder, "supplier")
     suppliers = supplier.agg(F.count("*").alias("n_suppliers"))  # one row
     part = table(spark, folder, "part").select(
@@ -26,8 +26,10 @@ def parts(spark: SparkSession, folder: str) -> DataFrame:
     maker = supplier.select(F.col("s_suppkey").cast("bigint").alias("s_key"), "s_name", "s_nationkey")
     nation = table(spark, folder, "nation").select(
         F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("nation"))
-    ordered = table(spark, folder, "orders").select(
-        F.col("o_orderkey").cast("bigint").alias("key"), F.to_date("o_orderdate").alias("made"))
+    first = table(spark, folder, "lineitem").groupBy(F.col("l_partkey").cast("bigint").alias("key")).agg(
+        F.min("l_orderkey").alias("o_orderkey"))
+    ordered = table(spark, folder, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("made")).join(
+        first, "o_orderkey").select("key", "made")
     return (
         keyed.join(maker, "s_key", "left").join(nation, "s_nationkey", "left")
         .join(ordered, "key", "left")
@@ -140,7 +142,7 @@ def label_detections(lines: DataFrame) -> DataFrame:
     y0, y1 = F.col("top"), F.col("top") + 14
     turned = F.col("scan_id") % 4 == 0
     return read.select(
-        "scan_id", "image_index", (F.col("pos") * 1000 + F.col("i") * 2 + F.col("pass_index")).alias("word_ord"),
+        "scan_id", "image_index", (F.shiftleft("pos", 32) + F.col("i") * 2 + F.col("pass_index")).alias("word_ord"),
         "pass_index", "text",
         F.when(turned, F.lit(4000) - x1).otherwise(x0).alias("x0"),
         F.when(turned, F.lit(4000) - y1).otherwise(y0).alias("y0"),

@@ -13,7 +13,8 @@ p AS (
   FROM part
   LEFT JOIN supplier s ON s.s_suppkey = p_partkey % (SELECT count(*) FROM supplier)
   LEFT JOIN nation n ON n.n_nationkey = s.s_nationkey
-  LEFT JOIN orders o ON o.o_orderkey = p_partkey),
+  LEFT JOIN (SELECT l_partkey, min(l_orderkey) AS first_order FROM lineitem GROUP BY 1) f ON f.l_partkey = p_partkey
+  LEFT JOIN orders o ON o.o_orderkey = f.first_order),
 raw AS (
   SELECT key, 0 AS ord, CASE WHEN key % 5 = 0 THEN name ELSE 'Product Name: ' || name END AS text FROM p
   UNION ALL SELECT key, 1, 'Net Qty: ' || CAST(size AS VARCHAR)
@@ -45,7 +46,8 @@ p AS (
          CAST(o.o_orderdate AS DATE) AS made,
          CASE WHEN p_partkey % 3 = 0 THEN 0 WHEN p_partkey % 3 = 1 THEN -25 ELSE 4 END AS shift,
          CASE WHEN p_partkey % 3 = 0 THEN 0 WHEN p_partkey % 3 = 1 THEN -1 END AS row_shift
-  FROM part LEFT JOIN orders o ON o.o_orderkey = p_partkey),
+  FROM part LEFT JOIN (SELECT l_partkey, min(l_orderkey) AS first_order FROM lineitem GROUP BY 1) f ON f.l_partkey = p_partkey
+  LEFT JOIN orders o ON o.o_orderkey = f.first_order),
 cells AS (
   SELECT p.*, i, (['MRP Rs.', 'USP Rs.', 'BATCH NO.', 'MFD.', 'USE BY.'])[i + 1] AS label,
          CASE WHEN i = 2 AND key % 5 = 0 THEN NULL ELSE coalesce(
@@ -65,6 +67,54 @@ cell_lines AS (
          x0, x1, y0, y0 + 16 AS y1, row_index, column_index, x0 < 160 AS is_left FROM raw)
 """
 
+# claims of labels on values beside them; in these tables a value is beside one label at most,
+# so the best claim of each label is the best of what is left at every step
+GEOMETRY = """
+  , sized AS (SELECT *, (y0 + y1) / 2.0 AS mid, row_number() OVER (PARTITION BY scan_id, is_left ORDER BY y0, pos) AS rk,
+      count(*) FILTER (WHERE is_left) OVER (PARTITION BY scan_id) AS nl, count(*) FILTER (WHERE NOT is_left) OVER (PARTITION BY scan_id) AS nr
+    FROM cell_lines),
+  matched AS (
+    SELECT l.scan_id, l.pos AS l_pos, l.rk AS l_rk, v.pos AS v_pos, v.x0, v.x1, v.y1, l.nl, l.nr
+    FROM sized l JOIN sized v ON v.scan_id = l.scan_id AND l.is_left AND NOT v.is_left
+      AND (least(l.y1, v.y1) - greatest(l.y0, v.y0)) / 16.0 >= 0.5
+    QUALIFY row_number() OVER (PARTITION BY l.scan_id, l.pos ORDER BY (least(l.y1, v.y1) - greatest(l.y0, v.y0)) / 16.0 DESC,
+      abs(l.mid - v.mid), v.rk DESC) = 1),
+  whole AS (SELECT scan_id, max(nr) > count(*) AS spare FROM matched GROUP BY 1 HAVING count(*) = max(nl) AND max(nr) - count(*) <= 1),
+  wrapped AS (
+    SELECT w.scan_id, arg_max(m.l_pos, struct_pack(y := m.y1, r := -m.l_rk)) AS l_pos, w.pos AS v_pos
+    FROM sized w JOIN whole ON whole.scan_id = w.scan_id AND whole.spare JOIN matched m ON m.scan_id = w.scan_id
+      AND w.y0 - m.y1 BETWEEN 0 AND 24 AND least(w.x1, m.x1) > greatest(w.x0, m.x0)
+    WHERE NOT w.is_left AND NOT EXISTS (SELECT 1 FROM matched d WHERE d.scan_id = w.scan_id AND d.v_pos = w.pos)
+    GROUP BY w.scan_id, w.pos),
+  geometry AS (
+    SELECT m.scan_id, m.l_pos, m.v_pos, 1 AS part FROM matched m JOIN whole USING (scan_id)
+    WHERE NOT spare OR EXISTS (SELECT 1 FROM wrapped w WHERE w.scan_id = m.scan_id)
+    UNION ALL SELECT scan_id, l_pos, v_pos, 2 FROM wrapped)"""
+# a complete cover by rows, then geometry where rows say nothing, then rank, then what rows say
+STRATEGIES = """
+  , by_row AS ({row}), by_rank AS ({rank}),
+  verdicts AS (
+    SELECT scan_id, CASE WHEN r = nl THEN 'row' WHEN r = 0 AND g > 0 THEN 'geometry' WHEN k > 0 THEN 'rank' WHEN r > 0 THEN 'row' END AS strategy
+    FROM (SELECT scan_id, max(nl) AS nl, (SELECT count(DISTINCT l_pos) FROM by_row x WHERE x.scan_id = s.scan_id) AS r,
+        (SELECT count(*) FROM geometry x WHERE x.scan_id = s.scan_id) AS g, (SELECT count(*) FROM by_rank x WHERE x.scan_id = s.scan_id) AS k
+      FROM sized s GROUP BY 1)),
+  chosen AS (
+    SELECT p.scan_id, p.l_pos, p.v_pos, p.strategy FROM (
+      SELECT scan_id, l_pos, v_pos, 'row' AS strategy FROM by_row UNION ALL SELECT scan_id, l_pos, v_pos, 'rank' FROM by_rank
+      UNION ALL SELECT scan_id, l_pos, v_pos, 'geometry' FROM geometry) p JOIN verdicts USING (scan_id, strategy))"""
+# label and values in one line, wrapped values last (they have a higher position), placed by top and left edge
+MERGED = """
+  , parts AS (
+    SELECT c.scan_id, c.l_pos, l.text || ' ' || string_agg(v.text, ' ' ORDER BY v.pos) AS text, least(any_value(l.y0), min(v.y0)) AS y0,
+      least(any_value(l.x0), min(v.x0)) AS x0, round_even(((60 + (c.scan_id * 7 + c.l_pos) % 40) / 100.0
+        + sum((60 + (c.scan_id * 7 + v.pos) % 40) / 100.0)) / (1 + count(*)), 3) AS confidence
+    FROM chosen c JOIN cell_lines l ON l.scan_id = c.scan_id AND l.pos = c.l_pos JOIN cell_lines v ON v.scan_id = c.scan_id AND v.pos = c.v_pos
+    GROUP BY c.scan_id, c.l_pos, l.text),
+  placed AS (SELECT scan_id, text, confidence, merged, row_number() OVER (PARTITION BY scan_id ORDER BY y0, x0, merged, o) - 1 AS pos FROM (
+    SELECT scan_id, text, y0, x0, confidence, TRUE AS merged, row_number() OVER (PARTITION BY scan_id ORDER BY l_pos) AS o FROM parts
+    UNION ALL SELECT scan_id, text, y0, x0, NULL, FALSE, pos FROM cell_lines))
+  SELECT scan_id, pos, text, confidence FROM placed WHERE merged"""
+
 AMOUNTS = r"""list_filter(regexp_extract_all({t}, '[\d,]+(?:\.\d{{1,2}})?'),
   lambda a: regexp_full_match(replace(a, ',', ''), '\d{{1,9}}(?:\.\d{{1,2}})?')
     AND TRY_CAST(replace(a, ',', '') AS DOUBLE) > 0 AND TRY_CAST(replace(a, ',', '') AS DOUBLE) <= 1000000)"""
@@ -430,6 +480,30 @@ def oracle_sql() -> dict[str, str]:
       UNION ALL
       SELECT v.scan_id, v.rule_id, v.field, 'FAILED', v.reason FROM violations v
       WHERE NOT EXISTS (SELECT 1 FROM failed f WHERE f.scan_id = v.scan_id AND f.v_no = v.rule_no)""")
+    q["audit_counts"] = ("SELECT scan_id, count(*) FILTER (WHERE audit_status = 'FAILED') AS failed, "
+                         f"count(*) FILTER (WHERE audit_status <> 'FAILED') AS passed FROM ({q['audit_matrix']}) GROUP BY 1")
+    q["audit_violations"] = f"SELECT * FROM ({q['audit_matrix']}) WHERE audit_status = 'FAILED'"
+    q["audit_compliant"] = f"SELECT * FROM ({q['audit_matrix']}) WHERE audit_status <> 'FAILED'"
+    q["contract_errors"] = """
+      SELECT CAST(p_partkey AS BIGINT) AS scan_id, 'EXTRACTION_FAILED' AS error_code,
+        CASE p_partkey % 10 WHEN 3 THEN 'net_quantity' WHEN 4 THEN 'mrp' WHEN 5 THEN 'expiry_date' ELSE 'manufacturing_date' END AS field,
+        CASE p_partkey % 10 WHEN 3 THEN 'unknown unit_status' WHEN 4 THEN 'confidence out of range'
+          WHEN 5 THEN 'image_index out of range' ELSE 'unknown date_role' END AS error
+      FROM part WHERE p_partkey % 10 BETWEEN 3 AND 6"""
+    q["percent_boxes"] = """
+      WITH b AS (SELECT CAST(l_orderkey AS BIGINT) AS scan_id, l_linenumber, CAST(CAST(l_quantity AS BIGINT) - 2 AS DOUBLE) AS x0,
+          CAST(l_linenumber * 10 AS DOUBLE) AS y0, CAST(l_partkey % 80 AS DOUBLE) AS x1, CAST(l_suppkey % 60 AS DOUBLE) AS y1,
+          CAST(l_partkey % 7 * 10 AS DOUBLE) AS w, CAST(l_suppkey % 5 * 10 AS DOUBLE) AS h FROM lineitem),
+      c AS (SELECT *, greatest(0, least(least(x0, x1), w)) AS l, greatest(0, least(greatest(x0, x1), w)) AS r,
+          greatest(0, least(least(y0, y1), h)) AS t, greatest(0, least(greatest(y0, y1), h)) AS u FROM b
+        WHERE x0 >= 0 AND w > 0 AND h > 0 AND NOT (x0 = x1 AND y0 = y1))
+      SELECT scan_id, l_linenumber, l / w * 100 AS left_pct, t / h * 100 AS top_pct,
+        greatest(2.0, r - l) / w * 100 AS width_pct, greatest(2.0, u - t) / h * 100 AS height_pct FROM c"""
+    q["table_pairs_geometry"] = _with(LABEL_TABLE) + GEOMETRY + " SELECT scan_id, l_pos, v_pos FROM geometry"
+    q["table_pairs"] = _with(LABEL_TABLE) + GEOMETRY + STRATEGIES.format(
+        row=q["table_pairs_row"], rank=q["table_pairs_rank"]) + " SELECT scan_id, l_pos, v_pos, strategy FROM chosen"
+    q["table_merged_lines"] = _with(LABEL_TABLE) + GEOMETRY + STRATEGIES.format(
+        row=q["table_pairs_row"], rank=q["table_pairs_rank"]) + MERGED
     q["findings_search"] = _search("sale", "retail price")
     for word in ("fssai", "verified", "government"):
         q[f"findings_search_{word}"] = _search(word)
@@ -537,6 +611,9 @@ def oracle_sql() -> dict[str, str]:
       , latest AS (SELECT name AS id, arg_max(struct_pack(s := status, c := score, d := raw_date), struct_pack(d := raw_date, i := id)) AS i
                    FROM history WHERE NOT is_demo GROUP BY 1)
       SELECT id, i.s AS status, i.c AS score, i.d AS raw_date FROM latest"""
+    for name, order in (("date", "raw_date DESC"), ("score", "score")):
+        q[f"history_sort_{name}"] = _with(HISTORY) + (
+            f"SELECT row_number() OVER (ORDER BY {order}, id) AS place, id, score, raw_date FROM history")
     q["history_load"] = _with(HISTORY) + (
         "SELECT id, status, CASE WHEN is_demo THEN 1 ELSE 0 END AS source_rank FROM history")
     return q

@@ -169,6 +169,39 @@ def _audit(spark, folder):
     return found.select("scan_id", "rule_id", "field", "audit_status", "detail")
 
 
+def _audit_counts(spark, folder):
+    return audit.audit_counts(_audit(spark, folder))
+
+
+def _broken(spark, folder):
+    """Evidence of which some scans break the contract in one field each, by key."""
+    def broken(n: int, field: str):
+        return (F.col("scan_id") % 10 == n) & (F.col("field") == field)
+
+    return evidence(spark, folder).withColumns({
+        "unit_status": F.when(broken(3, "net_quantity"), "guessed").otherwise(F.col("unit_status")),
+        "confidence": F.when(broken(4, "mrp"), 1.5).otherwise(F.col("confidence")),
+        "image_index": F.when(broken(5, "expiry_date"), 4).otherwise(F.col("image_index")),
+        "date_role": F.when(broken(6, "manufacturing_date"), "later").otherwise(F.col("date_role"))})
+
+
+def _percent_boxes(spark, folder):
+    """Boxes and image sizes made of the numbers of line items, some out of order, out of range or empty."""
+    n = lambda c: F.col(c).cast("bigint")
+    box = T.percent_box(
+        (n("l_quantity") - 2).cast("double"), (n("l_linenumber") * 10).cast("double"), (n("l_partkey") % 80).cast("double"),
+        (n("l_suppkey") % 60).cast("double"), n("l_partkey") % 7 * 10, n("l_suppkey") % 5 * 10)
+    return labels.table(spark, folder, "lineitem").select(
+        n("l_orderkey").alias("scan_id"), "l_linenumber", box.alias("b")).filter("b is not null").select(
+        "scan_id", "l_linenumber", "b.*")
+
+
+def _sorted(by):
+    def run(spark, folder):
+        return history.numbered(_history(spark, folder), by).select("place", "id", "score", "raw_date")
+    return run
+
+
 def _search(*words):
     def run(spark, folder):
         known = catalog.attach_exceptions(catalog.rules(spark), catalog.exceptions(spark))
@@ -264,7 +297,7 @@ def queries() -> dict:
         "dates_text": _dates_text,
         "declarations": lambda s, d: _declared(s, d).select(
             "scan_id", "field_ord", "field", "value", "confidence", "unit", "date_role"),
-        "contract_errors": lambda s, d: rules.contract_errors(evidence(s, d)),
+        "contract_errors": lambda s, d: rules.contract_errors(_broken(s, d)),
         "rule_results": lambda s, d: results(s, d).select(
             "scan_id", "rule_id", "field", "status", "reason", "scored", "value", "confidence"),
         "scan_scores": lambda s, d: rules.scan_scores(results(s, d)).select(
@@ -273,6 +306,9 @@ def queries() -> dict:
             "scan_id", "rule_id", "field", "status", "reason", "value"),
         "labelled_case_eval": _case_eval,
         "audit_matrix": _audit,
+        "audit_counts": _audit_counts,
+        **{f"audit_{v}": lambda s, d, v=v: audit.audit_filter(_audit(s, d), v) for v in ("violations", "compliant")},
+        "percent_boxes": _percent_boxes,
         "findings_search": _search("sale", "retail price"),
         **{f"findings_search_{w}": _search(w) for w in ("fssai", "verified", "government")},
         "corrective_actions": lambda s, d: audit.corrective_actions(_violations(s, d)),
@@ -289,6 +325,8 @@ def queries() -> dict:
         "history_search": _history_search,
         "history_upsert": _history_upsert,
         "history_load": _history_load,
+        "history_sort_date": _sorted("date-desc"),
+        "history_sort_score": _sorted("score-asc"),
         "history_from_results": _history_items,
         "manifest_check": _manifest,
     }

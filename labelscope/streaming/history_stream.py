@@ -1,50 +1,76 @@
 """History kept up to date from a stream of scan results.
 
-A stream only drives the batch code: each micro-batch is upserted into a table
-that is written beside the old one and then published by its version number,
-so a restarted batch overwrites its own version and nothing is counted twice.
+A stream only drives the batch code. Items are dealt into BUCKETS by a hash of
+their id, and a micro-batch reads and rewrites the buckets it touches, nothing
+else. A bucket has two slots, one of which is live: the new content goes into
+the other one, over what expired there a change ago. A map of live slots, one
+small file for each batch, publishes the batch; the last MAPS of them are kept.
+A batch that runs again starts from the map before it, so nothing counts twice.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.operators.history import COLUMNS, upsert
 
+BUCKETS = 256
+MAPS = 8
+MAP = "batch long, bucket int, slot int"
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    """Complete versions of the table (those with a success marker), ascending."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    found = []
-    for status in fs.listStatus(path):
-        name = status.getPath().getName()
-        done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("v=") and fs.exists(done):
-            found.append(int(name[2:]))
-    return sorted(found)
+
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
+
+
+def _live(spark: SparkSession, root: str, before: int | None = None) -> dict[int, int]:
+    """Live slot of every bucket in the latest map, or the latest one before a batch: at most BUCKETS entries."""
+    try:
+        maps = spark.read.schema(MAP).parquet(f"{root}/maps/turn=*")
+        if before is not None:
+            maps = maps.filter(F.col("batch") < before)
+        latest = maps.groupBy("batch").agg(F.collect_list(F.struct("bucket", "slot")).alias("m")).orderBy(F.desc("batch")).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    return {r.bucket: r.slot for r in latest.m} if latest else {}
+
+
+def _items(spark: SparkSession, root: str, slots: dict[int, int]) -> DataFrame:
+    """Items of the given buckets; both conditions are on folders, so other slots aren't read."""
+    of = [[b for b, s in slots.items() if s == slot] for slot in (0, 1)]
+    read = spark.read.parquet(f"{root}/items")
+    return read.filter((F.col("slot") == 0) & F.col("bucket").isin(of[0]) | (F.col("slot") == 1) & F.col("bucket").isin(of[1]))
 
 
 def read_history(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
-    """Latest version of the history, or the latest one before a given version."""
-    versions = [v for v in _versions(spark, root) if before is None or v < before]
-    if not versions:
-        return None
-    return spark.read.parquet(f"{root}/v={versions[-1]}")
+    """The history as last published, or as it was before a batch among the last two that touched it."""
+    slots = _live(spark, root, before)
+    return _items(spark, root, slots).select(*COLUMNS) if slots else None
 
 
-def upsert_batch(root: str):
-    """foreachBatch function that writes version `batch_id` of the history."""
+def upsert_batch(root: str, buckets: int = BUCKETS):
+    """foreachBatch function that upserts a batch into the buckets it touches."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = read_history(spark, root, before=batch_id)
-        existing = batch.limit(0) if known is None else known
-        upsert(existing, batch.select(*COLUMNS)).write.mode("overwrite").parquet(f"{root}/v={batch_id}")
+        new = batch.select(*COLUMNS).persist()
+        touched = [r.b for r in new.select(_bucket(buckets).alias("b")).distinct().collect()]  # `buckets` at most
+        live = _live(spark, root, before=batch_id)
+        known = {b: live[b] for b in touched if b in live}
+        existing = _items(spark, root, known).select(*COLUMNS) if known else new.limit(0)
+        slots = {b: 1 - live.get(b, 1) for b in touched}
+        if touched:
+            slot = F.element_at(F.create_map(*[F.lit(x) for pair in slots.items() for x in pair]), F.col("bucket"))
+            (upsert(existing, new).withColumn("bucket", _bucket(buckets)).withColumn("slot", slot)
+             .repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("slot", "bucket").parquet(f"{root}/items"))
+        rows = [(batch_id, b, s) for b, s in (live | slots).items()]
+        spark.createDataFrame(rows, MAP).coalesce(1).write.mode("overwrite").parquet(f"{root}/maps/turn={batch_id % MAPS}")
+        new.unpersist()
 
     return write
 

@@ -3,8 +3,11 @@
 import json
 import random
 
+from pyspark.sql import functions as F
+
 from labelscope.operators import layout, sequence
 from labelscope.operators.extract import extract
+from labelscope.plans import labels
 from labelscope.session import materialize
 from labelscope.sources import detections
 from tests.cases import LINE_SCHEMA, frame, skewed
@@ -126,3 +129,15 @@ def test_input_order_and_batch_size_do_not_matter(spark):
     assert sorted(map(str, extract(mixed).select(*pick).collect())) == one
     alone = materialize(lines.filter("scan_id = 3"))
     assert sorted(map(str, extract(alone).select(*pick).collect())) == [r for r in one if "scan_id=3" in r]
+
+
+def test_order_past_packed_limits(spark):
+    rows = [(1, 1, "a", 0, 70_000), (1, 1, "b", 1, 0), (1, 1, "c", 1, 65_536), (1, 1, "d", 1 << 25, 3), (1, 2, "e", 0, 0)]
+    lines = spark.createDataFrame(
+        [(*r, 5.0, 5.0) for r in rows], "scan_id long,image_index int,text string,row_index long,column_index int,x0 double,y0 double")
+    assert [r.text for r in layout.reading_order(lines).orderBy("pos").collect()] == list("abcde")
+    words = labels.label_detections(spark.createDataFrame(
+        [(1, 1, p, 0.0, 0.9, " ".join(["w"] * 700)) for p in (0, 1)], "scan_id long,image_index int,pos long,y0 double,confidence double,text string"))
+    spans = {r.top: (r.lo, r.hi) for r in words.groupBy((F.col("word_ord") / (1 << 32)).cast("int").alias("top")).agg(
+        F.min("word_ord").alias("lo"), F.max("word_ord").alias("hi")).collect()}
+    assert spans[0][1] < spans[1][0] and words.select("word_ord").distinct().count() == words.count()

@@ -76,6 +76,45 @@ def test_streamed_upserts_equal_one_batch(spark, tmp_path):
     assert sorted((r.id, r.score) for r in final.collect()) == [("a", 70.0), ("b", 90.0), ("c", 90.0)]
 
 
+def test_stream_rewrites_touched_buckets_only_and_replays(spark, tmp_path):
+    root = str(tmp_path / "h")
+    write = history_stream.upsert_batch(root, buckets=16)
+
+    def files():
+        return {str(f.relative_to(root)) for f in (tmp_path / "h" / "items").rglob("*.parquet")}
+
+    def state():
+        return sorted((r.id, r.score) for r in history_stream.read_history(spark, root).collect())
+
+    write(table(spark, *[item(f"i{k}", score=float(k)) for k in range(60)]), 0)
+    before = files()
+    two = table(spark, item("i1", score=70.0, day=2), item("new", score=5.0))
+    write(two, 1)
+    once, added = state(), files() - before
+    assert len({f.split("/")[1] for f in added}) <= 2 and before <= files()
+    assert once == sorted([(f"i{k}", 70.0 if k == 1 else float(k)) for k in range(60)] + [("new", 5.0)])
+    write(two, 1)  # again, as after a failure
+    assert state() == once
+    write(table(spark, item("i1", score=80.0, day=3)), 2)
+    assert ("i1", 80.0) in state() and len(state()) == 61
+    assert len(list((tmp_path / "h" / "items").glob("slot=*/bucket=*"))) <= 32
+    write(two.limit(0), 3)
+    assert len(state()) == 61
+    for n in range(4, 4 + history_stream.MAPS):
+        write(table(spark, item("i2", score=float(n), day=n)), n)
+    assert dict(state())["i2"] == 3.0 + history_stream.MAPS and len(list((tmp_path / "h" / "maps").iterdir())) == history_stream.MAPS
+
+
+def test_numbered_history_and_odd_letters(spark):
+    rows = table(spark, *[item(f"i{k:03d}", score=float(k % 7)) for k in range(100)])
+    got = history.numbered(rows.repartition(5), "score-desc").orderBy("place").collect()
+    assert [(r.place, r.id) for r in got] == [
+        (n, i) for n, (_, i) in enumerate(sorted((-(k % 7), f"i{k:03d}") for k in range(100)), 1)]
+    assert history.numbered(rows.limit(0)).count() == 0
+    assert fuzzy._rows(["aé", "", "日\x00🙂z"]).tolist() == [[97, 233, 0, 0], [0, 0, 0, 0], [1, 1, 1, 122]]
+    assert fuzzy.keyword_bits([]).tolist() == [] and fuzzy.keyword_bits([""]).tolist() == [0]
+
+
 def test_csv_and_json(spark, tmp_path):
     evidence = "struct<value:string,image_index:int,bbox:array<double>>"
     result = spark.createDataFrame([(
