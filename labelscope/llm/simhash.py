@@ -2,13 +2,15 @@
 
 Fingerprints that differ in at most three of 64 bits differ in at most one bit
 of their upper or of their lower half. Half a fingerprint has 32 bits: 31 carry
-a Hamming code, whose 2**26 words are the anchors, and one is kept as it is.
+a Hamming code, whose 2**26 words, with the top bit beside them, are the anchors.
 The code's covering radius is one, so every half lies within one bit of an
-anchor, and two halves one bit apart lie within two bits of the anchor of either.
-Each fingerprint is therefore copied to every anchor within two bits (radius
-plus threshold) of either half, sixteen for a half: any pair to be linked meets
-at an anchor, where the whole fingerprints are compared. Shared anchors mean 27
-equal bits or more, so groups stay small unless fingerprints really are close.
+anchor, and halves that differ in one of the 31 bits lie within two bits of the
+anchor of either. Each fingerprint is therefore copied to every code word within
+two bits (radius plus threshold) of either half with its own top bit, sixteen at
+most for a half, and to the nearest one with the other top bit, where halves meet that
+differ in the top bit. So any pair to be linked meets at an anchor, where the
+whole fingerprints are compared. Shared anchors mean 27 equal bits or more, so
+groups stay small unless fingerprints really are close.
 
 Exact copies are one fingerprint from the start. An anchor's fingerprints are
 compared by the task that holds them, and only a spanning forest of the links is
@@ -74,7 +76,7 @@ def fingerprints(docs: DataFrame, width: int, *extra: str) -> DataFrame:
 
 
 def _anchors(half: Column) -> Column:
-    """Code words within two bits of a half's lower 31 bits, with the 32nd bit on top.
+    """Code words within two bits of a half's lower 31 bits, with the 32nd bit on top, and the nearest with that bit changed.
 
     The syndrome of the code is the exclusive or of the places (1 to 31) of the
     bits set: zero for a code word, else the place of the one bit to change. Two
@@ -91,11 +93,12 @@ def _anchors(half: Column) -> Column:
     pairs = F.transform(F.sequence(F.lit(0), F.lit(31)).cast("array<bigint>"),
                         lambda p: F.when((p < p.bitwiseXOR(syndrome)) | (syndrome == 0) & (p == 0),
                                          body.bitwiseXOR(flip(p)).bitwiseXOR(flip(p.bitwiseXOR(syndrome)))))
-    return F.transform(F.filter(pairs, lambda x: x.isNotNull()), lambda x: x.bitwiseOR(top))
+    nearest = body.bitwiseXOR(flip(syndrome)).bitwiseOR(top).bitwiseXOR(F.lit(1 << 31))
+    return F.array_append(F.transform(F.filter(pairs, lambda x: x.isNotNull()), lambda x: x.bitwiseOR(top)), nearest)
 
 
 def replicas(fps: DataFrame) -> DataFrame:
-    """A row (anchor, fp) for every anchor within radius plus threshold; bit 32 of an anchor tells the half."""
+    """A row (anchor, fp) for every anchor of either half; bit 32 of an anchor tells the half."""
     low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
     marked = F.transform(_anchors(high), lambda x: x.bitwiseOR(F.lit(1 << 32)))
     return fps.select(F.explode(F.concat(_anchors(low), marked)).alias("anchor"), "fp")

@@ -1,6 +1,7 @@
 """Training-data operators against brute force, on texts with nulls, ties, repeats and odd characters."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -123,6 +124,20 @@ def test_simhash_components(spark, docs, empty):
     assert simhash.near_duplicates(empty, 3).count() == 0
 
 
+def test_simhash_anchors_cover_three_bits(spark):
+    masks = [sum(1 << b for b in bits) for n in (1, 2, 3) for bits in itertools.combinations(range(64), n)]
+    assert len(masks) == 43744
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    for base in (0x0123456789ABCDEF, 0xFEDCBA9876543210):
+        fps = spark.createDataFrame(pa.table({"fp": [signed(base ^ m) for m in [0, *masks]]}).to_pandas())
+        copies = common.materialize(simhash.replicas(fps))
+        own = copies.filter(F.col("fp") == signed(base)).select("anchor")
+        assert copies.join(own, "anchor").select("fp").distinct().count() == 1 + len(masks)
+        for more in (0, 1 << 7, 1 << 40):
+            two = spark.createDataFrame([(signed(base),), (signed(base ^ (1 << 31 | 1 << 63 | more)),)], "fp long")
+            assert common.components(simhash.links(common.materialize(two))).count() == 1
+
+
 def test_secret_spans(spark, docs, empty):
     def brute(t):
         base = [(m.start(), r, m.end(), k) for r, (k, p, n, g) in enumerate(
