@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from labelscope.llm import (
-    binary_records, common, decontamination, packing, quality, secrets, simhash, substrings, surrogates, token_counts, warc,
+    binary_records, common, decontamination, packing, quality, secrets, similar, simhash, substrings, surrogates, token_counts, warc,
 )
 from labelscope.llm.tokens import TextIds
 
@@ -138,6 +138,49 @@ def test_simhash_anchors_cover_three_bits(spark):
             assert common.components(simhash.links(common.materialize(two))).count() == 1
 
 
+def test_near_copies_by_jaccard(spark, docs, empty):
+    rng, rows = random.Random(11), []
+    for k in range(60):
+        words = [f"v{rng.randrange(400)}" for _ in range(rng.randint(3, 200))]
+        rows.append(words)
+        for _ in range(rng.randint(0, 6)):  # copies with ever more words changed
+            words = [f"v{rng.randrange(400)}" if rng.random() < 0.01 else w for w in words]
+            rows.append(words + rng.choice([[], ["more"], [f"t{k}"] * 9]))
+    rows += [["the", "same", "line", "in", "many", "texts", f"z{k}"] for k in range(40)]
+    sets = [{tuple(w[s:s + 5]) for s in range(max(1, len(w) - 4))} for w in rows]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    table = spark.createDataFrame([(k, " ".join(w).upper()) for k, w in enumerate(rows)], "doc_id long, text string")
+    keyed = common.materialize(table.withColumn("k", F.xxhash64("doc_id", "text")))
+    old = similar.BLOCK, similar.FEW
+    for block, few in (old, (150, 1)):  # large components in blocks, all shingles chained: the same result
+        similar.BLOCK, similar.FEW = block, few
+        got = {r.doc_id: r.component_id for r in similar.near_copies(keyed, "k").collect()}
+        similar.BLOCK, similar.FEW = old
+        assert got == {k: find(k) for k in range(len(rows))}
+    odd = similar.near_copies(docs.drop("key").withColumn("k", F.xxhash64("doc_id", "text")), "k").collect()
+    assert len(odd) == len(DOCS) and {r.component_id for r in odd if r.doc_id in (3, 4, 5)} == {3}
+    assert similar.near_copies(empty.withColumn("k", F.xxhash64("doc_id", "text")), "k").count() == 0
+
+
+def test_pipeline_drops_near_copies(spark):
+    words = [f"w{k}" for k in range(100)]
+    near = [w if k not in (30, 70) else "x" for k, w in enumerate(words)]  # 86 of 106 five-word shingles
+    far = [w if k not in (20, 50, 80) else "x" for k, w in enumerate(words)]
+    table = common.materialize(spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string"))
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, table, "").collect()} == {1, 3}
+
+
 def test_secret_spans(spark, docs, empty):
     def brute(t):
         base = [(m.start(), r, m.end(), k) for r, (k, p, n, g) in enumerate(
