@@ -1,7 +1,8 @@
 """Secret scans in DataFrame operations: fixed patterns, and windows of high entropy.
 
 Base kinds are patterns. The method's kinds look at candidates, runs of a
-character class (hexadecimal digits, base64 letters): a window of WINDOW
+character class (hexadecimal digits that no letter or digit touches, base64
+letters; signs end the first, so NAME=HEX is judged by both limits): a window of WINDOW
 characters slides over a candidate while the counts of its characters, and the
 sum of c*log2(c) over them, are changed by the one character that enters and the
 one that leaves. Shannon entropy is log2(WINDOW) less that sum over WINDOW; the
@@ -34,7 +35,7 @@ ASSIGN_VALUE, ACCESS_LENGTH, HEX_LENGTH = 6, 20, 24
 WINDOW = 20
 #: Class, candidates, alphabet, least entropy of a window, what a candidate must hold besides.
 CLASSES = (
-    ("entropy_hex", r"(?<![A-Za-z0-9+/_=-])[0-9A-Fa-f]{20,}(?![A-Za-z0-9+/_=-])", "0123456789abcdef", 3.0, r"[0-9].*[A-Fa-f]|[A-Fa-f].*[0-9]"),
+    ("entropy_hex", r"(?<![A-Za-z0-9])[0-9A-Fa-f]{20,}(?![A-Za-z0-9])", "0123456789abcdef", 3.0, r"[0-9].*[A-Fa-f]|[A-Fa-f].*[0-9]"),
     ("entropy_base64", r"[A-Za-z0-9+/_=-]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.7,
      r"(?=.*[0-9])(?=.*[A-Za-z])(?=.*[G-Zg-z+/_=-])"),
 )

@@ -207,6 +207,21 @@ def test_secret_spans(spark, docs, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def test_hex_keys_beside_signs(spark):
+    rng = random.Random(4)
+    forms = ["KEY={}", "id/{}", "x-{}", "{}_x", "A+{}=", "name: {};", "({})"]
+    rows = []
+    for k in range(210):
+        letters = "0123456789ABCDEF" if k % 2 else "0123456789abcdef"
+        value = "".join(rng.sample(letters, 16) + rng.choices(letters, k=16 if k % 2 else 6))
+        rows.append((k, forms[k % 7].format(value), value))
+    table = spark.createDataFrame(rows, "doc_id long, text string, value string")
+    for r in secrets.redacted(secrets.scan(table).withColumn("was", F.col("text"))).collect():
+        at = r.was.index(r.value)
+        assert any(s.kind == "entropy_hex" and at <= s.start and s.end <= at + len(r.value) for s in r.spans), r.was
+        assert r.value not in r.text
+
+
 def test_binary_records_round_trip(spark, docs, empty):
     from tokenizers import Tokenizer
 
