@@ -4,11 +4,15 @@ Entities are found by pattern, and reduced to units that are replaced as wholes
 wherever they occur: an email address in lower case, the digits of a phone or
 card number, an IPv4 address, a first name (with the gender of the title before
 it), a family name. A unit's surrogate is drawn from HMAC-SHA256 of (key, type,
-unit, attempt): letters become letters of the same alphabet, digits digits,
+unit, attempt): letters become letters of the same alphabet or script, digits digits,
 names come from lists of the same script and gender, valid card numbers stay
 valid, addresses stay addresses of the same range. Each mention is written in
 its own form: its spaces, signs and capitals.
 
+Phone numbers have separators between groups, or are digits after a plus sign or
+a bracketed or slashed area code. Bare digits without any sign are left: they
+can't be told from other numbers.
+
 Distinctness: units of the whole table are compared in Spark. A surrogate that
 equals a unit of its type found in the texts, or the surrogate of a smaller
 unit, is drawn again with the next attempt, until all differ; so different
@@ -27,9 +31,11 @@ are joined to it by shuffles that adaptive execution can split.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
 import re
+import unicodedata
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,9 +50,14 @@ ENTITY = re.compile(
     r"(?P<email>(?<![\w.+%-])[\w.+%-]+@[\w-]+(?:\.[\w-]+)+)"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d))"
     r"|(?P<card>(?<![\w+])\d(?:[ -]?\d){12,18}(?!\w))"
-    r"|(?P<phone>(?<!\w)(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?)?\d{1,5}(?:[ .-]\d{2,5}){1,4}(?!\w))"
+    r"|(?P<phone>(?<!\w)(?:\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d{1,14}(?:[ ./-]\d{2,10}){0,4}"
+    r"|\(\d{1,5}\)[ .-]?\d{1,10}(?:[ .-]\d{2,10}){0,4}"
+    r"|(?<![/.])(?:0\d{2,4}/ ?\d{4,10}|0\d/ ?\d{5,10}|\d{3,5}/ ?\d{3}[ .-]?\d{4})(?:[ .-]\d{1,5}){0,3}"
+    r"|\d{1,5}(?:[ .-]\d{2,5}){1,4})(?!\w))"
     rf"|(?<!\w)(?:(?P<f>{FEMALE})|(?P<m>{MALE}))\.?\s(?P<name>{_CAP}(?:\s{_CAP})?)")
 _DATE = re.compile(r"\d{4}[-. ]\d{1,2}[-. ]\d{1,2}|\d{1,2}[-. ]\d{1,2}[-. ]\d{2,4}").fullmatch
+#: A number with its last groups left out, one after the other.
+_SHORTER = re.compile(r"[ ./-]\d+$")
 _WORTH = re.compile(rf"[0-9@]|(?:{FEMALE}|{MALE})\.?\s").search
 
 # Name lists by script and gender, beyond which syllables are drawn.
@@ -70,6 +81,19 @@ _ALPHABET = {c: a for a in ALPHABETS for c in a}
 WIDEN = 6
 
 
+@functools.lru_cache(1 << 16)
+def _others(c: str) -> str:
+    """Other letters (or digits) of a letter's script, category and block, as far as a block of 128 or 256 tells; "" for signs."""
+    if not c.isalnum():
+        return ""
+    script, width = unicodedata.name(c, "").split(" ")[0].split("-")[0], 128 if ord(c) < 0x2E80 else 256
+    low = ord(c) // width * width
+    near = [d for d in map(chr, range(low, low + width))
+            if d != c and unicodedata.category(d) == unicodedata.category(c) and unicodedata.name(d, "").split(" ")[0].split("-")[0] == script
+            and d.isalnum() and len(d.upper()) == 1 and (d.casefold() == d) == (c.casefold() == c) and unicodedata.normalize("NFC", d) == d]
+    return "".join(near) or ALPHABETS[c.isupper()]
+
+
 def _script(word: str) -> str:
     for c in word:
         if "Ͱ" <= c <= "Ͽ":
@@ -84,18 +108,23 @@ def entities(text: str) -> list[tuple[int, int, list[tuple[str, str]]]]:
     out = []
     if not text or not _WORTH(text):
         return out
-    for m in ENTITY.finditer(text):
-        kind, value = m.lastgroup, m[0]
+    at = 0
+    while m := ENTITY.search(text, at):
+        kind, value, at = m.lastgroup, m[0], m.end()
         if kind == "name":
             words = m["name"].split()
             first = "first_f" if m["f"] else "first_m"
             kinds = ["family"] if len(words) == 1 else [first, "family"]
             out.append((m.start("name"), m.end("name"), [(k, w.casefold()) for k, w in zip(kinds, words)]))
         elif kind in ("card", "phone"):
+            if value[0] in "+(":  # numbers that follow a whole phone number are none of its groups
+                while sum(map(str.isdigit, value)) > 15 and _SHORTER.search(value):
+                    value = _SHORTER.sub("", value)
+                at = m.start() + len(value)
             digits = "".join(c for c in value if c.isdigit())
             if kind == "phone" and (not 7 <= len(digits) <= 15 or _DATE(value)):
                 continue
-            out.append((m.start(), m.end(), [(kind, digits)]))
+            out.append((m.start(), at, [(kind, digits)]))
         else:
             out.append((m.start(), m.end(), [(kind, value.casefold() if kind == "email" else value)]))
     return out
@@ -123,7 +152,7 @@ def _luhn(digits: str) -> int:
 def surrogate(key: bytes, kind: str, unit: str, attempt: int) -> str:
     """A unit's replacement, in reduced form (names capitalised)."""
     draw = _Draws(key, kind, unit, attempt)
-    like = lambda s: "".join(_ALPHABET[c][draw.below(len(_ALPHABET[c]))] if c in _ALPHABET else c for c in s)
+    like = lambda s: "".join(x[draw.below(len(x))] if (x := _ALPHABET.get(c) or _others(c)) else c for c in s)
     wider = attempt // WIDEN
     if kind == "email":
         local, _, domain = unit.rpartition("@")

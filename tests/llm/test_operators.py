@@ -350,6 +350,25 @@ def test_surrogates(spark, docs, empty):
     assert surrogates.replaced(docs, b"k").count() == len(DOCS) and surrogates.replaced(empty, b"k").count() == 0
 
 
+def test_surrogates_of_plain_phones_and_other_scripts(spark):
+    phones = ["+4915112345678", "+14155552671", "+49 15112345678", "+49 151 12345678", "(415) 5552671", "030/1234567", "0351/4712-0",
+              "+49 (0)30 123-4567", "415-555-2671", "(030) 123 4567"]
+    for p in phones:
+        for text in (p, f"tel:{p}", f"call {p}, or write"):
+            (start, end, us), = surrogates.entities(text)
+            assert text[start:end] == p and us == [("phone", re.sub(r"\D", "", p))]
+    assert [u for _, _, us in surrogates.entities("+49 30 1234567 20240102 and +4915112345678 415-555-2671 x") for u in us] == [
+        ("phone", "49301234567"), ("phone", "4915112345678"), ("phone", "4155552671")]
+    assert surrogates.entities("2024-01-02 or 12/2024, 1/2 and 3.14") == []
+    mails = ["王小明@例子.中国", "محمد@مثال.com", "דוד@דואר.org", "김철수@메일.kr", "łñç@ñandú.es", "ł@x.pl"]
+    rows = [(k, f"a {m} b {p} c") for k, (m, p) in enumerate(zip(mails, phones))]
+    for r in surrogates.replaced(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect():
+        old, new = mails[r.doc_id], r.text.split()[1]
+        assert len(new) == len(old) and phones[r.doc_id] not in r.text and r.n_entities == 2
+        for a, b in zip(old.rpartition(".")[0], new):
+            assert (a == b) == (a == "@") or a in surrogates._ALPHABET
+
+
 def test_surrogates_where_a_form_is_full(spark):
     letters = "abcdefghijklmnopqrstuvwxyz"
     full = [f"{a}@{b}.org" for a in letters for b in letters] + ["_@example.com", "192.168.0.1", "1234567"]
