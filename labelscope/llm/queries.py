@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from labelscope.llm import binary_records, decontamination, oracle, packing, quality, secrets, simhash, substrings, surrogates, token_counts, warc
+from labelscope.llm import alignment, binary_records, decontamination, filter_audit, html_text, oracle, packing, quality, secrets, simhash, substrings, surrogates, token_counts, warc
 from labelscope.llm.common import table
 
 PIECES = "piece_bpe_32k.model"
 WORDS = "word_bpe_49k.json"
+BYTES = "byte_bpe_50k.json"
 END_ID = 1
 SEQUENCE = 2048
 TOKEN_LIMIT = 4096
@@ -77,10 +78,24 @@ def op10_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     return surrogates.replaced(docs, SURROGATE_KEY).select("doc_id", "n_entities", "text")
 
 
+def op11_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extracted(table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    found = alignment.scored(table(spark, folder, "documents"), public_tokenizers.path(BYTES), public_tokenizers.path(PIECES))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.document_audit(table(spark, folder, "documents"), table(spark, folder, "labels"), F.col("lang"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_token_counts, op2_decontamination, op3_simhash, op4_secret_scans, op5_binary_records, op6_substring_dedup, op7_quality_rules, op8_packing, op9_warc, op10_surrogates)}
+        op1_token_counts, op2_decontamination, op3_simhash, op4_secret_scans, op5_binary_records, op6_substring_dedup, op7_quality_rules, op8_packing, op9_warc, op10_surrogates,
+        op11_html_text, op12_alignment, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": oracle.DECONTAMINATION}
+    return {"op2_decontamination": oracle.DECONTAMINATION, "op13_filter_audit": oracle.FILTER_AUDIT}
