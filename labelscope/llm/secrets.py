@@ -8,13 +8,18 @@ sum of c*log2(c) over them, are changed by the one character that enters and the
 one that leaves. Shannon entropy is log2(WINDOW) less that sum over WINDOW; the
 span from the first to the last window of at least the class's entropy is
 reported, unless the candidate or what stands before it is on the allow-list.
-Sums are whole numbers (millionths), so they don't drift.
+Entries of the list that may stand inside a candidate (sample words, counting
+digits, one character over and over) cut it: windows they touch don't count, the
+parts before and behind are judged by themselves. Sums are whole numbers
+(millionths), so they don't drift.
 
 Places are code points, ends exclusive. They come from cutting a text at its
 matches: match k begins where the pieces and matches before it end.
 
 Results for odd input: null and empty texts have no spans; equal rows have equal
-spans; very long texts and candidates take time in proportion to their length;
+spans; very long candidates, and texts of many matches, take time in proportion
+to their length (no pattern starts over within a candidate or repeats a group by
+recursion, and matches are placed in blocks of BLOCK);
 an empty table gives no rows. Columns of `docs` that clash with a result's name
 are replaced, all others stay.
 """
@@ -35,17 +40,19 @@ ASSIGN_VALUE, ACCESS_LENGTH, HEX_LENGTH = 6, 20, 24
 WINDOW = 20
 #: Class, candidates, alphabet, least entropy of a window, what a candidate must hold besides.
 CLASSES = (
-    ("entropy_hex", r"(?<![A-Za-z0-9])[0-9A-Fa-f]{20,}(?![A-Za-z0-9])", "0123456789abcdef", 3.0, r"[0-9].*[A-Fa-f]|[A-Fa-f].*[0-9]"),
-    ("entropy_base64", r"[A-Za-z0-9+/_=-]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.7,
-     r"(?=.*[0-9])(?=.*[A-Za-z])(?=.*[G-Zg-z+/_=-])"),
+    ("entropy_hex", r"(?<![A-Za-z0-9])[0-9A-Fa-f]{20,}+(?![A-Za-z0-9])", "0123456789abcdef", 3.0, ("[0-9]", "[A-Fa-f]")),
+    ("entropy_base64", r"[A-Za-z0-9+/_=-]{20,}+", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.7,
+     ("[0-9]", "[A-Za-z]", "[G-Zg-z+/_=-]")),
 )
-#: Candidates that are no secrets, and what may stand before a value that is none.
+#: Candidates that are no secrets, what cuts a candidate, and what may stand before a value that is none.
 ALLOWED = (
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-    r"(?i)example|0123456789|abcdefghij|(.)\1{7}",
-    r"^[0-9_=-]+$", r"^[a-z]+([-_/][a-z]+)*[-_/=]?[0-9]{1,4}$",
+    r"^[0-9_=-]+$", r"^[a-z]++(?:[-_/][a-z]++)*+[-_/=]?[0-9]{1,4}$",
 )
+ALLOWED_WITHIN = r"(?i)example|0123456789|abcdefghij|(.)\1{7,}+"
 ALLOWED_BEFORE = r"(?i)(sha-?[0-9]{1,3}|md5|commit|digest|checksum|etag)[\"' :=-]{0,4}$"
+#: Matches that are placed one after the other before their block is put away.
+BLOCK = 256
 MILLION = 1_000_000
 WEIGHTS = [round(MILLION * c * math.log2(c)) if c else 0 for c in range(WINDOW + 1)]
 
@@ -55,6 +62,23 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _running(items: Column, state: Column, step, emptied: Column) -> Column:
+    """array of what `step(state, item)` emits (its fields `next` and `out`): a fold whose output isn't copied for every item.
+
+    Items are folded in blocks of BLOCK; only finished blocks are carried along.
+    """
+    blocks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))
+
+    def one(a, item):
+        return _let(step(a["at"], item), lambda r: F.struct(r["next"].alias("at"), F.array_append(a["out"], r["out"]).alias("out")))
+
+    def block(a, b):
+        part = F.aggregate(F.slice(items, b * BLOCK + 1, F.lit(BLOCK)), F.struct(a["at"].alias("at"), emptied.alias("out")), one)
+        return _let(part, lambda r: F.struct(r["at"].alias("at"), F.array_append(a["out"], r["out"]).alias("out")))
+
+    return F.flatten(F.aggregate(blocks, F.struct(state.alias("at"), F.filter(F.array(emptied), lambda x: F.lit(False)).alias("out")), block)["out"])
+
+
 def _matches(text: Column, pattern: str, group: int = 0) -> Column:
     """array of (start, end, whole, value, before): all matches of a pattern, a group's value and the piece before."""
     parts = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"),
@@ -63,15 +87,14 @@ def _matches(text: Column, pattern: str, group: int = 0) -> Column:
     def placed(p):
         empty = F.expr("cast(array() as array<struct<start:int,end:int,whole:string,value:string,before:string>>)")
 
-        def step(a, k):
-            start = a["at"] + F.length(F.get(p["gaps"], k))
+        def step(at, k):
+            start = at + F.length(F.get(p["gaps"], k))
             end = start + F.length(F.get(p["whole"], k))
             one = F.struct(start.alias("start"), end.alias("end"), F.get(p["whole"], k).alias("whole"),
                            F.get(p["value"], k).alias("value"), F.get(p["gaps"], k).alias("before"))
-            return F.struct(end.alias("at"), F.array_append(a["out"], one).alias("out"))
+            return F.struct(end.alias("next"), one.alias("out"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(p["whole"]) - 1),
-                           F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a["out"])
+        return _running(F.sequence(F.lit(0), F.size(p["whole"]) - 1), F.lit(0), step, empty)
 
     return _let(parts, lambda p: F.when(F.size(p["whole"]) > 0, placed(p)))
 
@@ -123,15 +146,44 @@ def _flagged(candidate: Column, alphabet: str, least: float) -> Column:
     return _let(places, slide)
 
 
-def _entropy(text: Column, kind: str, pattern: str, alphabet: str, least: float, holds: str, rank: int) -> Column:
+def _holds(candidate: Column, classes: tuple[str, ...]) -> Column:
+    """Whether a character of each class is there: one pass for each."""
+    out = F.lit(True)
+    for letters in classes:
+        out = out & candidate.rlike(letters)
+    return out
+
+
+def _entropy(text: Column, kind: str, pattern: str, alphabet: str, least: float, holds: tuple[str, ...], rank: int) -> Column:
     allowed = lambda m: F.coalesce(m["before"].rlike(ALLOWED_BEFORE), F.lit(False))
-    suspects = F.filter(_matches(text, pattern), lambda m: m["whole"].rlike(holds) & ~allowed(m) & ~_any(m["whole"]))
-    windows = F.transform(suspects, lambda m: F.struct(m["start"].alias("at"), _flagged(m["whole"], alphabet, least).alias("w")))
+    suspects = F.filter(_matches(text, pattern), lambda m: _holds(m["whole"], holds) & ~allowed(m) & ~_any(m["whole"]))
+    # most candidates are one part; others are cut at what the allow-list has inside them
+    uncut = lambda m: F.array(F.struct(m["start"].alias("at"), m["whole"].alias("part")))
+    parts = F.flatten(F.transform(suspects, lambda m: F.when(m["whole"].rlike(ALLOWED_WITHIN), _cut(m)).otherwise(uncut(m))))
+    long = F.filter(parts, lambda x: (F.length(x["part"]) >= WINDOW) & _holds(x["part"], holds))
+    windows = F.transform(long, lambda x: F.struct(x["at"].alias("at"), _flagged(x["part"], alphabet, least).alias("w")))
     return F.transform(F.filter(windows, lambda x: x["w"]["first"].isNotNull()), lambda x: F.struct(
         (x["at"] + x["w"]["first"]).alias("start"), F.lit(rank).alias("rank"),
         (x["at"] + x["w"]["last"]).alias("end"), F.lit(kind).alias("kind")))
 
 
+def _cut(m: Column) -> Column:
+    """array of (at, part): what a candidate has between entries of the allow-list, with places in the text."""
+    within = F.struct(F.split(m["whole"], ALLOWED_WITHIN, -1).alias("parts"),
+                      F.regexp_extract_all(m["whole"], F.lit(ALLOWED_WITHIN), F.lit(0)).alias("marks"))
+
+    def placed(p):
+        def step(at, k):
+            part = F.get(p["parts"], k)
+            after = at + F.length(part) + F.coalesce(F.length(F.get(p["marks"], k)), F.lit(0))
+            return F.struct(after.alias("next"), F.struct(at.alias("at"), part.alias("part")).alias("out"))
+
+        return _running(F.sequence(F.lit(0), F.size(p["parts"]) - 1), m["start"], step,
+                        F.expr("cast(array() as array<struct<at:int,part:string>>)"))
+
+    return _let(within, placed)
+
+
 def _any(candidate: Column) -> Column:
     out = F.lit(False)
     for pattern in ALLOWED:
@@ -170,13 +222,10 @@ def redacted(scanned: DataFrame, mark: str = "[SECRET]", text: str = "text") ->
     """All columns of a scan, with every span (overlapping ones together) replaced by a mark."""
     whole = F.coalesce(F.col(text), F.lit(""))
 
-    def step(a, s):
-        fresh = s["start"] >= a["at"]
-        return F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(a["out"], F.substring(whole, a["at"] + 1, s["start"] - a["at"]), F.lit(mark)))
-            .otherwise(a["out"]).alias("out"))
+    def step(at, s):
+        kept = F.when(s["start"] >= at, F.concat(F.substring(whole, at + 1, s["start"] - at), F.lit(mark))).otherwise("")
+        return F.struct(F.greatest(at, s["end"]).alias("next"), kept.alias("out"))
 
-    cut = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
-                      lambda a: F.concat(a["out"], F.substring(whole, a["at"] + 1, F.length(whole))))
-    return scanned.withColumn(text, F.when(F.size("spans") > 0, cut).otherwise(F.col(text)))
+    pieces = _running(F.col("spans"), F.lit(0), step, F.expr("cast(array() as array<string>)"))
+    rest = F.substring(whole, F.array_max(F.transform("spans", lambda s: s["end"])) + 1, F.length(whole))
+    return scanned.withColumn(text, F.when(F.size("spans") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col(text)))

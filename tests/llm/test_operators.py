@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -189,17 +190,24 @@ def test_secret_spans(spark, docs, empty):
         more = []
         for r, (k, p, letters, least, need) in enumerate(secrets.CLASSES, 3):
             for m in re.finditer(p, t):
-                w = m[0].lower() if letters == letters.lower() else m[0]
-                if not re.search(need, m[0]) or any(re.search(x, m[0]) for x in secrets.ALLOWED) or re.search(secrets.ALLOWED_BEFORE, t[:m.start()]):
+                have = lambda x: all(re.search(c, x) for c in need)
+                if not have(m[0]) or any(re.search(x, m[0]) for x in secrets.ALLOWED) or re.search(secrets.ALLOWED_BEFORE, t[:m.start()]):
                     continue
-                hit = [i for i in range(len(w) - 19) if -sum(c / 20 * math.log2(c / 20) for c in Counter(w[i:i + 20]).values()) >= least - 1e-6]
-                if hit:
-                    more.append((m.start() + hit[0], r, m.start() + hit[-1] + 20, k))
+                marks = [(x.start(), x.end()) for x in re.finditer(secrets.ALLOWED_WITHIN, m[0])]
+                for a, b in zip([0, *(e for _, e in marks)], [*(x for x, _ in marks), len(m[0])]):
+                    w = m[0][a:b].lower() if letters == letters.lower() else m[0][a:b]
+                    hit = [i for i in range(len(w) - 19) if -sum(c / 20 * math.log2(c / 20) for c in Counter(w[i:i + 20]).values()) >= least - 1e-6]
+                    if hit and have(m[0][a:b]):
+                        more.append((m.start() + a + hit[0], r, m.start() + a + hit[-1] + 20, k))
         return sorted(base), sorted(base + more)
 
     extra = spark.createDataFrame([(20, "token=token:abcdef é password : \"abc\" api_key='QmFzZTY0U3RyaW5nQWJjMTIzNDU2Nzg5MA==' sha256: "
                                     + hashlib.sha256(b"x").hexdigest() + " id=3f2b8c1e9d7a4f60b5c2e8d1a9f37b64 " + "ab1" * 40)], "doc_id long, text string")
-    rows = docs.select("doc_id", "text").unionByName(extra)
+    mixed = spark.createDataFrame([
+        (21, "example_key=sk_live_9aZk3Lm2Qw8Rt5Yx7Bv b3BlbnNzaC1rZXktdjEAAAAABG5vbmUxMjM0NQ 0123456789" + "9aZk3Lm2Qw8Rt5Yx7BvQ" + "xExample" * 2),
+        (22, " ".join(f"k{i}=deadbeefdeadbeefdeadbee{i % 10}0 é AKIA{i:016d}" for i in range(700))), (23, "é=" + "some-words_and/more-" * 3 + "12")],
+        "doc_id long, text string")
+    rows = docs.select("doc_id", "text").unionByName(extra).unionByName(mixed)
     for r in secrets.redacted(secrets.scan(rows).withColumn("was", F.col("text"))).collect():
         base, spans = brute(r.was or "")
         assert [tuple(x) for x in r.base] == base and [tuple(x) for x in r.spans] == spans
@@ -207,6 +215,28 @@ def test_secret_spans(spark, docs, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def test_secrets_in_allowed_company(spark):
+    """What the allow-list has inside a candidate spares the windows it touches, not the rest."""
+    text = "example_key=sk_live_9aZk3Lm2Qw8Rt5Yx7Bv"
+    table = spark.createDataFrame([(1, text), (2, "example-example-0123456789-example"), (3, "some-words_and/more-words-12")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redacted(secrets.scan(table)).collect()}
+    assert "9aZk3Lm2" not in got[1] and got[1].startswith("example") and got[2] == "example-example-0123456789-example" and got[3].startswith("some")
+
+
+def test_very_long_secrets(spark):
+    """Candidates of a megabyte end, and in time in proportion to their length."""
+    rng, n = random.Random(9), 1_000_000
+    letters = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=100_000))
+    texts = ["7" * n, "ab" * (n // 2), "a-" * (n // 2) + "1a", "a_b/" * (n // 4) + "12", "AKIA" * (n // 4), "secret " * (n // 7), letters,
+             "deadbeefdeadbeefdeadbeef01 " * 20_000, "0123456789abcdefA" * (n // 17), "example" * (n // 7) + "1"]
+    table = common.materialize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8))
+    started = time.time()
+    got = {r.doc_id: (r.n, r.left) for r in secrets.redacted(secrets.scan(table)).select("doc_id", F.size("spans").alias("n"), F.length("text").alias("left")).collect()}
+    assert time.time() - started < 150
+    assert got[0] == (1, 8) and got[2][0] == 0  # a base kind: digits are hexadecimal
+    assert got[6][0] == 1 and got[6][1] < 100 and got[7][0] >= 20_000
+
+
 def test_hex_keys_beside_signs(spark):
     rng = random.Random(4)
     forms = ["KEY={}", "id/{}", "x-{}", "{}_x", "A+{}=", "name: {};", "({})"]
