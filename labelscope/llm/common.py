@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labelscope.session import materialize, scratch_dir
 
-__all__ = ["components", "materialize", "scratch_dir", "small", "small_batches", "table"]
+__all__ = ["components", "materialize", "release", "scratch_dir", "small", "small_batches", "table"]
 
 #: Rows an Arrow batch holds at most: a batch of very long texts stays below some 60 MB.
 BATCH_ROWS = 512
@@ -33,6 +33,20 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def release() -> None:
+    """Give memory that this Python worker has freed back to the system: Spark keeps idle workers."""
+    import contextlib
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of an edge list (u, v) by alternating large and small stars.
 

@@ -20,7 +20,7 @@ import zlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelscope.llm.common import materialize, small_batches
+from labelscope.llm.common import materialize, release, small_batches
 from labelscope.llm.tokens import STRETCHES, WORDS, text_ids
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -29,10 +29,11 @@ RANKED = 1_000
 
 
 def cut(docs: DataFrame, size: int, tokenizer: str, end_id: int | None, with_ids: bool = False,
-        remember: tuple[int, int] = (STRETCHES, WORDS)) -> DataFrame:
+        remember: tuple[int, ...] = (STRETCHES, WORDS), forget: bool = False) -> DataFrame:
     """Pieces of at most `size` ids of every document: PIECES, and the ids themselves if asked for.
 
-    `remember` bounds the stretches and words a worker keeps: fewer cost time, more memory.
+    `remember` bounds the stretches and words a worker keeps, and the bytes it encodes
+    at a time: fewer cost time, more memory. With `forget`, nothing is kept past a task.
     """
 
     def encode(batches):
@@ -57,6 +58,9 @@ def cut(docs: DataFrame, size: int, tokenizer: str, end_id: int | None, with_ids
                 columns.append(pa.array(ids, pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        if forget:
+            encoder.forget()
+            release()
 
     chosen = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return chosen.mapInArrow(encode, PIECES + ", ids binary" * with_ids)
@@ -154,9 +158,9 @@ def pack(pieces: DataFrame, size: int) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, size: int, tokenizer: str, end_id: int | None, with_ids: bool = False,
-                   remember: tuple[int, int] = (STRETCHES, WORDS)) -> DataFrame:
+                   remember: tuple[int, ...] = (STRETCHES, WORDS), forget: bool = False) -> DataFrame:
     """Cut and place whole documents; with ids, `sequences` can put them together."""
-    return pack(materialize(cut(docs, size, tokenizer, end_id, with_ids, remember)), size)
+    return pack(materialize(cut(docs, size, tokenizer, end_id, with_ids, remember, forget)), size)
 
 
 def sequences(placed: DataFrame) -> DataFrame:

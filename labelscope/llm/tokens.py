@@ -25,7 +25,7 @@ class TextIds:
     together in one call and parted at the closing tokens.
     """
 
-    def __init__(self, path: str, stretches: int = STRETCHES, words: int = WORDS):
+    def __init__(self, path: str, stretches: int = STRETCHES, words: int = WORDS, part_bytes: int = PART_BYTES):
         import numpy as np
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -36,6 +36,7 @@ class TextIds:
         self._merges.pre_tokenizer = pre_tokenizers.Sequence([
             pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self._most = (stretches, words)
+        self._part_bytes = part_bytes
         self._known: dict[bytes, bytes] = {}
         self._words: dict[str, bytes] = {}
         self._closes = np.zeros(self._tokenizer.get_vocab_size(), bool)
@@ -77,6 +78,10 @@ class TextIds:
         tails = dict(zip(marks, self._each(list(marks))))
         return {x: words[word] + tails[mark] if word else others[x] for x, (word, mark) in zip(new, parted)}
 
+    def forget(self) -> None:
+        """Drop all stretches and words remembered."""
+        self._known, self._words = {}, {}
+
     def encode(self, texts) -> Iterator[memoryview]:
         """Ids of each text of an Arrow string array; nulls are empty texts."""
         import numpy as np
@@ -85,7 +90,7 @@ class TextIds:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0
         while at < len(texts):  # parts of some megabytes, or one text
-            upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PART_BYTES, side="right")))
+            upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + self._part_bytes, side="right")))
             yield from self._encode_part(pc.fill_null(texts.slice(at, upto - at), ""))
             at = upto
 
@@ -116,6 +121,6 @@ class TextIds:
 
 
 @lru_cache(maxsize=2)
-def text_ids(path: str, stretches: int = STRETCHES, words: int = WORDS) -> TextIds:
+def text_ids(path: str, stretches: int = STRETCHES, words: int = WORDS, part_bytes: int = PART_BYTES) -> TextIds:
     """One encoder for each worker process and file."""
-    return TextIds(path, stretches, words)
+    return TextIds(path, stretches, words, part_bytes)

@@ -180,6 +180,10 @@ def test_pipeline_drops_near_copies(spark):
     far = [w if k not in (20, 50, 80) else "x" for k, w in enumerate(words)]
     table = common.materialize(spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string"))
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, table, "").collect()} == {1, 3}
+    names = ("root", "fp", "blocks", "wanted", "shingle", "prefix", "size", "n", "first", "component_id")  # names that the search uses too
+    more = common.materialize(table.select("*", *[F.lit("x").alias(c) for c in names]))
+    kept = corpus_pipeline.near_duplicates(spark, more, "")
+    assert kept.columns == more.columns and {(r.doc_id, r.root) for r in kept.collect()} == {(1, "x"), (3, "x")}
 
 
 def test_secret_spans(spark, docs, empty):
