@@ -20,7 +20,8 @@ prefix with it has more than the prefix before it. Truncation and budget
 questions are answered from them; nothing is encoded again.
 
 Results for odd input: a null text counts as empty, the empty text has no
-tokens and empty columns; repeated rows are counted each; other columns stay.
+tokens and empty columns; repeated rows are counted each; columns that clash with
+a result's name are replaced, all others stay.
 Very long texts take time in proportion to their length; a stretch without
 spaces is one pass of the programme as well.
 """
@@ -208,9 +209,9 @@ def tokens_upto(table: DataFrame, position: str, out: str = "tokens") -> DataFra
     return table.withColumn(out, upto("prefix_steps", F.col(position).cast("long")))
 
 
-def truncated(table: DataFrame, budget: int, text: str = "text", out: str = "truncated") -> DataFrame:
-    """The longest prefix of a text of at most `budget` tokens, read from the prefix table."""
-    @F.pandas_udf("int")
+def longest_prefix(table: DataFrame, budget: int, out: str = "fit") -> DataFrame:
+    """Length in characters of the longest prefix of at most `budget` tokens, read from the prefix table."""
+    @F.pandas_udf("long")
     def fit(steps: pd.Series) -> pd.Series:
         import numpy as np
 
@@ -218,6 +219,12 @@ def truncated(table: DataFrame, budget: int, text: str = "text", out: str = "tru
         for s in steps:
             inside = np.flatnonzero(np.cumsum(np.frombuffer(s, np.int8), dtype=np.int32) <= budget)
             found.append(int(inside[-1]) + 1 if len(inside) else 0)
-        return pd.Series(found, dtype="int32")
+        return pd.Series(found, dtype="int64")
+
+    return table.withColumn(out, fit("prefix_steps"))
 
-    return table.withColumn(out, F.substring(F.coalesce(F.col(text), F.lit("")), F.lit(1), fit("prefix_steps")))
+
+def truncated(table: DataFrame, budget: int, text: str = "text", out: str = "truncated") -> DataFrame:
+    """The longest prefix of a text of at most `budget` tokens, read from the prefix table."""
+    fitted = longest_prefix(table, budget, "_fit")
+    return fitted.withColumn(out, F.substring(F.coalesce(F.col(text), F.lit("")), F.lit(1), F.col("_fit").cast("int"))).drop("_fit")

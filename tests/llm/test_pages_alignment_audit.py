@@ -220,3 +220,21 @@ def test_fields_do_not_overflow():
         first = 3_000_000_000_000 * (step == 1)
         assert (kept, removed, good, toxic, unique) == (7, first, first, first, 0)
         assert redundant == 3_000_000_000_000 - first and shapley == 24 * 3_000_000_000_000
+
+
+# --- registered queries -----------------------------------------------------------
+def test_registered_token_counts(spark, texts, tmp_path):
+    from sentencepiece import SentencePieceProcessor
+
+    sp = SentencePieceProcessor(model_file=PIECES)
+    rows = [*texts, (2000, "many words " * 2100)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op1_token_counts(spark, str(tmp_path))
+    assert [f.dataType.simpleString() for f in got.schema] == ["bigint", "bigint", "bigint", "boolean", "bigint"]
+    want = Counter()
+    for i, t in rows:
+        n = len(sp.encode(t or ""))
+        near = [k for k in range(len(t) - 1500, len(t), 1) if len(sp.encode(t[:k])) <= 4096] if n > 4096 else [len(t or "")]
+        fit = near[-1]
+        want[i, len((t or "").encode()), n, n > 4096, fit] += 1
+    assert Counter(map(tuple, got.collect())) == want
