@@ -1,19 +1,22 @@
 """Detections to lines: fuse repeated reads, cluster rows, split columns, orient.
 
-The order-dependent steps are folds, each over one y-island of one image: the
-words that overlap vertically, directly or through others. Words of different
-islands cannot be duplicates of each other nor share a row.
+The order-dependent steps work on what can depend on each other: fusion folds
+groups of reads that a grid join links, rows are swept in order of their words'
+centres with the open rows as state, columns are cut within a row.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from labelscope.functions import patterns as P
 from labelscope.functions import text as T
-from labelscope.operators.sequence import bands, islands, positions
+from labelscope.operators import grid
+from labelscope.operators.sequence import BOX, bands, positions
 from labelscope.session import materialize
 
 PAGE = ["scan_id", "image_index", "frame"]
@@ -64,75 +67,160 @@ def _fuse(kept: Column, word: Column) -> Column:
         F.transform(kept, lambda k, n: F.when((n == i - 1) & better(k), word).otherwise(k))))
 
 
-def packed_islands(words: DataFrame) -> DataFrame:
-    """Words of each island as one array, repeated reads of other passes dropped.
+def repeated_reads(words: DataFrame) -> DataFrame:
+    """scan_id, image_index, word_ord, group of the words that another pass may have read as well.
 
-    Islands read in a single pass skip the fold.
+    Two reads repeat each other by their boxes and texts alone, whatever was
+    kept before, so only words that such pairs link can touch each other's fate.
+    Pairs meet in grid cells, of images read in several passes; turning an image
+    changes no pair, so one frame is enough.
     """
-    packed = islands(words, PAGE, F.lit(0.0)).groupBy(*PAGE, "island").agg(
-        F.array_sort(F.collect_list(_word())).alias("words"),
-        (F.min("pass_index") == F.max("pass_index")).alias("single"))
-    fused = F.aggregate("words", F.expr(f"cast(array() as array<{WORD_TYPE}>)"), _fuse)
-    return packed.select(
-        *PAGE, "island", F.when(F.col("single"), F.col("words")).otherwise(fused).alias("words"))
+    image = ["scan_id", "image_index"]
+    flat = grid.reaching(
+        words.filter("frame = 0").select(*image, "word_ord", "pass_index", "text", *BOX),
+        F.least("x0", "x1"), F.greatest("x0", "x1"), F.least("y0", "y1"), F.greatest("y0", "y1"))
+    sizes = materialize(grid.cell_sizes(flat, image, (F.min("pass_index") != F.max("pass_index")).alias("several")).filter("several").drop("several"))
+    cells = grid.in_cells(flat.join(sizes, image).withColumn("key", T.token_key(F.col("text"))).drop("text"))
+    a, b = (F.struct(*[F.col(f"{side}.{c}").alias(c) for c in BOX]) for side in "ab")
+    overlap = T.iou(a, b)
+    same = (F.col("a.key") == F.col("b.key")) & (overlap >= P.SAME_TOKEN_IOU)
+    pairs = cells.alias("a").join(
+        cells.alias("b"), grid.meeting("a", "b", image) & (F.col("a.word_ord") < F.col("b.word_ord"))
+        & (F.col("a.pass_index") != F.col("b.pass_index"))
+        & (same | (overlap >= P.STRONG_IOU) | (T.containment(a, b) >= P.CONTAINMENT)))
+    edges = pairs.select(*[F.col(f"a.{c}").alias(c) for c in image], F.col("a.word_ord").alias("u"), F.col("b.word_ord").alias("v"))
+    return grid.components(edges, image).select(*image, F.col("node").alias("word_ord"), F.col("root").alias("group"))
 
 
 def fuse_passes(words: DataFrame) -> DataFrame:
-    """Words with repeated reads of other passes dropped, one row per word."""
-    return packed_islands(words).select(*PAGE, F.explode("words").alias("w")).select(*PAGE, "w.*")
-
-
-def _centre(w: Column) -> Column:
-    return (w["y0"] + w["y1"]) / 2.0
-
-
-def _height(w: Column) -> Column:
-    return F.greatest(F.lit(1.0), w["y1"] - w["y0"])
-
-
-def _place(rows: Column, word: Column) -> Column:
-    """Put a word into the first row whose centre is near, or open a row."""
-
-    def near(r: Column) -> Column:
-        middle = F.get(r["heights"], F.floor(F.size(r["heights"]) / 2).cast("int"))
-        return F.abs(_centre(word) - r["centre"]) <= P.ROW_CENTRE_TOLERANCE * F.least(_height(word), middle)
-
-    def grown(r: Column) -> Column:
-        n = F.size(r["words"]) + 1
-        return F.struct(
-            (r["centre"] + (_centre(word) - r["centre"]) / n).alias("centre"),
-            F.array_sort(F.array_append(r["heights"], _height(word))).alias("heights"),
-            F.array_append(r["words"], word).alias("words"))
-
-    fresh = F.struct(_centre(word).alias("centre"), F.array(_height(word)).alias("heights"),
-                     F.array(word).alias("words"))
-    at = F.array_position(F.transform(rows, near), F.lit(True))
-    return T.let(at, lambda i: F.when(i == 0, F.array_append(rows, fresh)).otherwise(
-        F.transform(rows, lambda r, n: F.when(n == i - 1, grown(r)).otherwise(r))))
-
-
-def cluster_rows(packed: DataFrame) -> DataFrame:
-    """Physical rows of the islands: row_index counts from the top of the image."""
-    kind = f"array<struct<centre:double,heights:array<double>,words:array<{WORD_TYPE}>>>"
-    by_centre = F.transform(
-        F.array_sort(F.transform("words", lambda w: F.struct(
-            _centre(w).alias("c"), w["x0"].alias("x0"), w["word_ord"].alias("o"), w.alias("w")))),
-        lambda x: x["w"])
-    folded = F.array_sort(F.aggregate("words", F.expr(f"cast(array() as {kind})"), _place))
-    rows = materialize(
-        packed.withColumn("words", by_centre).select(*PAGE, "island", folded.alias("rows"))
-        .withColumn("n", F.size("rows")))
-    # counts only: an image has no more islands than pixel rows
-    above = Window.partitionBy(*PAGE).orderBy("island").rowsBetween(Window.unboundedPreceding, -1)
-    skips = rows.select(*PAGE, "island", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("skip"))
-    return (
-        rows.join(skips, [*PAGE, "island"])
-        .select(*PAGE, "skip", F.posexplode("rows").alias("i", "r"))
-        .select(*PAGE, (F.col("skip") + F.col("i")).cast("int").alias("row_index"),
-                F.get("r.heights", F.floor(F.size("r.heights") / 2).cast("int")).alias("middle"),
-                F.transform(F.array_sort(F.transform("r.words", lambda w, k: F.struct(
-                    w["x0"].alias("x0"), k.alias("k"), w.alias("w")))), lambda x: x["w"]).alias("words"))
-    )
+    """Words with repeated reads of other passes dropped.
+
+    `word_ord` tells the words of an image apart. The fold runs over groups of
+    linked words, a few reads of one spot; all other words only pass by.
+    """
+    groups = materialize(repeated_reads(words))
+    linked = words.join(groups, ["scan_id", "image_index", "word_ord"]).groupBy(*PAGE, "group").agg(
+        F.array_sort(F.collect_list(_word())).alias("words"))
+    kept = F.transform(F.aggregate("words", F.expr(f"cast(array() as array<{WORD_TYPE}>)"), _fuse), lambda w: w["word_ord"])
+    dropped = linked.withColumn("kept", kept).select(
+        *PAGE, F.explode(F.array_except(F.transform("words", lambda w: w["word_ord"]), "kept")).alias("word_ord"))
+    return words.join(dropped, [*PAGE, "word_ord"], "left_anti")
+
+
+class OpenRows:
+    """Rows of one image while its words come in order of their centres.
+
+    A row is the running mean of its centres, the upper median of its heights
+    (two heaps) and its words. Centres only grow, so a row too far above the
+    current word is closed, and closed rows leave in order of their centres as
+    soon as no open row can end above them.
+    """
+
+    def __init__(self):
+        self.open, self._closed, self._made, self._left = [], [], 0, 0
+
+    def add(self, word: int, centre: float, height: float) -> Iterator[tuple[int, float, list[int]]]:
+        """Put a word into the first row whose centre is near, or open a row; give (row_index, middle, words) of rows that leave."""
+        tolerance, still, place = P.ROW_CENTRE_TOLERANCE, [], None
+        for row in self.open:
+            if centre - row["centre"] > tolerance * row["high"][0]:
+                heapq.heappush(self._closed, (row["centre"], row["made"], row))
+                continue
+            still.append(row)
+            if place is None and abs(centre - row["centre"]) <= tolerance * min(height, row["high"][0]):
+                place = row
+        self.open = still
+        if place is None:
+            still.append({"centre": centre, "made": self._made, "low": [], "high": [height], "words": [word]})
+            self._made += 1
+        else:
+            place["words"].append(word)
+            n = len(place["words"])
+            place["centre"] += (centre - place["centre"]) / n
+            heapq.heappush(place["high"], -heapq.heappushpop(place["low"], -height))
+            if len(place["low"]) < n // 2:
+                heapq.heappush(place["low"], -heapq.heappop(place["high"]))
+        yield from self._leave(min((r["centre"], r["made"]) for r in still))
+
+    def _leave(self, before: tuple[float, int]) -> Iterator[tuple[int, float, list[int]]]:
+        while self._closed and self._closed[0][:2] < before:
+            row = heapq.heappop(self._closed)[2]
+            yield self._left, row["high"][0], row["words"]
+            self._left += 1
+
+    def end(self) -> Iterator[tuple[int, float, list[int]]]:
+        for row in self.open:
+            heapq.heappush(self._closed, (row["centre"], row["made"], row))
+        self.open = []
+        yield from self._leave((float("inf"), 0))
+
+    def renumber(self) -> list[int]:
+        """Words that have not left, which go by their places in this list from now on."""
+        rows = [*self.open, *(row for _, _, row in self._closed)]
+        words = sorted(w for row in rows for w in row["words"])
+        places = {w: k for k, w in enumerate(words)}
+        for row in rows:
+            row["words"] = [places[w] for w in row["words"]]
+        return words
+
+
+def _sweep(batches):
+    """Rows of words that come image by image in order of (centre, x0, word_ord); a batch carries its unfinished rows into the next."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def rows_of(table, found):
+        sizes = [len(words) for _, _, words in found]
+        flat = np.array([w for _, _, words in found for w in words], np.int64)
+        x0 = table.column("x0").to_numpy()[flat]
+        order = np.lexsort((np.arange(len(flat)), x0, np.repeat(np.arange(len(found)), sizes)))
+        words = table.take(pa.array(flat[order])).combine_chunks()
+        offsets = pa.array(np.cumsum([0, *sizes]), pa.int32())
+        packed = pa.StructArray.from_arrays([pa.concat_arrays(words.column(c).chunks) for c in WORD], names=WORD)
+        firsts = table.take(pa.array([words[0] for _, _, words in found]))
+        return pa.RecordBatch.from_arrays(
+            [*(pa.concat_arrays(firsts.column(c).chunks) for c in PAGE), pa.array([r for r, _, _ in found], pa.int32()),
+             pa.array([m for _, m, _ in found], pa.float64()), pa.ListArray.from_arrays(offsets, packed)],
+            names=[*PAGE, "row_index", "middle", "words"])
+
+    carried, rows = None, OpenRows()
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        first = carried.num_rows if carried is not None else 0
+        if first:
+            table = pa.concat_tables([carried, table]).combine_chunks()
+        if table.num_rows == first:
+            continue
+        fresh = np.zeros(table.num_rows, bool)  # carried words are of the image that comes next, or was last
+        for c in PAGE:
+            column = table.column(c)
+            fresh[1:] |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy()
+        found = []
+        for k, new, centre, height in zip(
+                range(first, table.num_rows), fresh[first:].tolist(), table.column("centre").slice(first).to_pylist(), table.column("height").slice(first).to_pylist()):
+            if new:
+                found += rows.end()
+                rows = OpenRows()
+            found += rows.add(k, centre, height)
+        if found:
+            yield rows_of(table, found)
+        carried = table.take(pa.array(rows.renumber(), pa.int64()))
+    if carried is not None and (found := list(rows.end())):
+        yield rows_of(carried, found)
+
+
+def cluster_rows(words: DataFrame) -> DataFrame:
+    """Physical rows of every image, words from left to right: row_index counts from the top.
+
+    An image's words stream through one task in order; the memory is that of the
+    rows still open, however many words the image has.
+    """
+    centre, height = (F.col("y0") + F.col("y1")) / 2.0, F.greatest(F.lit(1.0), (F.col("y1") - F.col("y0")).cast("double"))
+    typed = words.select(*PAGE, _word().alias("w"), centre.alias("centre"), height.alias("height")).select(*PAGE, "w.*", "centre", "height")
+    ordered = typed.repartition(*PAGE).sortWithinPartitions(*PAGE, "centre", "x0", "word_ord")
+    page = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in typed.schema.fields[:len(PAGE)])
+    return ordered.mapInArrow(_sweep, f"{page}, row_index int, middle double, words array<{WORD_TYPE}>")
 
 
 RUNS_TYPE = f"struct<right:double,runs:array<array<{WORD_TYPE}>>>"
@@ -178,8 +266,8 @@ def assemble_lines(rows: DataFrame) -> DataFrame:
 
 
 def detections_to_lines(words: DataFrame) -> DataFrame:
-    """Words (with `frame`) to lines of every image and frame."""
-    return assemble_lines(cluster_rows(packed_islands(words)))
+    """Words (with `frame`, 0 among them) to lines of every image and frame."""
+    return assemble_lines(cluster_rows(fuse_passes(words)))
 
 
 def orientation_scores(lines: DataFrame) -> DataFrame:
@@ -236,6 +324,6 @@ def reading_order(lines: DataFrame) -> DataFrame:
 
 def read_labels(words: DataFrame) -> DataFrame:
     """Detections of many images to oriented lines in reading order."""
-    lines = detections_to_lines(both_frames(words))
+    lines = materialize(detections_to_lines(both_frames(words)))
     chosen = choose_orientation(orientation_scores(lines)).select(*PAGE)
     return reading_order(lines.join(chosen, PAGE, "left_semi").drop("frame"))

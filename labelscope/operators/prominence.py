@@ -7,6 +7,8 @@ inferred.
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_EVEN, Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,7 +16,8 @@ from pyspark.sql.window import Window
 from labelscope.functions import patterns as P
 from labelscope.functions import text as T
 from labelscope.operators.evidence import candidates, rank
-from labelscope.operators.sequence import BOX, islands, positions
+from labelscope.operators.sequence import BOX, positions
+from labelscope.operators.sweep import swept
 from labelscope.operators.tables import readable
 from labelscope.operators.vocabulary import count_descriptors
 from labelscope.options import DEFAULT, Options
@@ -27,49 +30,50 @@ def _height(y0: Column, y1: Column) -> Column:
     return F.greatest(F.lit(1.0), (y1 - y0).cast("double"))
 
 
-def _join_phrase(acc: Column, line: Column) -> Column:
-    """Append a line to the phrase list, or grow the last phrase by it."""
-    host = F.get(acc, F.size(acc) - 1)
-    hh, lh = _height(host["y0"], host["y1"]), _height(line["y0"], line["y1"])
-    gap = line["y0"] - host["y1"]
-    joins = (
-        (F.abs(hh - lh) <= P.JOIN_HEIGHT_TOLERANCE * F.greatest(hh, lh))
-        & gap.between(-lh, P.JOIN_GAP_RATIO * F.least(hh, lh))
-        & (F.least(host["x1"], line["x1"]) > F.greatest(host["x0"], line["x0"]))
-    )
-    both = host["confidence"].isNotNull() & line["confidence"].isNotNull()
-    grown = F.struct(
-        F.least(host["y0"], line["y0"]).alias("y0"), F.least(host["x0"], line["x0"]).alias("x0"),
-        host["pos"].alias("pos"), F.concat_ws(" ", host["text"], line["text"]).alias("text"),
-        F.greatest(host["x1"], line["x1"]).alias("x1"), F.greatest(host["y1"], line["y1"]).alias("y1"),
-        F.when(both, F.bround((host["confidence"] + line["confidence"]) / 2, 3))
-        .otherwise(F.coalesce(host["confidence"], line["confidence"])).alias("confidence"),
-    )
-    return F.when(
-        (F.size(acc) > 0) & joins,
-        F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown)),
-    ).otherwise(F.array_append(acc, line))
+class Phrase:
+    """The phrase a sweep is in: grown by each line that joins it, given away when one doesn't."""
+
+    def __init__(self):
+        self._made, self._texts = 0, None
+
+    def add(self, y0, x0, pos, text, x1, y1, confidence):
+        if self._texts is not None:
+            top, left, right, low = self._box
+            high, own = max(1.0, low - top), max(1.0, y1 - y0)
+            joins = (abs(high - own) <= P.JOIN_HEIGHT_TOLERANCE * max(high, own)
+                     and -own <= y0 - low <= P.JOIN_GAP_RATIO * min(high, own) and min(right, x1) > max(left, x0))
+            if joins:
+                self._box = min(top, y0), min(left, x0), max(right, x1), max(low, y1)
+                self._texts.append(text)
+                if self._confidence is None or confidence is None:
+                    self._confidence = confidence if self._confidence is None else self._confidence
+                else:  # thousandths of the printed digits, half to even, as elsewhere
+                    mean = Decimal(repr((self._confidence + confidence) / 2))
+                    self._confidence = float(mean.quantize(Decimal("0.001"), ROUND_HALF_EVEN))
+                return
+            yield from self.end()
+        self._pos, self._texts, self._confidence, self._box = pos, [text], confidence, (y0, x0, x1, y1)
+
+    def end(self):
+        if self._texts is not None:
+            top, left, right, low = self._box
+            yield self._made, top, left, self._pos, " ".join(self._texts), right, low, self._confidence
+            self._made += 1
 
 
 def phrases(lines: DataFrame, options: Options = DEFAULT) -> DataFrame:
     """Lines joined into phrases: same size, close below, overlapping, one image.
 
-    The fold runs over stretches of text separated by more than any line could
-    bridge, so each stretch is folded on its own.
+    The phrase grows while it is compared, so lines are swept from top to bottom;
+    all that is held is the phrase the sweep is in.
     """
     legible = lines.filter((T.strip_space(F.col("text")) != "") & readable(F.col("confidence"), options))
-    item = F.struct(
-        *[F.col(c).cast("double").alias(c) for c in ("y0", "x0")], "pos", "text",
-        *[F.col(c).cast("double").alias(c) for c in ("x1", "y1")], "confidence")
-    stretches = (
-        islands(legible, PAGE, P.JOIN_GAP_RATIO * _height(F.col("y0"), F.col("y1")))
-        .withColumnRenamed("island", "stretch").groupBy(*PAGE, "stretch").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    )
-    kind = "array<struct<y0:double,x0:double,pos:bigint,text:string,x1:double,y1:double,confidence:double>>"
-    folded = F.aggregate("items", F.expr(f"cast(array() as {kind})"), _join_phrase)
-    rows = stretches.select(*PAGE, "stretch", F.posexplode(folded).alias("i", "p")).select(
-        *PAGE, "stretch", "i", "p.*")
-    return positions(rows, ["image_index", "stretch", "i"], "idx").drop("stretch", "i")
+    item = legible.select(
+        *PAGE, *[F.col(c).cast("double").alias(c) for c in ("y0", "x0")], "pos", "text",
+        *[F.col(c).cast("double").alias(c) for c in ("x1", "y1")], F.col("confidence").cast("double").alias("confidence"))
+    rows = swept(item, PAGE, ["y0", "x0", "pos"], Phrase,
+                 "i bigint, y0 double, x0 double, pos bigint, text string, x1 double, y1 double, confidence double")
+    return positions(rows.withColumn("stretch", F.lit(0)), ["image_index", "stretch", "i"], "idx").drop("stretch", "i")
 
 
 def rank_phrases(lines: DataFrame, options: Options = DEFAULT) -> DataFrame:

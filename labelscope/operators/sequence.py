@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from labelscope.operators import grid
+from labelscope.session import materialize
+
 CHUNK = 4096
 BACK, AHEAD = 2, 7
 FOLLOWING = 5
@@ -193,68 +196,45 @@ def value_candidates(labels: DataFrame, lines: DataFrame, count: int = FOLLOWING
     """Add `cands`: up to `count` lines that may hold each label line's value.
 
     Where the boxes of the run differ, geometry alone decides: to the right in
-    the row, or below and aligned, nearest first. Where all boxes are equal the
-    following lines are taken. Label and line meet in the bands that both reach
-    (a reach grows with the text height), so a crowded image never pairs all
-    its lines; a pair counts in the first band it shares.
+    the row, or below and aligned, nearest first. Label and line meet in the
+    grid cells that both reach (a reach grows with the text height), so neither a
+    crowded image nor one long row pairs all its lines; the nearest are kept
+    before and after the shuffle. Where all boxes are equal the following lines
+    are taken, and the run never reaches the join.
     """
-    height = F.greatest(F.lit(1.0), F.col("y1") - F.col("y0"))
-    low, high = F.col("y0") - BELOW_GAP * height, F.col("y1") + BELOW_GAP * height
-
-    def spread(df: DataFrame) -> DataFrame:
-        return df.withColumn("_bands", bands(low, high)).withColumn(
-            "_first", F.get("_bands", F.lit(0))).withColumn("_band", F.explode("_bands")).drop("_bands")
-
-    near = spread(lines.select(
-        "scan_id", "run", "pos", "image_index", "text", "confidence", *BOX, "ctx2"))
-    keys = spread(labels.select("scan_id", "run", "pos", *BOX))
+    run = ["scan_id", "run"]
+    h = F.greatest(F.lit(1.0), F.col("y1") - F.col("y0"))
+    left, right = F.least("x0", "x1"), F.greatest("x0", "x1")
+    near = grid.reaching(
+        lines.select(*run, "pos", "image_index", "text", "confidence", *BOX, "ctx2"),
+        left - RIGHT_GAP * h, right + h, F.col("y0") - BELOW_GAP * h, F.col("y1") + ROW_ALIGN * h)
+    keys = grid.reaching(labels.select(*run, "pos", *BOX), left - h, right + RIGHT_GAP * h, F.col("y0") - ROW_ALIGN * h, F.col("y1") + BELOW_GAP * h)
+    # a label's reach counts too: either may hold a box too large for cells
+    sizes = grid.cell_sizes(
+        near.select(*run, *grid.REACH, *BOX).unionByName(keys.select(*run, *grid.REACH, *BOX)), run,
+        (F.min(F.struct(*BOX)) != F.max(F.struct(*BOX))).alias("differs")).filter("differs").drop("differs")
+    spread = materialize(sizes.join(keys.select(*run).distinct(), run, "left_semi"))
     item = F.struct(
         F.col("_g.gap").alias("gap"), F.col("_g.direction").alias("direction"),
         *[F.col(f"c.{n}").alias(n) for n in ["pos", "image_index", "text", "confidence", *BOX, "ctx2"]])
     pairs = (
-        keys.alias("l").join(
-            near.alias("c"),
-            (F.col("l.scan_id") == F.col("c.scan_id")) & (F.col("l.run") == F.col("c.run"))
-            & (F.col("l._band") == F.col("c._band")) & (F.col("l.pos") != F.col("c.pos"))
-            & (F.greatest("l._first", "c._first") == F.col("l._band")))
+        grid.in_cells(keys.join(spread, run)).alias("l")
+        .join(grid.in_cells(near.join(spread, run)).alias("c"), grid.meeting("l", "c", run) & (F.col("l.pos") != F.col("c.pos")))
         .withColumn("_g", value_geometry("l", "c")).filter("_g is not null")
         .select(F.col("l.scan_id").alias("scan_id"), F.col("l.run").alias("run"),
                 F.col("l.pos").alias("pos"), item.alias("cand"))
     )
-    nearest = Window.partitionBy("scan_id", "run", "pos").orderBy(
-        "cand.gap", "cand.direction", "cand.pos")
+    nearest = Window.partitionBy(*run, "pos").orderBy("cand.gap", "cand.direction", "cand.pos")
     best = (
         pairs.withColumn("_rank", F.row_number().over(nearest)).filter(F.col("_rank") <= count)
-        .groupBy("scan_id", "run", "pos")
-        .agg(F.array_sort(F.collect_list("cand")).alias("near"))
+        .groupBy(*run, "pos").agg(F.array_sort(F.collect_list("cand")).alias("near"))
     )
-    shapes = lines.groupBy("scan_id", "run").agg(
-        (F.min(F.struct(*BOX)) != F.max(F.struct(*BOX))).alias("differs"))
     plain = F.transform(
         F.coalesce("near", F.array()), lambda x: F.struct(*[
             x[n].alias(n) for n in ["pos", "image_index", "text", "confidence", *BOX, "ctx2"]]))
     return (
-        labels.join(best, ["scan_id", "run", "pos"], "left").join(shapes, ["scan_id", "run"])
+        labels.join(best, [*run, "pos"], "left").join(spread.select(*run, F.lit(True).alias("differs")), run, "left")
         .withColumn("cands", F.when(F.col("differs"), plain).otherwise(F.slice("following", 1, count)))
         .drop("differs", "near")
     )
 
-
-def islands(df: DataFrame, keys: list[str], slack: Column) -> DataFrame:
-    """Number the vertical stretches of lines that nothing bridges (`island`).
-
-    A stretch ends where the next top edge lies more than `slack` below every
-    bottom edge so far. The running maximum is taken over distinct top edges,
-    of which an image has no more than pixel rows, however many lines it has.
-    """
-    levels = df.withColumn("_slack", slack).groupBy(*keys, "y0").agg(
-        F.max("y1").alias("_low"), F.max("_slack").alias("_slack"))
-    order = Window.partitionBy(*keys).orderBy("y0")
-    reach = F.max("_low").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    starts = F.when(F.col("y0") - F.col("_reach") <= F.col("_slack"), 0).otherwise(1)
-    numbered = (
-        levels.withColumn("_reach", reach).withColumn("_start", starts)
-        .select(*keys, "y0", F.sum("_start").over(
-            order.rowsBetween(Window.unboundedPreceding, 0)).alias("island"))
-    )
-    return df.join(numbered, [*keys, "y0"])

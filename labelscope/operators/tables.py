@@ -2,12 +2,14 @@
 
 A block is the legible text of one image run. Most blocks fail a cheap test on
 counts or edges, so every step filters blocks before the next one joins. The
-greedy parts are folds over y-islands: groups of lines no distant line can
-reach, which is what makes a fold over one of them exact.
+greedy pairing by overlap is taken in rounds of claims that are best for both
+sides; wrapped values are swept from top to bottom.
 """
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,7 +17,9 @@ from pyspark.sql.window import Window
 from labelscope.functions import fuzzy
 from labelscope.functions import patterns as P
 from labelscope.functions import text as T
-from labelscope.operators.sequence import BOX, image_runs, islands, positions
+from labelscope.operators import grid
+from labelscope.operators.sequence import BOX, image_runs, positions
+from labelscope.operators.sweep import swept
 from labelscope.options import DEFAULT, Options
 from labelscope.session import materialize
 
@@ -144,83 +148,69 @@ def pairs_by_row(members: DataFrame) -> DataFrame:
         .join(left.select(*BLOCK, F.col("l_row_index").alias("row_index")),
               [*BLOCK, "row_index"], "left_anti")
     )
-    values = rows.filter(~F.col("is_left")).join(free.select(*BLOCK).distinct(), BLOCK, "left_semi")
-    tallest = values.withColumn("_max_h", F.max("h").over(Window.partitionBy(*BLOCK)))
-    tagged = islands(tallest, BLOCK, F.col("_max_h") * P.WRAP_GAP_RATIO).select(*BLOCK, "island", "pos")
-    loose = (
-        free.join(tagged, [*BLOCK, "pos"]).groupBy(*BLOCK, "island")
-        .agg(F.array_sort(F.collect_list(F.struct(
-            F.col("y0").cast("double").alias("y0"), "pos", F.col("y1").cast("double").alias("y1"),
-            F.col("x0").cast("double").alias("x0"), F.col("x1").cast("double").alias("x1"),
-            "h", "row_index"))).alias("loose"))
-    )
-    anchored = hosts.join(tagged, [*BLOCK, "pos"]).groupBy(*BLOCK, "island").agg(
-        F.array_sort(F.collect_list("host")).alias("hosts"))
-    wraps = loose.join(anchored, [*BLOCK, "island"])
-    taken = F.aggregate(
-        "loose",
-        F.struct(F.col("hosts").alias("hosts"),
-                 F.expr("cast(array() as array<struct<l_pos:bigint,v_pos:bigint>>)").alias("out")),
-        _attach_wrap,
-    )["out"]
-    folded = (
-        wraps.select(*BLOCK, F.posexplode(taken).alias("i", "w"))
-        .select(*BLOCK, F.col("w.l_pos").alias("l_pos"), F.col("w.v_pos").alias("v_pos"),
-                (F.col("i").cast("bigint") + (1 << 32)).alias("seq"))  # behind all direct values
-    )
+    blocks = free.select(*BLOCK).distinct()
+    double = lambda c: F.col(c).cast("double").alias(c)
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    events = (
+        hosts.join(blocks, BLOCK, "left_semi").select(
+            *BLOCK, F.col("host.y1").alias("at"), F.lit(0).alias("kind"), "pos", "host.l_pos", F.col("host.order").cast("bigint").alias("order"),
+            "host.y1", "host.x0", "host.x1", "host.h", F.col("host.next_row").cast("bigint").alias("row"))
+        .unionByName(free.select(
+            *BLOCK, F.col("y0").cast("double").alias("at"), F.lit(1).alias("kind"), "pos", none("bigint", "l_pos"), none("bigint", "order"),
+            double("y1"), double("x0"), double("x1"), "h", F.col("row_index").cast("bigint").alias("row"))))
+    folded = swept(events, BLOCK, ["at", "kind", "pos"], Wraps, "l_pos bigint, v_pos bigint, seq bigint")
     return direct.select(*BLOCK, "l_pos", "v_pos", "seq").unionByName(folded)
 
 
-def _attach_wrap(acc: Column, line: Column) -> Column:
-    """Give a loose value to the nearest pair ending above it, in reading order."""
-    fits = F.filter(
-        acc["hosts"],
-        lambda p: (line["y0"] - p["y1"]).between(F.lit(0.0), P.WRAP_GAP_RATIO * p["h"])
-        & (F.least(p["x1"], line["x1"]) > F.greatest(p["x0"], line["x0"])),
-    )
-    host = F.array_max(fits)
-    open_row = host.isNotNull() & ~F.coalesce(host["next_row"] < line["row_index"], F.lit(False))
-    grown = F.transform(
-        acc["hosts"],
-        lambda p: F.when(
-            p["l_pos"] == host["l_pos"],
-            F.struct(line["y1"].alias("y1"), p["order"].alias("order"), p["l_pos"].alias("l_pos"),
-                     line["x0"].alias("x0"), line["x1"].alias("x1"), line["h"].alias("h"),
-                     p["next_row"].alias("next_row")),
-        ).otherwise(p),
-    )
-    return F.struct(
-        F.when(open_row, grown).otherwise(acc["hosts"]).alias("hosts"),
-        F.when(open_row, F.array_append(
-            acc["out"], F.struct(host["l_pos"].alias("l_pos"), line["pos"].alias("v_pos"))))
-        .otherwise(acc["out"]).alias("out"),
-    )
+class Wraps:
+    """Loose values of a block, each given to the pair whose last value ends nearest above it, in reading order.
+
+    Pairs come in when the sweep reaches the bottom of their last value and go
+    when no later value can be near enough; a pair that takes a value waits for
+    that value's bottom. A label on a row in between keeps a value from its pair.
+    """
+
+    def __init__(self):
+        self._ready, self._waiting, self._taken = [], [], 0
+
+    def add(self, at, kind, pos, l_pos, order, y1, x0, x1, h, row):
+        if kind == 0:
+            heapq.heappush(self._waiting, (y1, order, l_pos, x0, x1, h, row))
+            return
+        while self._waiting and self._waiting[0][0] <= at:
+            self._ready.append(heapq.heappop(self._waiting))
+        self._ready = [p for p in self._ready if at - p[0] <= P.WRAP_GAP_RATIO * p[5]]
+        host = max((p for p in self._ready if min(p[4], x1) > max(p[3], x0)), key=lambda p: p[:3], default=None)
+        if host is not None and not (host[6] is not None and row is not None and host[6] < row):
+            self._ready.remove(host)
+            heapq.heappush(self._waiting, (y1, host[1], host[2], x0, x1, h, host[6]))
+            yield host[2], pos, (1 << 32) + self._taken  # behind all direct values
+            self._taken += 1
+
+    def end(self):
+        return ()
 
 
 def pairs_by_geometry(members: DataFrame) -> DataFrame:
     """One-to-one pairs by vertical overlap; a block pairs wholly or not at all."""
     left, right = _side(members, True, "l"), _side(members, False, "v")
-    tagged = islands(members, BLOCK, F.lit(0.0)).select(*BLOCK, "island", "pos")
-    l_isl = left.join(tagged.withColumnRenamed("pos", "l_pos"), [*BLOCK, "l_pos"])
-    v_isl = right.join(tagged.withColumnRenamed("pos", "v_pos"), [*BLOCK, "v_pos"])
+    level = lambda df, side: grid.reaching(df, F.lit(0), F.lit(0), F.col(f"{side}_y0"), F.col(f"{side}_y1"))
+    reach = level(left, "l").select(*BLOCK, *grid.REACH).unionByName(level(right, "v").select(*BLOCK, *grid.REACH))
+    sizes = materialize(grid.cell_sizes(reach, BLOCK))
     shared = F.least("l_y1", "v_y1") - F.greatest("l_y0", "v_y0")
     overlap = F.when(shared > 0, shared / F.least("l_h", "v_h")).otherwise(0.0)
     claims = (
-        l_isl.join(v_isl, [*BLOCK, "island"]).withColumn("overlap", overlap)
-        .filter(F.col("overlap") >= P.ROW_OVERLAP)
-        .groupBy(*BLOCK, "island")
-        .agg(F.sort_array(F.collect_list(F.struct(
-            "overlap", (-F.abs(F.col("l_centre") - F.col("v_centre"))).alias("near"),
-            F.col("v_rank"), F.col("l_rank"), "l_pos", "v_pos")), asc=False).alias("claims"))
-    )
-    free = "cast(array() as array<struct<l_pos:bigint,v_pos:bigint>>)"
-    chosen = F.aggregate(
-        "claims", F.expr(free),
-        lambda acc, c: F.when(
-            F.exists(acc, lambda p: (p["l_pos"] == c["l_pos"]) | (p["v_pos"] == c["v_pos"])), acc
-        ).otherwise(F.array_append(acc, F.struct(c["l_pos"].alias("l_pos"), c["v_pos"].alias("v_pos")))),
+        grid.in_cells(level(left, "l").join(sizes, BLOCK)).alias("l")
+        .join(grid.in_cells(level(right, "v").join(sizes, BLOCK)).alias("v"), grid.meeting("l", "v", BLOCK))
+        .withColumn("overlap", overlap).filter(F.col("overlap") >= P.ROW_OVERLAP)
+        .select(*[F.col(f"l.{c}").alias(c) for c in BLOCK], "l_pos", "v_pos", F.struct(
+            "overlap", (-F.abs(F.col("l_centre") - F.col("v_centre"))).alias("near"), F.col("v_rank"), F.col("l_rank"), "l_pos", "v_pos").alias("claim"))
     )
-    matched = claims.select(*BLOCK, F.explode(chosen).alias("p")).select(*BLOCK, "p.l_pos", "p.v_pos")
+    # a block without a claim for every label fails anyway
+    able = claims.groupBy(*BLOCK).agg(F.count_distinct("l_pos").alias("claimed")).join(
+        members.groupBy(*BLOCK).agg(F.first("nl").alias("nl"), F.first("nr").alias("nr")), BLOCK).filter(
+        (F.col("claimed") == F.col("nl")) & (F.col("nr") - F.col("nl") <= 1)).select(*BLOCK)
+    matched = dominant_matching(claims.join(able, BLOCK, "left_semi"))
     size = members.groupBy(*BLOCK).agg(F.first("nl").alias("nl"), F.first("nr").alias("nr"))
     full = (
         matched.groupBy(*BLOCK).count().join(size, BLOCK)
@@ -250,6 +240,26 @@ def pairs_by_geometry(members: DataFrame) -> DataFrame:
     )
 
 
+def dominant_matching(claims: DataFrame) -> DataFrame:
+    """Pairs (block, l_pos, v_pos) of the greedy one-to-one matching, best claim first.
+
+    `claims` has the block, both places and `claim`, which orders them strictly.
+    A claim that is the best of its label and of its value is one that the greedy
+    order takes whatever comes before it. So each round takes all of these at
+    once and drops what they settle; a round leaves nothing but claims that were
+    second best somewhere.
+    """
+    rest, out = materialize(claims), None
+    while not rest.isEmpty():
+        best = [rest.groupBy(*BLOCK, side).agg(F.max("claim").alias("claim")).select(*BLOCK, "claim") for side in ("l_pos", "v_pos")]
+        taken = materialize(best[0].join(best[1], [*BLOCK, "claim"]).select(*BLOCK, "claim.l_pos", "claim.v_pos"))
+        out = taken if out is None else out.unionByName(taken)
+        for side in ("l_pos", "v_pos"):
+            rest = rest.join(taken.select(*BLOCK, side), [*BLOCK, side], "left_anti")
+        rest = materialize(rest)
+    return out if out is not None else rest.select(*BLOCK, "l_pos", "v_pos")
+
+
 def pairs_by_rank(members: DataFrame) -> DataFrame:
     """Nth label to nth value where the columns are shifted by one constant."""
     even = members.filter((F.col("nl") == F.col("nr")) & (F.col("nl") >= 2))

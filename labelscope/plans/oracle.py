@@ -416,15 +416,14 @@ def oracle_sql() -> dict[str, str]:
 
     q = {}
     q["line_context"] = _with(LINES, CONTEXT) + "SELECT scan_id, pos, ctx1, ctx2 FROM ctx"
-    q["label_value_candidates"] = _with(LABEL_TABLE) + f"""
-      , labels AS (SELECT * FROM cell_lines WHERE regexp_matches(text, '{MFG}') OR regexp_matches(text, '{EXP}')),
-      pairs AS (
+    q["label_value_candidates"] = _with(LABEL_TABLE) + """
+      , pairs AS (
         SELECT l.scan_id, l.pos, c.pos AS cand_pos,
           CASE WHEN c.x0 >= l.x1 - 4 AND abs((c.y0 + c.y1) / 2.0 - (l.y0 + l.y1) / 2.0) <= 9.6 AND (c.x0 - l.x1) / 16.0 <= 4
                THEN struct_pack(g := round_even((c.x0 - l.x1) / 16.0, 3), d := 0)
                WHEN c.y0 >= l.y1 - 4 AND (least(c.x1, l.x1) > greatest(c.x0, l.x0) OR abs(c.x0 - l.x0) <= 16) AND (c.y0 - l.y1) / 16.0 <= 2
                THEN struct_pack(g := round_even((c.y0 - l.y1) / 16.0, 3), d := 1) END AS s
-        FROM labels l JOIN cell_lines c ON c.scan_id = l.scan_id AND c.pos <> l.pos)
+        FROM cell_lines l JOIN cell_lines c ON c.scan_id = l.scan_id AND c.pos <> l.pos)
       SELECT scan_id, pos, CAST(row_number() OVER (PARTITION BY scan_id, pos ORDER BY s.g, s.d, cand_pos) AS INTEGER) AS place, cand_pos
       FROM pairs WHERE s IS NOT NULL QUALIFY place <= 5"""
     q["table_pairs_rank"] = _with(LABEL_TABLE) + """

@@ -46,9 +46,9 @@ def _sequence(lines: DataFrame) -> DataFrame:
 
 
 def _candidates(spark, folder):
+    """Every line of the tables taken as a label, whatever it says."""
     ready = materialize(_sequence(label_table(spark, folder)))
-    dated = ready.filter(T.found(F.col("text"), P.MFG_WORDS) | T.found(F.col("text"), P.EXP_WORDS))
-    found = sequence.value_candidates(dated, ready)
+    found = sequence.value_candidates(ready, ready)
     return found.select("scan_id", "pos", F.posexplode("cands").alias("i", "c")).select(
         "scan_id", "pos", (F.col("i") + 1).alias("place"), F.col("c.pos").alias("cand_pos"))
 
