@@ -71,8 +71,8 @@ def phrases(lines: DataFrame, options: Options = DEFAULT) -> DataFrame:
     item = legible.select(
         *PAGE, *[F.col(c).cast("double").alias(c) for c in ("y0", "x0")], "pos", "text",
         *[F.col(c).cast("double").alias(c) for c in ("x1", "y1")], F.col("confidence").cast("double").alias("confidence"))
-    rows = swept(item, PAGE, ["y0", "x0", "pos"], Phrase,
-                 "i bigint, y0 double, x0 double, pos bigint, text string, x1 double, y1 double, confidence double")
+    rows = materialize(swept(item, PAGE, ["y0", "x0", "pos"], Phrase,
+                 "i bigint, y0 double, x0 double, pos bigint, text string, x1 double, y1 double, confidence double"))
     return positions(rows.withColumn("stretch", F.lit(0)), ["image_index", "stretch", "i"], "idx").drop("stretch", "i")
 
 

@@ -45,11 +45,16 @@ def positions(lines: DataFrame, order: list[str], out: str = "pos", ties: list[s
     `ties` behind them, they tell all rows of a scan apart. An oversized scan is ranked in small buckets instead: rows
     with equal leading columns form a level (at most one per pixel row of an
     image), and a level is cut by the last two columns. Counts of levels and of
-    buckets within a level then give every bucket its offset.
+    buckets within a level then give every bucket its offset. Hardly any table
+    has such a scan, so a count looks for one first; `lines` is read twice and
+    should be a written table.
     """
     level, inner = order[:-2], order[-2:]
     sizes = lines.groupBy("scan_id").count().filter(F.col("count") > CHUNK)
-    big = sizes.select("scan_id", F.lit(True).alias("_big"))
+    if sizes.isEmpty():
+        whole = F.row_number().over(Window.partitionBy("scan_id").orderBy(*order, *(ties or [])))
+        return lines.withColumn(out, whole.cast("long") - 1)
+    big = materialize(sizes.select("scan_id", F.lit(True).alias("_big")))
 
     def bucketed(df: DataFrame) -> DataFrame:
         return df.withColumn("_level", F.when(F.col("_big"), F.struct(*[
@@ -110,8 +115,14 @@ def _changes(lines: DataFrame) -> DataFrame:
 
 
 def image_runs(lines: DataFrame) -> DataFrame:
-    """Number the contiguous runs of lines that share an image (`run`)."""
+    """Number the contiguous runs of lines that share an image (`run`).
+
+    Runs are counted through the chunks of an oversized scan only if there is
+    one; `lines` should be a written table, which tells at a glance.
+    """
     marked = _changes(lines)
+    if oversized_scans(lines).isEmpty():
+        return marked.withColumn("run", F.col("_local_run")).drop("_new", "_local_run")
     wide = lines.select("scan_id", "pos", "image_index").join(
         oversized_scans(lines), "scan_id", "left_semi")
     totals = _changes(wide).filter("own").groupBy("scan_id", "chunk").agg(

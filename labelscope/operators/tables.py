@@ -52,7 +52,7 @@ def _height() -> Column:
 
 def table_blocks(lines: DataFrame, options: Options = DEFAULT) -> DataFrame:
     """Lines of every block that is a clean two-column table, with their side."""
-    block = (
+    block = materialize(
         image_runs(lines).filter("own")
         .filter(readable(F.col("confidence"), options) & (T.strip_space(F.col("text")) != ""))
         .drop("own", "chunk")
@@ -66,15 +66,17 @@ def table_blocks(lines: DataFrame, options: Options = DEFAULT) -> DataFrame:
         .filter((F.col("n") >= 4) & (F.col("hi") - F.col("lo") > F.col("gap")))
         .select(*BLOCK, "gap")
     )
+    # most blocks end here; the others are read from now on
+    block = materialize(block.join(wide, BLOCK))
     edge = Window.partitionBy(*BLOCK).orderBy("x0")
     splits = (
-        block.select(*BLOCK, "x0").distinct().join(wide, BLOCK)
+        block.select(*BLOCK, "x0", "gap").distinct()
         .withColumn("next", F.lead("x0").over(edge))
         .filter(F.col("next") - F.col("x0") > F.col("gap"))
         .groupBy(*BLOCK).agg(F.min(F.struct("x0", "next")).alias("s"))
         .select(*BLOCK, ((F.col("s.x0") + F.col("s.next")) / 2.0).alias("split"))
     )
-    sided = block.join(splits, BLOCK).withColumn("is_left", F.col("x0") < F.col("split"))
+    sided = block.drop("gap").join(splits, BLOCK).withColumn("is_left", F.col("x0") < F.col("split"))
     left, width = F.col("is_left"), F.col("x1") - F.col("x0")
     shaped = (
         sided.groupBy(*BLOCK).agg(
@@ -87,7 +89,7 @@ def table_blocks(lines: DataFrame, options: Options = DEFAULT) -> DataFrame:
             & (F.col("broad") <= P.LABEL_WIDTH_RATIO * F.greatest(F.lit(1), F.col("narrow"))))
         .select(*BLOCK, "nl", "nr")
     )
-    candidates = sided.join(shaped, BLOCK)
+    candidates = materialize(sided.join(shaped, BLOCK))
     labelled = (
         candidates.filter("is_left").withColumn("known", known_label(F.col("text"), options))
         .groupBy(*BLOCK).agg(F.bool_and("known").alias("ok")).filter("ok").select(*BLOCK)
@@ -286,30 +288,23 @@ def table_pairs(members: DataFrame) -> DataFrame:
     """Pairs of the strategy each block earns, with its name in `strategy`.
 
     A complete row cover wins. Otherwise overlap geometry (only where rows say
-    nothing at all), then rank, then the partial row cover.
+    nothing at all), then rank, then the partial row cover. Each way is tried
+    only on the blocks that the ways before it leave open.
     """
-    by_row, by_geometry, by_rank = (
-        pairs_by_row(members), pairs_by_geometry(members), pairs_by_rank(members))
-    tagged = (
-        by_row.withColumn("strategy", F.lit("row"))
+    by_row = materialize(pairs_by_row(members))
+    size = members.groupBy(*BLOCK).agg(F.first("nl").alias("nl"))
+    spoken = materialize(
+        by_row.groupBy(*BLOCK).agg(F.count_distinct("l_pos").alias("labels")).join(size, BLOCK)
+        .select(*BLOCK, (F.col("labels") == F.col("nl")).alias("complete")))
+    by_geometry = materialize(pairs_by_geometry(members.join(spoken, BLOCK, "left_anti")))
+    settled = spoken.filter("complete").select(*BLOCK).unionByName(by_geometry.select(*BLOCK).distinct())
+    by_rank = materialize(pairs_by_rank(members.join(settled, BLOCK, "left_anti")))
+    rows = by_row.join(by_rank.select(*BLOCK).distinct(), BLOCK, "left_anti")
+    return (
+        rows.withColumn("strategy", F.lit("row"))
         .unionByName(by_geometry.withColumn("strategy", F.lit("geometry")))
         .unionByName(by_rank.withColumn("strategy", F.lit("rank")))
     )
-    size = members.groupBy(*BLOCK).agg(F.first("nl").alias("nl"))
-    verdict = (
-        tagged.select(*BLOCK, "strategy", "l_pos").distinct()
-        .groupBy(*BLOCK).agg(
-            F.count_if(F.col("strategy") == "row").alias("row_labels"),
-            F.bool_or(F.col("strategy") == "geometry").alias("geometry"),
-            F.bool_or(F.col("strategy") == "rank").alias("rank"))
-        .join(size, BLOCK)
-        .select(*BLOCK,
-                F.when(F.col("row_labels") == F.col("nl"), "row")
-                .when((F.col("row_labels") == 0) & F.col("geometry"), "geometry")
-                .when(F.col("rank"), "rank")
-                .when(F.col("row_labels") > 0, "row").alias("strategy"))
-    )
-    return tagged.join(verdict, [*BLOCK, "strategy"])
 
 
 def merged_lines(members: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -355,8 +350,8 @@ def merge_columns(lines: DataFrame, options: Options = DEFAULT) -> DataFrame:
         .withColumn("rank", F.lit(0).cast("bigint"))
         .select(*cols).unionByName(merged.select(*cols))
     )
-    renewed = positions(stirred, ["y0", "x0", "ord"], ties=["rank"])
-    return (
+    renewed = positions(materialize(stirred), ["y0", "x0", "ord"], ties=["rank"])
+    return materialize(
         calm.select(*[c for c in cols if c not in ("ord", "rank")], "pos", F.lit(False).alias("merged"))
         .unionByName(renewed.select(*[c for c in cols if c not in ("ord", "rank")], "pos",
                                     (F.col("ord") >= MERGED_BASE).alias("merged")))
