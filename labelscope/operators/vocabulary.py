@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.functions import fuzzy
@@ -42,32 +42,57 @@ def words_of(text: Column) -> Column:
     return F.array_distinct(T.matches(F.lower(text), "[a-z]+"))
 
 
-def match_words(tokens: DataFrame, options: Options = DEFAULT) -> DataFrame:
+def vocabulary_of(spark: SparkSession, options: Options = DEFAULT) -> DataFrame:
+    """Commodity words of the options as a table (`word`)."""
+    return spark.createDataFrame([(w,) for w in options.descriptors], "word string").distinct()
+
+
+def _deletions(text: Column, most: Column) -> Column:
+    """A text and what is left of it without any one letter, or any two where `most` is 2."""
+    without = lambda t, i: F.concat(F.substr(t, F.lit(1), i - 1), F.substr(t, i + 1))
+    places = lambda t: F.when(F.length(t) > 0, F.sequence(F.lit(1), F.length(t))).otherwise(F.expr("cast(array() as array<int>)"))
+    one = lambda t: F.transform(places(t), lambda i: without(t, i))
+    # the second letter to go stands before the first, so each pair goes once
+    two = F.flatten(F.transform(places(text), lambda i: F.transform(
+        F.when(i > 1, F.sequence(F.lit(1), i - 1)).otherwise(F.expr("cast(array() as array<int>)")), lambda k: without(without(text, i), k))))
+    return F.array_distinct(F.concat(F.array(text), F.when(most >= 1, one(text)).otherwise(F.expr("cast(array() as array<string>)")),
+                                     F.when(most >= 2, two).otherwise(F.expr("cast(array() as array<string>)"))))
+
+
+def deletion_index(vocabulary: DataFrame) -> DataFrame:
+    """word, size and `rest`: every word that can be missed by a letter or two, under all it can become by losing them."""
+    size = F.length("word")
+    long_words = vocabulary.filter(size >= SHORT_WORD).withColumn("size", size)
+    # two edits need a token of eight letters, so a word of six at least
+    return long_words.withColumn("rest", F.explode(_deletions(F.col("word"), F.when(F.col("size") >= 6, 2).otherwise(1))))
+
+
+def match_words(tokens: DataFrame, options: Options = DEFAULT, vocabulary: DataFrame | None = None) -> DataFrame:
     """Distinct `token`s to the vocabulary `word` each one stands for.
 
-    Near misses are looked up by length, so a token meets only the words its
-    edit budget could reach: one edit up to seven letters, two from eight on,
-    and for four letters only a word that lost one.
+    Near misses meet in an index of deletions: texts within one or two edits
+    have a common rest after as many letters are deleted from either. So a token
+    meets words that share a rest with it, whatever the size of the vocabulary
+    (a table with `word`), and only these are compared. The edit budget is one up
+    to seven letters, two from eight on; four letters only match a word that lost
+    one.
     """
-    spark = tokens.sparkSession
-    vocabulary = spark.createDataFrame([(w,) for w in options.descriptors], "word string")
+    if vocabulary is None:
+        vocabulary = vocabulary_of(tokens.sparkSession, options)
+    else:
+        vocabulary = vocabulary.select("word").distinct()
     distinct = tokens.select("token").distinct()
     exact = distinct.join(vocabulary, F.col("token") == F.col("word")).select("token", "word")
-    long_words = vocabulary.filter(F.length("word") >= SHORT_WORD).withColumn("size", F.length("word"))
+    longest = vocabulary.agg(F.max(F.length("word"))).first()[0] or 0  # one number: longer tokens can't be near
     size = F.length("token")
-    sizes = (
-        F.when(size == SHORT_WORD - 1, F.array(size + 1))
-        .when(size <= 7, F.array(size - 1, size, size + 1))
-        .otherwise(F.array(size - 2, size - 1, size, size + 1, size + 2))
-    )
-    longest = max((len(w) for w in options.descriptors), default=0)
-    budget = F.when(size <= 7, 1).otherwise(2)
+    budget = F.when(F.col("token_size") < SHORT_WORD, 0).when(F.col("token_size") <= 7, 1).otherwise(2)
     near = (
         distinct.filter((size >= SHORT_WORD - 1) & (size <= longest + 2))
-        .filter(~F.col("token").isin(list(options.descriptors)))
-        .withColumn("size", F.explode(sizes))
-        .join(long_words, "size")
-        .filter(F.levenshtein("token", "word") <= budget)
+        .join(vocabulary, F.col("token") == F.col("word"), "left_anti")
+        .withColumn("token_size", size).withColumn("rest", F.explode(_deletions(F.col("token"), budget)))
+        .join(deletion_index(vocabulary), "rest").drop("rest").distinct()
+        .filter(F.when(F.col("token_size") < SHORT_WORD, (F.col("size") == F.col("token_size") + 1) & (F.levenshtein("token", "word") <= 1))
+                .otherwise(F.levenshtein("token", "word") <= budget))
         .groupBy("token").agg(F.min("word").alias("word"))
     )
     return exact.unionByName(near)
@@ -82,12 +107,12 @@ def descriptor_lines(lines: DataFrame, options: Options = DEFAULT) -> DataFrame:
 
 
 def count_descriptors(items: DataFrame, keys: list[str], text: Column,
-                      options: Options = DEFAULT) -> DataFrame:
-    """Number of distinct commodity words in each item's text, where any (`score`)."""
+                      options: Options = DEFAULT, vocabulary: DataFrame | None = None) -> DataFrame:
+    """Number of distinct commodity words (of the options, or of a table) in each item's text, where any (`score`)."""
     tokens = items.select(*keys, F.explode(words_of(text)).alias("token")).filter(
         F.length("token") >= 2)
     return (
-        tokens.join(match_words(tokens, options), "token")
+        tokens.join(match_words(tokens, options, vocabulary), "token")
         .groupBy(*keys).agg(F.size(F.collect_set("word")).alias("score"))
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from labelscope.functions import patterns as P
 from labelscope.functions import text as T
 from labelscope.operators import grid, layout, prominence, sequence, tables
+from labelscope.operators import vocabulary as vocabulary_jobs
 from labelscope.session import materialize
 
 WORDS = ("scan_id long, image_index int, word_ord long, pass_index int, text string, x0 double, y0 double, x1 double, y1 double,"
@@ -236,3 +237,50 @@ def test_token_key_is_what_the_folds_use(spark):
     texts = ["MFG:2B/JUL", "é-É", "", "12 ab"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.token_key(F.col("t")).alias("k")).collect()
     assert [r.k for r in got] == [key_of(t) for t in texts]
+
+
+# --- vocabulary -------------------------------------------------------------------------
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_words_of_a_table(spark):
+    """A vocabulary from a table: near misses by the deletion index are those of every pair."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcde") for _ in range(n))
+    vocabulary = sorted({word(rng.randint(2, 12)) for _ in range(250)})
+    tokens = set(vocabulary[:20])
+    for w in vocabulary + [word(rng.randint(1, 15)) for _ in range(100)]:
+        for _ in range(rng.randint(0, 2)):
+            k = rng.randint(0, len(w))
+            w = rng.choice([w[:k] + w[k + 1:], w[:k] + rng.choice("abcdef") + w[k:], w[:k] + rng.choice("abcdef") + w[k + 1:]])
+        tokens.add(w)
+    want = {}
+    for t in tokens:
+        if t in vocabulary:
+            want[t] = t
+            continue
+        budget = 0 if len(t) < 5 else 1 if len(t) <= 7 else 2
+        near = [w for w in vocabulary if len(w) >= 5 and (
+            len(t) == 4 and len(w) == 5 and edits(t, w) == 1 if len(t) < 5 else edits(t, w) <= budget)]
+        if near:
+            want[t] = min(near)
+    df = spark.createDataFrame([(t,) for t in tokens] * 2, "token string")
+    words = spark.createDataFrame([(w,) for w in vocabulary * 2], "word string")
+    got = vocabulary_jobs.match_words(df, vocabulary=words).collect()
+    assert {r.token: r.word for r in got} == want and len(got) == len(want)
+    assert vocabulary_jobs.match_words(df, vocabulary=words.limit(0)).count() == 0
+
+
+def test_a_large_vocabulary(spark):
+    words = spark.range(300_000).select(F.regexp_replace(F.md5(F.col("id").cast("string")), "[0-9]", "").substr(1, 11).alias("word"))
+    tokens = words.limit(2_000).select(F.concat(F.col("word").substr(1, 4), F.lit("z"), F.col("word").substr(6, 20)).alias("token"))
+    tokens = materialize(tokens.filter(F.length("token") >= 9))
+    started = time.time()
+    assert vocabulary_jobs.match_words(tokens, vocabulary=materialize(words)).count() == tokens.distinct().count()
+    assert time.time() - started < 150
