@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.session import materialize, scratch_dir
 
-__all__ = ["components", "materialize", "release", "scratch_dir", "small", "small_batches", "table"]
+__all__ = ["components", "materialize", "packed_table", "release", "scratch_dir", "small", "small_batches", "table"]
 
 #: Rows an Arrow batch holds at most: a batch of very long texts stays below some 60 MB.
 BATCH_ROWS = 512
@@ -15,6 +17,13 @@ BATCH_ROWS = 512
 BROADCAST_ROWS = 500_000
 
 
+def packed_table(df: DataFrame) -> DataFrame:
+    """Like `materialize`, for large binary columns: written with zstd."""
+    path = f"{scratch_dir(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from labelscope.llm import alignment, binary_records, decontamination, filter_audit, html_text, oracle, packing, quality, secrets, simhash, substrings, surrogates, token_counts, warc
-from labelscope.llm.common import materialize, table
+from labelscope.llm.common import packed_table, table
 
 PIECES = "piece_bpe_32k.model"
 WORDS = "word_bpe_49k.json"
@@ -27,7 +27,7 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     counted = token_counts.prefix_tables(docs, public_tokenizers.path(PIECES))
     # the prefix tables are stored; every figure is read from them
-    stored = materialize(counted.select(
+    stored = packed_table(counted.select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
         F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), "prefix_words", "prefix_steps"))
     read = token_counts.tokens_upto(token_counts.longest_prefix(stored, TOKEN_LIMIT, f"fit_{TOKEN_LIMIT}"), "n_chars", "n_tokens")
