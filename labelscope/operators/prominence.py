@@ -76,6 +76,18 @@ def phrases(lines: DataFrame, options: Options = DEFAULT) -> DataFrame:
     return positions(rows.withColumn("stretch", F.lit(0)), ["image_index", "stretch", "i"], "idx").drop("stretch", "i")
 
 
+def nth_smallest(rows: DataFrame, keys: list[str], value: str, place: Column, out: str) -> DataFrame:
+    """keys, `out`: the value at a 0-based place of each group's sorted values; `place` is an expression of the group's size `n`.
+
+    Exact at any size: values are counted before the shuffle, and what is
+    ordered is the histogram, a row for each different value.
+    """
+    group = Window.partitionBy(*keys)
+    upto = F.sum("_n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    counted = rows.groupBy(*keys, value).agg(F.count("*").alias("_n")).withColumn("_upto", upto).withColumn("n", F.sum("_n").over(group))
+    return counted.filter(F.col("_upto") > place).groupBy(*keys).agg(F.min(value).alias(out))
+
+
 def rank_phrases(lines: DataFrame, options: Options = DEFAULT) -> DataFrame:
     """Scored name candidates with their feature values; hard exclusions removed."""
     joined = materialize(phrases(lines, options).withColumn("h", _height(F.col("y0"), F.col("y1"))))
@@ -83,17 +95,15 @@ def rank_phrases(lines: DataFrame, options: Options = DEFAULT) -> DataFrame:
     page = joined.groupBy(*PAGE).agg(
         F.count("*").alias("n_page"),
         F.max("h").alias("tallest"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY h DESC)").alias("middle"),
         F.count_if(T.found(text, P.NOT_A_NAME)).alias("regulatory"),
         F.min("x0").alias("px0"), F.min("y0").alias("py0"),
         F.max("x1").alias("px1"), F.max("y1").alias("py1"),
-    ).withColumn("front", F.col("tallest") / F.col("middle") * (1 - F.col("regulatory") / F.col("n_page")))
+    ).join(nth_smallest(joined, PAGE, "h", F.floor(F.col("n") / 2), "middle"), PAGE).withColumn("front", F.col("tallest") / F.col("middle") * (1 - F.col("regulatory") / F.col("n_page")))
     top = Window.partitionBy("scan_id")  # one row per image
     page = page.withColumn("best_front", F.max("front").over(top)).withColumn(
         "panel", F.when(F.col("best_front") > 0, F.col("front") / F.col("best_front")).otherwise(F.col("front")))
-    body = joined.groupBy("scan_id").agg(
-        F.count("*").alias("n"),
-        F.expr("percentile_disc(0.250000001) WITHIN GROUP (ORDER BY h)").alias("body")).filter("n >= 2")
+    several = joined.groupBy("scan_id").agg(F.count("*").alias("n")).filter("n >= 2")
+    body = nth_smallest(joined, ["scan_id"], "h", F.floor(F.col("n") / 4), "body").join(several, "scan_id")
     repeats = joined.groupBy("scan_id", T.name_key(text).alias("name_key")).agg(F.count("*").alias("repeats"))
 
     value = F.btrim(text, F.lit(" .,:-"))

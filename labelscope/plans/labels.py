@@ -151,6 +151,43 @@ def label_detections(lines: DataFrame) -> DataFrame:
         F.col("confidence"))
 
 
+def label_pages(lines: DataFrame) -> DataFrame:
+    """Recogniser output of the labels as JSON lines (`layout`, `value`): two images a scan, some records and entries broken by key.
+
+    The image uploaded first has the later name. Scans of every third key were
+    read at twice the size.
+    """
+    key, k = F.col("scan_id"), F.col("scan_id") % 50
+    first = F.col("pos") % 3 == 0
+    scale = F.when(key % 3 == 0, 2).otherwise(1)
+    x0, y0 = F.col("pos") * 10, F.col("y0").cast("bigint")
+    edge = lambda v: (v * scale + scale - 1).cast("double") + 0.6
+    left, top, right, low = edge(x0), edge(y0), edge(x0 + F.length("text") * 7), edge(y0 + 14)
+    entry = F.struct(
+        "pos", F.concat(F.lit("  "), "text", F.lit(" ")).alias("text"), "confidence",
+        F.array(F.array(left, top), F.array(right, top), F.array(right, low), F.array(left, low)).alias("poly"))
+    pages = lines.groupBy("scan_id", first.alias("first")).agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    broken = F.transform("e", lambda e, i: F.when(i > 0, e).otherwise(F.struct(
+        e["pos"].alias("pos"), F.when(k == 13, "  ").otherwise(e["text"]).alias("text"), F.when(k != 19, e["confidence"]).alias("confidence"),
+        F.when(k == 11, None).when(k == 17, F.array(e["poly"][0], e["poly"][1])).otherwise(e["poly"]).alias("poly"))))
+    path = F.when(F.col("first"), "page10.png").otherwise("page2.png")
+    order = F.when(F.col("first"), 1).otherwise(2)
+    part = lambda name: F.transform(broken, lambda e: e[name])
+    columnar = F.to_json(F.struct(
+        F.when(k != 23, key).alias("scan_id"), path.alias("image_path"), order.alias("upload_order"), part("text").alias("rec_texts"),
+        part("confidence").alias("rec_scores"), part("poly").alias("rec_polys")))
+    quoted = lambda text: F.regexp_extract(F.to_json(F.array(text)), r"^\[(.*)\]$", 1)
+    rows = F.array_join(F.transform(broken, lambda e: F.concat(
+        F.lit("["), F.coalesce(F.to_json(e["poly"]), F.lit("null")), F.lit(",["), quoted(e["text"]), F.lit(","),
+        F.coalesce(e["confidence"].cast("string"), F.lit("null")), F.lit("]]"))), ",")
+    head = F.to_json(F.struct(F.when(k != 23, key).alias("scan_id"), path.alias("image_path"), order.alias("upload_order")))
+    nested = F.concat(F.expr("substring(head, 1, length(head) - 1)"), F.lit(',"result":[['), F.col("rows"), F.lit("]]}"))
+    made = pages.withColumns({"head": head, "rows": rows}).select(
+        F.when(key % 2 == 0, "columnar").otherwise("nested").alias("layout"), (F.col("first") & (k == 7)).alias("cut"),
+        F.when(key % 2 == 0, columnar).otherwise(nested).alias("value"))
+    return made.select("layout", F.when(F.col("cut"), F.expr("substring(value, 1, length(value) - 20)")).otherwise(F.col("value")).alias("value"))
+
+
 def text_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Whole document texts, one line per row."""
     docs = table(spark, folder, "documents")

@@ -407,6 +407,14 @@ doc_lines AS (
   SELECT CAST(doc_id AS BIGINT) AS scan_id, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS pos,
          unnest(string_split(text, chr(10))) AS text FROM documents)
 """
+#: What the recogniser saw: two images a scan, entries of an image from 0, half a pixel more at twice the size.
+PAGES = """
+entries AS (
+  SELECT scan_id, scan_id % 50 AS k, pos % 3 = 0 AS first, CASE WHEN pos % 3 = 0 THEN 'page10.png' ELSE 'page2.png' END AS path,
+         row_number() OVER (PARTITION BY scan_id, pos % 3 = 0 ORDER BY pos) - 1 AS i, trim(text) AS text, confidence,
+         pos * 10 AS x0, CAST(y0 AS BIGINT) AS y0, CASE WHEN scan_id % 3 = 0 THEN 0.5 ELSE 0.0 END AS half
+  FROM lines)
+"""
 WORDISH = r"[\p{L}\p{N}_"
 NOT_PHONE = (r"(?i)\b(mrp|m\.r\.p|maximum\s+retail|price|rs\.?|inr|net\s*(?:wt|weight|qty|quantity|contents)|batch|lot\s*no|"
              r"fssai|licence|license|best\s*before|use\s*by|mfg|mfd|exp(?:iry)?|pin\s*code|gstin|barcode|ean)\b")
@@ -448,6 +456,21 @@ def oracle_sql() -> dict[str, str]:
       UNION ALL SELECT scan_id, h.p, v_pos FROM hosts x WHERE NOT EXISTS (
         SELECT 1 FROM cell_lines l WHERE l.scan_id = x.scan_id AND l.is_left AND l.row_index > x.h.r AND l.row_index < x.row_index)"""
     q["unit_resolution"] = _with(LINES, UNITS) + "SELECT number, raw_unit, value, unit, how FROM resolved"
+    q["detections_read"] = _with(LINES, PAGES) + """
+      , usable AS (SELECT * FROM entries WHERE NOT (first AND k = 7) AND k <> 23 AND NOT (i = 0 AND k IN (11, 13, 17))),
+      images AS (SELECT scan_id, first, row_number() OVER (PARTITION BY scan_id ORDER BY first DESC) AS image_index
+                 FROM (SELECT DISTINCT scan_id, first FROM usable))
+      SELECT scan_id, CAST(image_index AS INTEGER) AS image_index, i AS word_ord, text,
+        CAST(round_even(x0 + half, 0) AS INTEGER) AS x0, CAST(round_even(y0 + half, 0) AS INTEGER) AS y0,
+        CAST(round_even(x0 + 7 * length(text) + half, 0) AS INTEGER) AS x1, CAST(round_even(y0 + 14 + half, 0) AS INTEGER) AS y1,
+        CASE WHEN i = 0 AND k = 19 THEN 0.9 ELSE confidence END AS confidence
+      FROM usable JOIN images USING (scan_id, first)"""
+    q["detection_errors"] = _with(LINES, PAGES) + """
+      SELECT NULL::BIGINT AS scan_id, NULL AS image_path, NULL::INTEGER AS i, 'unreadable record' AS reason, count(*) AS n, count(*) AS records
+      FROM (SELECT DISTINCT scan_id FROM entries WHERE first AND k = 7) HAVING count(*) > 0
+      UNION ALL SELECT NULL, path, NULL, 'no scan_id', count(*), 0 FROM (SELECT DISTINCT scan_id, path FROM entries WHERE k = 23) GROUP BY path
+      UNION ALL SELECT scan_id, path, 0, CASE k WHEN 11 THEN 'no polygon' WHEN 13 THEN 'blank text' ELSE 'no extent' END, 1, 0
+      FROM entries WHERE i = 0 AND k IN (11, 13, 17)"""
     q["detections_to_lines"] = _with(LINES) + (
         "SELECT scan_id, pos, text FROM lines")
     for field in _FIELD_COLUMNS:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from labelscope.operators import (
 )
 from labelscope.plans import labels
 from labelscope.plans.oracle import field_columns
-from labelscope.session import materialize
+from labelscope.session import materialize, scratch_dir
 from labelscope.sources import catalog, detections, sinks
 
 _STAGES: dict[tuple, DataFrame] = {}
@@ -77,6 +78,30 @@ def _lines_read(spark, folder):
     return layout.read_labels(words(spark, folder)).select("scan_id", "pos", "text")
 
 
+def _pages_read(spark, folder):
+    """Words and errors of the labels' recogniser output, written as JSON lines of both layouts and read again."""
+    pages = materialize(labels.label_pages(label_lines(spark, folder)))
+    read = []
+    for layout in detections.LAYOUTS:
+        path = f"{scratch_dir(spark).rstrip('/')}/pages-{uuid.uuid4().hex}"
+        pages.filter(F.col("layout") == layout).select("value").write.text(path)
+        read.append(detections.read_checked(spark, path, layout))
+    return [reduce(DataFrame.unionByName, part) for part in zip(*read)]
+
+
+def _detections_read(spark, folder):
+    words, _ = _pages_read(spark, folder)
+    clean = detections.normalise(detections.number_images(words))
+    return detections.rescale(clean, F.when(F.col("scan_id") % 3 == 0, 2.0).otherwise(1.0)).select(
+        "scan_id", "image_index", "word_ord", "text", "x0", "y0", "x1", "y1", "confidence")
+
+
+def _detection_errors(spark, folder):
+    _, errors = _pages_read(spark, folder)
+    return errors.groupBy("scan_id", "image_path", "i", "reason").agg(
+        F.count("*").alias("n"), F.count(detections.RECORD).alias("records"))
+
+
 def _orientation(spark, folder):
     lines = layout.detections_to_lines(layout.both_frames(words(spark, folder)))
     return layout.choose_orientation(layout.orientation_scores(lines))
@@ -281,6 +306,8 @@ def queries() -> dict:
         "line_context": lambda s, d: _sequence(label_lines(s, d)).select("scan_id", "pos", "ctx1", "ctx2"),
         "label_value_candidates": _candidates,
         "detections_to_lines": _lines_read,
+        "detections_read": _detections_read,
+        "detection_errors": _detection_errors,
         "page_orientation": _orientation,
         "table_pairs_row": _pairs(tables.pairs_by_row),
         "table_pairs_rank": _pairs(tables.pairs_by_rank),

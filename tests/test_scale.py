@@ -284,3 +284,12 @@ def test_a_large_vocabulary(spark):
     started = time.time()
     assert vocabulary_jobs.match_words(tokens, vocabulary=materialize(words)).count() == tokens.distinct().count()
     assert time.time() - started < 150
+
+
+def test_order_statistics(spark):
+    rng = random.Random(7)
+    groups = {k: [float(rng.choice([3, 5, 8, rng.randint(0, 99)])) for _ in range(rng.randint(1, 40))] for k in range(60)}
+    rows = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k long, h double")
+    for part in (2, 4):
+        got = prominence.nth_smallest(rows, ["k"], "h", F.floor(F.col("n") / part), "v").collect()
+        assert {r.k: r.v for r in got} == {k: sorted(v)[len(v) // part] for k, v in groups.items()}
