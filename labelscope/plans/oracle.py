@@ -471,6 +471,22 @@ def oracle_sql() -> dict[str, str]:
       UNION ALL SELECT NULL, path, NULL, 'no scan_id', count(*), 0 FROM (SELECT DISTINCT scan_id, path FROM entries WHERE k = 23) GROUP BY path
       UNION ALL SELECT scan_id, path, 0, CASE k WHEN 11 THEN 'no polygon' WHEN 13 THEN 'blank text' ELSE 'no extent' END, 1, 0
       FROM entries WHERE i = 0 AND k IN (11, 13, 17)"""
+    # turned, an image has its lines from the last to the first, each from its last word to its first
+    q["page_orientation"] = _with(LINES) + r"""
+      , sides AS (
+        SELECT scan_id, 0 AS side, ord AS y, text FROM lines
+        UNION ALL SELECT scan_id, 1, -ord, array_to_string(list_reverse(string_split(text, ' ')), ' ') FROM lines),
+      tagged AS (SELECT *, regexp_matches(text, '(?i)\b(m\.?r\.?p|usp|mfd|mfg|manufactured|exp|expiry|use\s*by|best\s*before|batch|net\s*(?:qty|wt|weight|quantity)|pkd|packed)\b') AS is_label
+                 FROM sides),
+      scored AS (
+        SELECT scan_id, side, sum(CASE WHEN is_label THEN 1 + CASE WHEN EXISTS (
+            SELECT 1 FROM tagged o WHERE o.scan_id = t.scan_id AND o.side = t.side AND NOT o.is_label
+              AND (o.y - t.y) * 20 - 14 BETWEEN 0 AND 28) THEN 0.5 ELSE 0 END ELSE 0 END) AS score
+        FROM tagged t GROUP BY ALL),
+      frames AS (SELECT scan_id, CAST(max(CASE WHEN side = CASE WHEN scan_id % 4 = 0 THEN 1 ELSE 0 END THEN score END) AS DOUBLE) AS upright_score,
+                 CAST(max(CASE WHEN side = CASE WHEN scan_id % 4 = 0 THEN 0 ELSE 1 END THEN score END) AS DOUBLE) AS flipped_score
+               FROM scored GROUP BY 1)
+      SELECT scan_id, 1 AS image_index, upright_score, flipped_score, CASE WHEN flipped_score > upright_score THEN 1 ELSE 0 END AS frame FROM frames"""
     q["detections_to_lines"] = _with(LINES) + (
         "SELECT scan_id, pos, text FROM lines")
     for field in _FIELD_COLUMNS:
