@@ -163,17 +163,33 @@ def test_near_copies_by_jaccard(spark, docs, empty):
                 parent[max(a, b)] = min(a, b)
     table = spark.createDataFrame([(k, " ".join(w).upper()) for k, w in enumerate(rows)], "doc_id long, text string")
     keyed = common.materialize(table.withColumn("k", F.xxhash64("doc_id", "text")))
-    old = similar.BLOCK, similar.FEW
-    for block, few in (old, (150, 1)):  # large components in blocks, all shingles chained: the same result
-        similar.BLOCK, similar.FEW = block, few
+    old = similar.BLOCK, similar.COPIES, similar.SHARE
+    for chosen in (old, (150, 2, 2)):  # blocks, copies of heads and listed signatures: the same result
+        similar.BLOCK, similar.COPIES, similar.SHARE = chosen
         got = {r.doc_id: r.component_id for r in similar.near_copies(keyed, "k").collect()}
-        similar.BLOCK, similar.FEW = old
+        similar.BLOCK, similar.COPIES, similar.SHARE = old
         assert got == {k: find(k) for k in range(len(rows))}
     odd = similar.near_copies(docs.drop("key").withColumn("k", F.xxhash64("doc_id", "text")), "k").collect()
     assert len(odd) == len(DOCS) and {r.component_id for r in odd if r.doc_id in (3, 4, 5)} == {3}
     assert similar.near_copies(empty.withColumn("k", F.xxhash64("doc_id", "text")), "k").count() == 0
 
 
+def test_signatures_meet_for_every_similar_pair():
+    rng = np.random.default_rng(5)
+    for n in [*range(1, 60), 118, 147, 148, 400, 1500]:
+        for _ in range(60):
+            one = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+            # as far apart as may be: some hashes go, some others come
+            gone = int(rng.integers(0, n // 5 + 1))
+            come = max(0, int(5 * (n - gone) / 4) - n)
+            two = np.unique(np.concatenate([one[rng.permutation(len(one))[gone:]], rng.integers(0, 1 << 64, come, dtype=np.uint64)]))
+            if rng.random() < 0.3:  # hashes that crowd into few parts
+                one, two = (np.unique(x >> np.uint64(rng.integers(1, 9))) for x in (one, two))
+            if 5 * len(np.intersect1d(one, two)) >= 4 * len(np.union1d(one, two)):
+                owner, sig = similar.signatures([one, np.zeros(0, np.uint64), two])
+                assert 1 not in owner and len(np.intersect1d(sig[owner == 0], sig[owner == 2])), (n, gone, come)
+
+
 def test_pipeline_drops_near_copies(spark):
     words = [f"w{k}" for k in range(100)]
     near = [w if k not in (30, 70) else "x" for k, w in enumerate(words)]  # 86 of 106 five-word shingles
